@@ -127,6 +127,21 @@ def index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFr
     return staged(parts_of.mapInPandas(work, INDEX)), parts
 
 
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed in order of the components; scaled first only where squares overflow or vanish."""
+    ab, aa, bb = (np.zeros(len(a)) for _ in range(3))
+    with np.errstate(all="ignore"):
+        for x, y in zip(a.T, b.T, strict=True):
+            ab += x * y
+            aa += x * x
+            bb += y * y
+        out = ab / np.sqrt(aa * bb)
+    odd = ~(np.isfinite(out) & (aa > 1e-280) & (bb > 1e-280))
+    if odd.any():
+        out[odd] = (_unit(a[odd]) * _unit(b[odd])).sum(axis=1)
+    return out
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -147,7 +162,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0
                 one, slot = np.nonzero(at >= 0)
                 who = at[one, slot]
                 # a pair's score depends on the two vectors alone, not on where they stand, so that equal vectors tie
-                score = (q[one] * v[who]).sum(axis=1) / (np.sqrt((q * q).sum(axis=1))[one] * np.sqrt((v * v).sum(axis=1))[who])
+                score = _cosine(q[one], v[who])
                 one, score, other = np.repeat(one, k + 1), np.repeat(score, k + 1), ids[who].ravel()
                 good = (other >= 0) | (other < -1)
                 good &= other != q_ids[one]
