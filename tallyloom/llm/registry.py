@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import queries_minhash, queries_mixing, queries_packing, queries_vectors
+from tallyloom.llm import queries_chat, queries_minhash, queries_mixing, queries_packing, queries_pages, queries_vectors
 
-_parts = (queries_vectors, queries_packing, queries_mixing, queries_minhash)
+_parts = (queries_vectors, queries_chat, queries_pages, queries_packing, queries_mixing, queries_minhash)
 
 QUERIES = {name: query for part in _parts for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _parts for name, sql in part.ORACLES.items()}
