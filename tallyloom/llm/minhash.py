@@ -6,8 +6,10 @@ entries of pi therefore holds all K coordinates of a shingle, and a signature is
 
 Plan. Texts are read in batches and give a digest of the shingle set, bands and a 2-bit sketch. Sets that are equal
 become one vertex (partial aggregation, so copies are never expanded). Buckets are stars around a centre, by
-aggregation and join rather than by collected groups, so one large bucket is split over tasks. Candidates pass a
-size ratio and a sketch bound (six standard deviations off the threshold), then the exact Jaccard on whole sets.
+aggregation and join rather than by collected groups, so one large bucket is split over tasks. Shingles that no other
+document of any bucket has bound every intersection from above: documents and pairs that this rules out are left out,
+then those that a sketch rules out (five standard deviations off the threshold); the rest meet the exact Jaccard on whole
+sets.
 Buckets whose members fall into several components get further centres, and at last every pair that crosses
 components, until no bucket can hide a link. Components are joined up by minimum labels.
 
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import bound_batches, broadcast_if, staged
@@ -31,11 +33,15 @@ from tallyloom.llm.graph import components
 
 PLACES = 1 << 21
 COORDINATES = 128
+#: One bit each of so many further coordinates says whether two documents may be similar enough.
+SKETCH = 1024
 KNOWN_WORDS = 400_000
 #: Ids that may be broadcast (8 bytes each); above it the planner shuffles.
 BROADCAST_IDS = 1_000_000
+#: Star rounds before every pair that still crosses components is compared.
+ROUNDS = 2
 
-_tables: dict[int, np.ndarray] = {}
+_tables: dict[tuple[int, int], np.ndarray] = {}
 
 
 class _Words(dict):
@@ -72,18 +78,18 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def _circulant(seed: int) -> np.ndarray:
-    """pi, with its first entries again at the end, as rows of COORDINATES neighbours."""
-    if seed not in _tables:
+def _circulant(seed: int, wide: int) -> np.ndarray:
+    """pi, with its first entries again at the end, as rows of `wide` neighbours."""
+    if (seed, wide) not in _tables:
         pi = np.random.default_rng(seed).permutation(PLACES).astype(np.uint32)
-        _tables[seed] = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:COORDINATES]]), COORDINATES)
-    return _tables[seed]
+        _tables[seed, wide] = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:wide]]), wide)
+    return _tables[seed, wide]
 
 
-def signature(shingles: np.ndarray, seed: int) -> np.ndarray:
-    rows = _circulant(seed)
+def signature(shingles: np.ndarray, seed: int, wide: int = COORDINATES) -> np.ndarray:
+    rows, step = _circulant(seed, wide), 4096 * COORDINATES // wide
     places = (_mixed(shingles ^ np.uint64(seed * 2 + 1)) & np.uint64(PLACES - 1)).astype(np.int64)
-    return np.min([rows[places[i : i + 4096]].min(axis=0) for i in range(0, len(places), 4096)], axis=0)
+    return np.min([rows[places[i : i + step]].min(axis=0) for i in range(0, len(places), step)], axis=0)
 
 
 def banding(similarity: float) -> tuple[int, int]:
@@ -103,12 +109,12 @@ def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def _sketch(sig: np.ndarray) -> np.ndarray:
-    two = (sig & 3).astype(np.uint64).reshape(4, COORDINATES // 4)
-    return np.bitwise_or.reduce(two << (np.arange(COORDINATES // 4, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64)
+def _sketch(shingles: np.ndarray, seed: int) -> np.ndarray:
+    bits = (signature(shingles, seed, SKETCH) & 1).astype(np.uint8) if len(shingles) else np.zeros(SKETCH, np.uint8)
+    return np.packbits(bits).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, digest string, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, n_shingles long, digest string, bands array<long>"
 
 
 def _signed(docs: DataFrame, size: int, similarity: float, seed: int) -> DataFrame:
@@ -116,43 +122,47 @@ def _signed(docs: DataFrame, size: int, similarity: float, seed: int) -> DataFra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             for text in batch.column(1).to_pylist():
                 got = shingle_set(text, size)
                 sig = signature(got, seed) if len(got) else None
                 out[0].append(len(got))
                 out[1].append(xxhash.xxh3_128_hexdigest(got.tobytes()) if len(got) else None)
                 out[2].append([] if sig is None else _band_keys(sig, bands, rows))
-                out[3].append([] if sig is None else _sketch(sig))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                [batch.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "bands"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(work, SIGNED)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text, size).view(np.int64) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [shingle_set(text, size) for text in batch.column(1).to_pylist()]
+            sketches = [_sketch(x, seed + 1) for x in sets]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.view(np.int64) for x in sets], longs), pa.array(sketches, longs)], names=["doc_id", "shingles", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>, sketch array<long>")
 
 
-def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that size ratio and sketch allow to reach the similarity."""
-    t = percent / 100
-    same = t + (1 - t) / 4
-    limit = int(COORDINATES * (1 - same) + 6 * (COORDINATES * same * (1 - same)) ** 0.5) + 1
-    for x in "ab":
-        pairs = pairs.join(facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
-    odd = F.lit(0)
-    for i in range(4):
-        x = F.col("sa")[i].bitwiseXOR(F.col("sb")[i])
-        odd = odd + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (odd <= limit)).select("a", "b")
+def _may_link(percent: int) -> Column:
+    """What two rows a and b (na, ca, sa and nb, cb, sb) must meet to reach the similarity: sizes, cores, sketches.
+
+    A core is what a set shares with any other document of a bucket, so an intersection is no larger than either core.
+    """
+    t = (1 - percent / 100) / 2  # bits that differ, at the similarity
+    limit = int(SKETCH * t + 5 * (SKETCH * t * (1 - t)) ** 0.5) + 1
+    odd = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    core = F.least("ca", "cb", "na", "nb")
+    # a pair that shares several buckets counts in the first of them
+    return (100 * core >= percent * (F.col("na") + F.col("nb") - core)) & (odd <= limit) & (F.array_intersect("ka", "kb")[0] == F.col("key"))
+
+
+def _as(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("core").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"), F.col("bands").alias(f"k{x}"), *(F.col(m).alias(f"{m}_{x}") for m in more))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,46 +174,53 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, seed: int = 11, work_per_row: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, seed: int = 11, work_per_row: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; links at percent or more of the union."""
     bound_batches(docs.sparkSession)
     signed = staged(_signed(docs, size, percent / 100, seed))
     firsts = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     firsts = staged(firsts)
     rows = signed.join(firsts, (signed.digest == firsts.digest) & (signed.doc_id == firsts.rep), "left_semi")
-    facts = staged(rows.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["rep"]))
+    facts = staged(rows.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands").dropDuplicates(["rep"]))
     placed = facts.select("rep", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    shared = placed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key")
     buckets = staged(placed.join(shared, "key"))
-    facts = facts.drop("bands")
     ids = staged(buckets.select(F.col("rep").alias("doc_id")).distinct())
-    sets = staged(_sets(docs.join(broadcast_if(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi"), size))
-
-    links = staged(_confirmed(_likely(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), facts, percent), sets, percent))
-    labels = components(links)
-    total = None
-    for turn in range(12):
-        known = buckets.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("part"))
-        parts = known.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("c"))
-        mains = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        mains = mains.select("key", "main.part", (F.col("all") - F.col("main.m")).alias("out"), "all").withColumnRenamed("part", "main")
-        open_ = staged(known.join(mains, "key"))
-        todo = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("part") != F.col("main"), F.col("all")))).first()
-        if not todo[0]:
+    sets = staged(_sets(docs.join(broadcast_if(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi"), size, seed))
+    each = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    own = each.where("rep = last").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    # whoever shares less than the similarity of its own set with all others together can have no link
+    facts = facts.join(own, "rep", "left").withColumn("core", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("core") * 100 >= F.col("n") * percent)
+    facts = staged(facts.join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select("rep", "n", "core", "sketch", "bands").dropDuplicates(["rep"]))
+    rows = staged(buckets.join(facts.select("rep"), "rep"))
+    total = rows.count()
+    may = _may_link(percent)
+
+    labels = components(rows.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    links = None
+    for turn in range(ROUNDS + 1):
+        known = rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("part", F.coalesce("label", "rep"))
+        parts = known.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
+        mains = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("k"))
+        mains = mains.where("k > 1").select("key", F.col("main.part").alias("main"), "all")
+        open_ = staged(known.join(mains, "key").select("key", "rep", "part", "main", "all"))
+        found = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("part") != F.col("main"), F.col("all")))).first()
+        if not found[0]:
             break
-        total = total or buckets.count()
-        last = todo[1] <= work_per_row * total or turn == 11
-        here = open_.select("key", F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("main"))
+        last = turn == ROUNDS or found[1] <= work_per_row * total
+        open_ = staged(open_.join(facts, "rep"))
+        outside = open_.where("part <> main")
         if last:  # every pair that crosses components
-            there = open_.where("part <> main").select("key", F.col("rep").alias("a"), F.col("part").alias("pa"))
-            pairs = here.join(there, "key").where("pa <> pb and (pb = main or a < b)")
-        else:  # one more centre a bucket, of those outside its largest component
-            there = open_.where("part <> main").groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("a"), F.col("part").alias("pa"))).alias("c")).select("key", "c.a", "c.pa")
-            pairs = here.join(there, "key").where("pa <> pb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = staged(_confirmed(_likely(pairs, facts, percent), sets, percent))
+            pairs = _as(outside, "a", "part").join(_as(open_, "b", "part", "main"), "key")
+            pairs = pairs.where((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & may)
+        else:  # a star round one more centre in each bucket, out of those outside its largest component
+            centre = outside.groupBy("key").agg(F.min("rep" if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("c"))
+            centre = outside.join(centre, "key").where((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))) == F.col("c"))
+            pairs = _as(centre, "a", "part").join(_as(open_, "b", "part"), "key").where((F.col("part_a") != F.col("part_b")) & may)
+        pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        more = staged(_confirmed(pairs, sets, percent))
         if not more.isEmpty():
-            links = links.union(more)
+            links = more if links is None else links.union(more)
             labels = components(links)
         if last:
             break
