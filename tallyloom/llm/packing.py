@@ -29,12 +29,17 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import bound_batches, staged
 
 WINDOW = 2048
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 700_000
+SHORT = 8
 BUCKET_ROWS = 20_000
 
 _WORD = re.compile(r"[^ \t\n\r]+")
 #: Letters, then marks that the pre-tokenizer parts from letters anyway.
-_TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?$%&*#|]+)")
+_TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|]+)")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: How byte-level vocabularies spell a byte: as its own sign if that can be seen, else by the next sign from 256.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -51,17 +56,24 @@ class _Encoder(dict):
 
             tokenizer = public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(str(tokenizer))
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        if parts := _TAILED.fullmatch(word):
+        if _LETTERS.fullmatch(word):
+            if (low := word.lower()) != word:
+                found = self[low]
+            else:  # one piece to the pre-tokenizer, already normal: straight to its merges, spelt in bytes
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELT)
+                found = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+                self[word] = found
+                return found
+        elif parts := _TAILED.fullmatch(word):
             found = self[parts[1]] + self[parts[2]]
-        elif word.isascii() and (low := word.lower()) != word and "<" not in word:
-            found = self[low]
         else:
             found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
+        if len(word) <= SHORT:  # the long ones are rare, and quickly put together again
             self[word] = found
         return found
 
