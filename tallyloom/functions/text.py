@@ -69,6 +69,10 @@ def _part(c: Column, pattern: str, group: int) -> Column:
 
 def parse_shape(qid: Column, strict: bool = True) -> Column:
     """struct(shape, roster, q, blk, col, sub): the first of nine shapes; no shape raises, or is null if not strict."""
+    return let(qid, lambda q: _shape(q, strict))
+
+
+def _shape(qid: Column, strict: bool) -> Column:
     out = F.raise_error(F.concat(F.lit("identifier matches no known shape: "), qid)) if strict else F.lit(None)
     kind = "struct<shape:string,roster:int,q:string,blk:int,col:int,sub:int>"
     out = out.cast(kind)
@@ -96,6 +100,10 @@ def stem_id(qid: Column) -> Column:
 
 def parse_qid(qid: Column, strict: bool = True) -> Column:
     """struct of the grammar's seven parts and the base; no match raises, or is null if not strict."""
+    return let(qid, lambda q: _grammar(q, strict))
+
+
+def _grammar(qid: Column, strict: bool) -> Column:
     names = ("repeat", "block", "question", "grid", "part", "subpart")
     parts = [_part(qid, GRAMMAR, i + 1).cast("int").alias(n) for i, n in enumerate(names)]
     question = F.regexp_extract(qid, GRAMMAR, 3)
@@ -185,14 +193,19 @@ def words(text: Column, pattern: str = "[a-z0-9]+") -> Column:
 
 def shingles(tokens: Column, k: int) -> Column:
     """All runs of k tokens, joined by spaces; none if there are fewer."""
-    n = F.size(tokens) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def runs(t: Column) -> Column:
+        n = F.size(t) - k + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))).otherwise(none)
+
+    return let(tokens, runs)
 
 
 def phrases(tokens: Column, longest: int, function_words: Sequence[str]) -> Column:
     """Distinct runs of one to `longest` tokens that do not consist of function words alone."""
     fillers = F.array(*map(F.lit, function_words))
-    runs = F.flatten(F.array(*(shingles(tokens, k) for k in range(1, longest + 1))))
+    runs = let(tokens, lambda t: F.flatten(F.array(*(shingles(t, k) for k in range(1, longest + 1)))))
     return F.array_distinct(F.filter(runs, lambda p: F.size(F.array_except(F.split(p, " "), fillers)) > 0))
 
 

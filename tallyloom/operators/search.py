@@ -51,7 +51,7 @@ def scored(hits: DataFrame, terms: Sequence[str], n_items: int, k1: float = 1.2,
     okapi = F.log(1 + (F.lit(n_items) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(1.0) if mean_length is None else 1 - b + b * F.col("length") / F.lit(mean_length)
     return rows.groupBy("key").agg(
-        (F.sum("idf") / F.first("total")).alias("score"),
+        F.round(F.sum("idf") / F.first("total"), 9).alias("score"),  # so that equal sums tie, whatever their order
         F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("matched"),
         F.sum(okapi * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)).alias("bm25"),
     )

@@ -1,6 +1,10 @@
-"""Every registered query of the library's own operators, with the SQL it is compared with."""
+"""Every registered query of the library's own operators, with the SQL that it is compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tallyloom.plans import corpus, evaluation, logs, retrieval
+
+_parts = (retrieval, corpus, evaluation, logs)
+
+QUERIES = {name: query for part in _parts for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _parts for name, sql in part.ORACLES.items()}
