@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import corpus, evaluation, logs, retrieval
+from tallyloom.plans import corpus, evaluation, logs, retrieval, streams
 
-_parts = (retrieval, corpus, evaluation, logs)
+_parts = (retrieval, corpus, evaluation, logs, streams)
 
 QUERIES = {name: query for part in _parts for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _parts for name, sql in part.ORACLES.items()}
