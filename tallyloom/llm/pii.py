@@ -119,15 +119,18 @@ def spans(docs: DataFrame, reach: int = 64, support: int = 3, disclose: float =
     once = rows.select(F.explode(F.array_distinct(F.transform("_p_around", lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"))))).alias("x")).select("x.v", "x.t")
     pairs = once.groupBy("v", "t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     entities = rows.select(F.explode(F.array_distinct(F.transform("_p_spans", lambda x: x["v"]))).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = staged(pairs.join(entities, "v"))
+    # a term stands in no fewer documents than around entities, so most cannot reach the threshold: exactly those go
+    near = rows.select(F.explode(F.array_distinct(F.transform("_p_around", lambda x: x["t"]))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    share = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+    pairs = pairs.join(entities, "v").where(F.col("n_e") < total).join(near, "t").where(share >= disclose).drop("n_t")
+    pairs = staged(pairs)
     wanted = staged(pairs.select("t").distinct())
     few = wanted.count()
     told = rows.withColumn("_p_terms", F.array().cast("array<struct<k:int,s:int,e:int,v:string>>"))
     if few:
         words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0)))).alias("t"))
         counts = words.join(broadcast_if(wanted, few, BROADCAST_TERMS), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-        share = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-        telling = pairs.where(F.col("n_e") < total).join(counts, "t").withColumn("share", share).where(F.col("share") >= disclose).select("v", "t", "share")
+        telling = pairs.join(counts, "t").withColumn("share", share).where(F.col("share") >= disclose).select("v", "t", "share")
         telling = staged(telling)
         each = rows.where(F.size("_p_around") > 0).select("doc_id", "_p_hash", F.explode("_p_around").alias("x")).select("doc_id", "_p_hash", "x.*")
         each = each.join(broadcast_if(telling, telling.count(), BROADCAST_TERMS), ["v", "t"])
