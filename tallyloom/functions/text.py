@@ -243,7 +243,7 @@ def prevalence_tokens(value: Column) -> Column:
 def design_terms(design: Column, side: int, separator: str = "[,/]") -> Column:
     """Terms left (0) or right (1) of an arrow, trimmed, blanks left out."""
     part = F.coalesce(F.get(F.split(design, "->", 2), F.lit(side)), F.lit(""))
-    return F.filter(F.transform(F.split(part, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(part, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def covered(phrase: Column, text: Column) -> Column:
@@ -267,7 +267,7 @@ def query_template(construct: Column, population: Column, timeframe: Column, ins
             before = F.concat_ws(" ", text, F.array_join(added, " "))
             return F.when((one != "") & ~covered(one, before), F.array_append(added, one)).otherwise(added)
 
-        added = F.aggregate(F.transform(F.coalesce(instances, start), F.trim), start, step)
+        added = F.aggregate(F.transform(F.coalesce(instances, start), lambda x: F.trim(x)), start, step)
         return let(added, lambda x: F.when(F.size(x) > 0, F.concat(text, F.lit(": "), F.array_join(x, ", "))).otherwise(text))
 
     text = let(F.trim(construct), lambda t: let(F.trim(F.coalesce(population, blank)), lambda w: lead(t, w)))
@@ -312,7 +312,7 @@ def parse_reply(text: Column, schema: str) -> Column:
 
 def dedupe_phrases(items: Column) -> Column:
     """Trimmed, blanks off, the first of those that differ only in case."""
-    trimmed = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     low = F.transform(trimmed, F.lower)
     return F.filter(trimmed, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
