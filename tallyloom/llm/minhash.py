@@ -14,8 +14,9 @@ Buckets whose members fall into several components get further centres, and at l
 components, until no bucket can hide a link. Components are joined up by minimum labels.
 
 Cases: null text and text without words have an empty set and link with nothing; fewer words than a shingle make one
-shingle of the whole sequence; repeated rows are one document; a null doc_id is its own component (null); an empty
-table gives an empty result; extra columns are not read.
+shingle of the whole sequence; repeated rows are one document; a row without a doc_id joins the documents of equal text
+but links nothing itself, and has a null component if there are none; an empty table gives an empty result; extra
+columns are not read.
 """
 
 from __future__ import annotations

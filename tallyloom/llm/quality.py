@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyloom.llm.common import bound_batches, staged, text_of
 
@@ -173,8 +174,7 @@ def score(docs: DataFrame, model: tuple[View, View, float] | None) -> DataFrame:
     if model is None:
         return docs.withColumns({n: F.lit(1.0) for n in names})
     views, prior = model[:2], model[2]
-    fields = docs.schema.fields
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{n} double" for n in names)])
+    schema = StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in names)])
     at = [docs.columns.index(c) for c in ("lang", "source", "text")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

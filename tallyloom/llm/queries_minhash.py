@@ -11,7 +11,7 @@ from tallyloom.llm.minhash import near_duplicates
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 QUERIES = {"op9_circulant_minhash": op9_circulant_minhash}

@@ -181,7 +181,7 @@ def main_text(html: str | None) -> str:
     cut = [False] * n
     for i in range(1, n):
         cut[i] = cut[parent[i]] or off[i] and not holds[i]
-    chars, tags, linked, links = [0] * n, [1] * n, [0] * n, [0] * n
+    chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for i in range(1, n):
         in_link[i] = in_link[parent[i]] or tag[i] == "a"
@@ -195,12 +195,12 @@ def main_text(html: str | None) -> str:
             up = parent[i]
             chars[up] += chars[i]
             linked[up] += linked[i]
-            tags[up] += tags[i]
+            tags[up] += tags[i] + 1
             links[up] += links[i] + (tag[i] == "a")
     if not chars[0]:
         return ""
     ratio = linked[0] / chars[0]
-    density = [0.0 if cut[i] else _composite(chars[i], tags[i], linked[i], links[i], ratio) for i in range(n)]
+    density = [0.0 if cut[i] else _composite(chars[i], max(tags[i], 1), linked[i], links[i], ratio) for i in range(n)]
     total = [0.0] * n
     for i in range(1, n):
         total[parent[i]] += density[i]

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tallyloom.llm.common import bound_batches, staged, text_of
 
@@ -152,8 +153,8 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     others = [c for c in docs.columns if c not in ("text", "score", "offending")]
     bias, weights = scorer.bias, scorer.weights
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*others).schema]
-    schema = ", ".join([*(f"`{k.split(' ', 1)[0]}` {k.split(' ', 1)[1]}" for k in kinds), "score double", "offending array<struct<start:long,end:long,p:double>>"])
+    sentence = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("p", DoubleType())]))
+    schema = StructType([*docs.select(*others).schema.fields, StructField("score", DoubleType()), StructField("offending", sentence)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(bias, weights)
