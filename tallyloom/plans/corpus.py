@@ -409,3 +409,58 @@ def version(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checks_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     return dictionary.checks(("parts", part.agg(F.count(F.lit(1))), part.count()), ("brands", part.agg(F.count_distinct("p_brand")), 25))
+
+
+@query()
+def porter_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document counts by stem over the held-out items, the stemmed form of the index."""
+    from tallyloom.functions import udfs
+
+    stems = udfs.porter_words(T.words(F.col("text"), "[a-z]+"))
+    rows = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(stems)).alias("stem"))
+    return rows.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query("SELECT event_id, CASE WHEN value < 10 THEN 'value_label_binding' WHEN value < 20 THEN 'n_point_scale' WHEN value < 30 THEN 'scored_range' END AS coding FROM events")
+def coding_assertion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.functions import predicates
+
+    v = F.col("value")
+    said = F.when(v < 10, F.lit("coded 1 = Yes in m1:Q2.3_1")).when(v < 20, F.lit("a five-point scale")).when(v < 30, F.lit("scored from 0 to 27")).otherwise(F.lit("uses m1:Q2.3_1 and m2:Q5.8 alone"))
+    return table(spark, sf_dir, "events").select("event_id", predicates.states_a_coding(said).alias("coding"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'workplace' WHEN 1 THEN 'school' WHEN 2 THEN 'residence' END AS place, CASE c_custkey % 3 WHEN 0 THEN 'highest versus lowest Likert category' WHEN 1 THEN 'yes versus no' ELSE 'per one standard-deviation increase' END AS contrast FROM customer")
+def place_and_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.functions import predicates
+
+    k = F.col("c_custkey")
+    wording = F.when(k % 4 == 0, "ZIP of your employer").when(k % 4 == 1, "the school address").when(k % 4 == 2, "What city is it").otherwise("How often")
+    kind = F.when(k % 3 == 0, "Agree 1-5").when(k % 3 == 1, "Ever smoked").otherwise("height")
+    return table(spark, sf_dir, "customer").select("c_custkey", predicates.place_of(wording).alias("place"), predicates.contrast(kind).alias("contrast"))
+
+
+@query("SELECT * FROM (VALUES ('the', true), ('zzzq xqx', false), ('12', NULL), ('thonre', (SELECT bool_or(contains(lower(text), 'thonre')) FROM documents))) v(term, carried)")
+def carried_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each term, whether any text carries it; a term without tokens stays undetermined."""
+    from tallyloom.functions import predicates
+
+    each = predicates.carried(F.array(*map(F.lit, ("the", "zzzq xqx", "12", "thonre"))), table(spark, sf_dir, "documents"), "text")
+    return each.groupBy("term").agg(F.bool_or("carried").alias("carried"))
+
+
+@query()
+def encoded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoder seam with its model-free stand-in."""
+    from tallyloom.operators import seams
+
+    return seams.encode(table(spark, sf_dir, "benchmark"), "text", seams.hashing_encoder).select("item_id", F.size("embedding").alias("dim"))
+
+
+@query("SELECT event_id, 'k' AS path, 'x' || CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events WHERE event_id % 5 = 0")
+def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.functions import udfs
+
+    quoted = F.regexp_replace("props", r"([0-9]+)", '"x$1"')
+    rows = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    return rows.select("event_id", F.explode(udfs.json_strings(quoted)).alias("s")).select("event_id", "s.path", "s.value")
