@@ -16,7 +16,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
     out = log.drained(log.tumbling(rows, "ts", "1 day", "1 hour", "event_type", "value"), "complete")
-    return out.select(F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86400).cast("int")).alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86400).cast("int")).cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sessions, stream_gate)}
 
 ORACLES = {
-    "stream_tumbling": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "stream_tumbling": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_sessions": """WITH g AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)
 SELECT user_id, CAST(sum(fresh) AS BIGINT) AS sessions, count(*) AS n FROM g GROUP BY user_id""",
     "stream_gate": """WITH s AS (SELECT user_id, bool_or(event_type = 'purchase' AND value >= 60) AS p, bool_or(event_type = 'view' AND value >= 60) AS v FROM events WHERE event_type IN ('purchase', 'view') GROUP BY user_id)

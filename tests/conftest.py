@@ -42,12 +42,19 @@ def duck():
 
 def same_rows(spark_df, sql_df) -> None:
     """Column names and, in any order, values agree."""
+    import pandas as pd
+
     ours = spark_df.toPandas()
     assert sorted(ours.columns) == sorted(sql_df.columns)
     cols = sorted(ours.columns)
 
-    def plain(df):
-        return sorted((tuple(None if v is None or v != v else (round(v, 6) if isinstance(v, float) else str(v) if not isinstance(v, (int, str, bool)) else v) for v in row) for row in df[cols].astype(object).itertuples(index=False)), key=repr)
+    def plain(v):
+        if v is None or v is pd.NA or v != v:
+            return None
+        if isinstance(v, (bool, int, float)) or hasattr(v, "item"):
+            v = v.item() if hasattr(v, "item") else v
+            return int(v) if float(v).is_integer() else round(float(v), 6)
+        return str(v)
 
-    norm = lambda rows: [tuple(int(v) if isinstance(v, (bool, float)) and v is not None and float(v).is_integer() else v for v in r) for r in rows]
-    assert sorted(norm(plain(ours)), key=repr) == sorted(norm(plain(sql_df)), key=repr)
+    rows = lambda df: sorted((tuple(map(plain, r)) for r in df[cols].astype(object).itertuples(index=False)), key=repr)
+    assert rows(ours) == rows(sql_df)
