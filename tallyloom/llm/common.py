@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyloom-"))
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -46,9 +46,12 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies"
     " consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup menu"
     " nav navbar navigation breadcrumb breadcrumbs sidebar sidenav widget widgets related recommended recommendations"
-    " share sharing social comment comments commentlist disqus respond replies footer masthead copyright login search"
-    " toolbar pagination pager paywall teaser teasers outbrain taboola disclaimer".split()
+    " share sharing social comment comments commentlist disqus respond replies footer copyright login search"
+    " toolbar pagination pager paywall teaser teasers outbrain taboola disclaimer responses discussion reactions rail"
+    " aside skip legal privacy adsbygoogle adbox adslot".split()
 )
+HEADS = frozenset("header topbar masthead".split())
+OWN_HEADS = frozenset("article post entry story content main title".split())
 CLOSES = {  # an element that starts closes these, up to the nearest of the second
     "li": ("li", "ul ol menu dir"),
     "dt": ("dt dd", "dl"),
@@ -68,7 +71,7 @@ class Page:
     """Nodes of a page as parallel lists, and its texts in order as (node, text); text None is an end of a block."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.off = ["#"], [-1], [False]
+        self.tag, self.parent, self.off = ["#"], [-1], [0]
         self.texts: list[tuple[int, str | None]] = []
         self._read(html)
 
@@ -112,22 +115,27 @@ class Page:
     def _open(self, parent: int, name: str, rest: str) -> int:
         self.tag.append(name)
         self.parent.append(parent)
-        self.off.append(name in OFF or bool(rest) and name not in ("html", "body") and self._unwanted(rest))
+        # 1 is off whatever else it holds (but for an article), 2 only if it does not hold the first heading either
+        self.off.append(1 if name in OFF else self._unwanted(rest) if rest and name not in ("html", "body", "article", "main") else 0)
         return len(self.tag) - 1
 
-    def _unwanted(self, rest: str) -> bool:
+    def _unwanted(self, rest: str) -> int:
         low = rest.lower()
         if not any(k in low for k in ("class", "id", "role", "hidden", "style")):
-            return False
+            return 0
+        named = 0
         for k, *values in _ATTRIBUTE.findall(rest):
             k, value = k.lower(), "".join(values)
-            if k in ("class", "id") and not NAMES.isdisjoint(x.lower() for x in _PARTS.findall(value)):
-                return True
-            if k == "role" and value.lower() in ROLES or k == "hidden" or k == "aria-hidden" and value.lower() == "true":
-                return True
-            if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
+            if k in ("class", "id"):
+                parts = {x.lower() for x in _PARTS.findall(value)}
+                if not HEADS.isdisjoint(parts) and OWN_HEADS.isdisjoint(parts):
+                    return 3
+                named = 2 if not NAMES.isdisjoint(parts) else named
+            elif k == "role" and value.lower() in ROLES or k == "hidden" or k == "aria-hidden" and value.lower() == "true":
+                return 1
+            elif k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return 1
+        return named
 
     def _make_room(self, stack: list[int], name: str) -> None:
         closed, until = CLOSES.get(name, (frozenset(), frozenset()))
@@ -174,13 +182,15 @@ def main_text(html: str | None) -> str:
     inside = [False] * n
     for i in range(1, n):  # a header inside an article heads the article
         inside[i] = holds[i] or inside[parent[i]]
-        if tag[i] == "header" and not inside[i]:
-            off[i] = True
+        if tag[i] == "header" or off[i] == 3:
+            off[i] = int(not inside[i])
+    first = [x == "h1" for x in tag]
     for i in range(n - 1, 0, -1):
         holds[parent[i]] |= holds[i]
+        first[parent[i]] |= first[i]
     cut = [False] * n
     for i in range(1, n):
-        cut[i] = cut[parent[i]] or off[i] and not holds[i]
+        cut[i] = cut[parent[i]] or off[i] == 1 and not holds[i] or off[i] == 2 and not holds[i] and not first[i]
     chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for i in range(1, n):
@@ -224,11 +234,12 @@ def main_text(html: str | None) -> str:
     for i in range(n - 1, 0, -1):
         below[parent[i]] += below[i]
     region = max(i for i in range(n) if below[i] == len(marked))
-    whole, i = -1, region
-    while i >= 0:
-        if tag[i] in ("article", "main"):
-            whole = i
-        i = parent[i]
+    whole = -1  # the outermost article or main around the region, or else around the core
+    for start in (region, core):
+        i = start if whole < 0 else -1
+        while i >= 0:
+            whole = i if tag[i] in ("article", "main") else whole
+            i = parent[i]
     region = whole if whole >= 0 else region
     if whole < 0 and region:  # headings beside the region, ahead of it, lead into it
         up = parent[region]

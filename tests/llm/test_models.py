@@ -98,6 +98,8 @@ PAGES = [
     (f"<body><div class='menu'><a>a</a><a>b</a></div><div id=main><h1>T</h1><div><p>{LONG}</p><p>{LONG}</p></div><div class='comments'><p>{LONG}</p></div></div><div class=footer>x</div>", f"T\n{LONG}\n{LONG}"),
     (f"<main><header><h1>T</h1></header><p>{LONG}</p><aside>{LONG}</aside><form><p>{LONG}</p></form><ul><li>one<li>two</ul><script>if (a<b) x='</p>'</script></main>", f"T\n{LONG}\none\ntwo"),
     (f"<div><div class='sec'><p>{LONG}</p><p>{LONG}</p></div><div class='sec'><p>Short.</p></div><div class='sec'><p>{LONG}</p></div></div>", f"{LONG}\n{LONG}\nShort.\n{LONG}"),
+    (f"<body class='x'><div class='page has-sidebar'><div id=header><h1>Site</h1></div><div class=content><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class='left sidebar'><p>{LONG}</p></div><div class='cookie-notice'>We use</div></div>", f"T\n{LONG}\n{LONG}"),
+    (f"<div class=wrap><div class='post'><div class='post-header'><h2>T</h2></div><p>{LONG}</p><div class='ad-slot'>{LONG}</div><p>{LONG}</p></div><section id=reader-comments><h3>Comments</h3><p>{LONG}</p></section></div>", f"T\n{LONG}\n{LONG}"),
     ("<p>a\n\t b&nbsp;c<br>d</p>", "a b c d"),
     ("", ""),
     (None, ""),
