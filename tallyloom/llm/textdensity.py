@@ -234,8 +234,9 @@ def main_text(html: str | None) -> str:
     for i in range(n - 1, 0, -1):
         below[parent[i]] += below[i]
     region = max(i for i in range(n) if below[i] == len(marked))
-    whole = -1  # the outermost article or main around the region, or else around the core
-    for start in (region, core):
+    whole = -1  # the outermost article or main around the region, else the core, else one that holds half of the text
+    most = max((i for i in range(n) if tag[i] in ("article", "main") and not cut[i]), key=lambda i: chars[i], default=-1)
+    for start in (region, core, most if most >= 0 and 2 * chars[most] >= chars[0] else -1):
         i = start if whole < 0 else -1
         while i >= 0:
             whole = i if tag[i] in ("article", "main") else whole
