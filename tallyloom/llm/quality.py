@@ -1,7 +1,7 @@
 """Quality by co-training: a classifier of the text's content and one of the page's metadata teach each other.
 
-The content view measures the whole text (shares of capitals, digits, marks and odd words, repetition, word lengths,
-and the same for its worst lines); the metadata view knows language, source, length and layout. Both are logistic
+The content view measures the whole text (shares of capitals, marks and lone signs, repetition, word lengths, and the
+same for its worst lines); the metadata view knows language, source, length and layout. Both are logistic
 regressions. In each round either labels the unlabelled documents that it is surest of, in the proportion of the seed
 labels, and the other learns from these too. Each view is then calibrated on labelled documents that were kept aside
 (Platt scaling), and the calibrated logits are added, less the prior that both contain.
@@ -53,15 +53,16 @@ def content(text: str) -> list[float]:
     """Measures of a whole text, without its language, source or length."""
     lines = [(w, x) for x in text.split("\n") if (w := x.split())]
     if not lines:
-        return [0.0] * 16
+        return [0.0] * 14
     each = np.array([_line(*x) for x in lines])
     size = np.array([len(w) for w, _ in lines], float)
     mean = (each * size[:, None]).sum(axis=0) / size.sum()
     some = each[size >= 4] if (size >= 4).any() else each
     words = [w for ws, _ in lines for w in ws]
-    long = np.fromiter(map(len, words), float, len(words))
-    digits = sum(map(str.isdigit, text)) / len(text)
-    return [*mean, *some.max(axis=0), digits, math.log(long.mean()), float(long.std() / long.mean()), float((long > 20).mean()), float((long == 1).mean()), len(set(words)) / len(words) ** 0.9]
+    plain = [len(w) for w in words if w.isalpha()] or [5]  # numbers, addresses and keys say nothing about the prose
+    long = np.array(plain, float)
+    lone = sum(len(w) == 1 and not w.isalnum() for w in words) / len(words)
+    return [*mean, *some.max(axis=0), math.log(long.mean()), float(long.std() / long.mean()), lone, len(set(words)) / len(words) ** 0.9]
 
 
 def _slot(value: str | None, n: int) -> list[float]:
