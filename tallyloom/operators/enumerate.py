@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.ordering import ordinal
+
 
 def candidates(exposures: DataFrame, outcomes: DataFrame) -> DataFrame:
     """All pairs of different constructs (key, module, block, is_group, is_free_text on both sides, prefixed e_ and o_).
@@ -82,6 +84,7 @@ def gates(pairs: DataFrame, rules: Sequence[tuple[str, Column]], passed: str = "
 
 def spaced(df: DataFrame, order: str, n: int) -> DataFrame:
     """n rows at even spaces of an order (a pilot sample)."""
-    rows = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    rows = ordinal(df, [order], "_i").crossJoin(total).withColumn("_i", F.col("_i") - 1)
     step = F.greatest(F.floor(F.col("_n") / n), F.lit(1))
     return rows.where((F.col("_i") % step == 0) & (F.col("_i") / step < n)).drop("_i", "_n")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.ordering import running
+
 
 def transitions(a: DataFrame, b: DataFrame, item: str, state: str) -> DataFrame:
     """How many items went from each state in one run to each in another."""
@@ -50,8 +52,8 @@ def depth_table(ranks: DataFrame, rank: str, depths: Sequence[int]) -> DataFrame
 def exclusive_quantiles(df: DataFrame, value: str, n: int = 4) -> DataFrame:
     """(i, q): the n - 1 cut points of the exclusive method (rank i (m + 1) / n, interpolated), from running counts."""
     sums = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.select(F.col(value).cast("double").alias("v"), upto.alias("to"), F.sum("c").over(Window.partitionBy()).alias("m"))
+    total = F.broadcast(sums.agg(F.sum("c").alias("m")))  # one row
+    sums = running(sums, [value], to=F.col("c")).crossJoin(total).select(F.col(value).cast("double").alias("v"), "to", "m")
     cuts = F.explode(F.sequence(F.lit(1), F.lit(n - 1)))
     at = sums.select("v", "to", "m", cuts.alias("i")).withColumn("pos", F.col("i") * (F.col("m") + 1) / n)
     low, high = F.greatest(F.floor("pos"), F.lit(1)), F.least(F.floor("pos") + 1, F.col("m"))

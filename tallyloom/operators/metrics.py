@@ -14,14 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import stats as S
-from tallyloom.operators.ordering import average_rank
+from tallyloom.operators.ordering import average_rank, ordinal, running
 
 
 def percentiles(df: DataFrame, value: str, rule: str, by: Sequence[str] = (), **at: float) -> DataFrame:
     """Values at the places that an index rule picks (see stats.index_of), by group."""
     sums = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*by)
-    sums = sums.withColumns({"_to": F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
+    if by:
+        sums = sums.withColumns({"_to": F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
+    else:
+        sums = running(sums, [value], _to=F.col("_n")).crossJoin(F.broadcast(sums.agg(F.sum("_n").alias("_all"))))  # one row
     picks = [F.min(F.when(F.col("_to") > S.index_of(rule, F.col("_all"), q), F.col(value))).alias(name) for name, q in at.items()]
     return sums.groupBy(*by).agg(*picks)
 
@@ -51,19 +54,21 @@ def rank_summary(df: DataFrame, rank: str, by: Sequence[str] = ()) -> DataFrame:
 def auroc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """Area under the curve by average ranks (ties one half): from counts per distinct score."""
     sums = df.groupBy(*by, score).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    sums = sums.withColumn("_u", F.col("_p") * (below + F.col("_n") / 2.0))
+    if by:
+        sums = sums.withColumn("_to", F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        sums = running(sums, [score], _to=F.col("_n"))
+    sums = sums.withColumn("_u", F.col("_p") * (F.col("_to") - F.col("_n") / 2.0))
     n = F.sum("_p") * F.sum("_n")
     return sums.groupBy(*by).agg((F.sum("_u") / F.nullif(n, F.lit(0))).alias("auroc"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
 
 
 def sweep(df: DataFrame, score: str, positive: Column, correct: Column, grid: str = "all") -> DataFrame:
     """A row for each threshold (distinct scores, those of positives only if grid is 'positive'): answered, coverage,
-    precision, recall, f1, share of negatives rejected. Reverse running sums; one window over distinct scores."""
+    precision, recall, f1, share of negatives rejected. Reverse running sums over distinct scores."""
     sums = df.groupBy(F.round(score, 6).alias("tau")).agg(F.count_if(positive).alias("p"), F.count_if(positive & correct).alias("c"), F.count_if(~positive).alias("n"))
-    down = Window.orderBy(F.desc("tau")).rowsBetween(Window.unboundedPreceding, 0)
     total = sums.agg(F.sum("p").alias("_tp"), F.sum("n").alias("_tn"))
-    rows = sums.select("tau", "p", F.sum("p").over(down).alias("n_answered"), F.sum("c").over(down).alias("n_correct"), F.sum("n").over(down).alias("admitted")).crossJoin(total)
+    rows = running(sums, [F.desc("tau")], n_answered=F.col("p"), n_correct=F.col("c"), admitted=F.col("n")).crossJoin(F.broadcast(total))  # one row
     if grid == "positive":
         rows = rows.where("p > 0")
     precision = F.col("n_correct") / F.nullif(F.col("n_answered"), F.lit(0))
@@ -167,9 +172,8 @@ def permutation(df: DataFrame, x: str, y: str, rounds: int = 2000, per_task: int
 
 def equal_bins(df: DataFrame, order: Sequence[Column | str], bins: int = 4) -> DataFrame:
     """bin 0.. by position: row i (0-based) of n falls in the bin whose slice [b n // bins, (b + 1) n // bins) holds it."""
-    w = Window.orderBy(*order)
-    i, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy())
-    return df.withColumn("bin", (F.ceil(F.lit(bins) * i / n) - 1).cast("int"))
+    n = F.broadcast(df.agg(F.count(F.lit(1)).alias("_all")))  # one row
+    return ordinal(df, order, "_i").crossJoin(n).withColumn("bin", (F.ceil(F.lit(bins) * F.col("_i") / F.col("_all")) - 1).cast("int")).drop("_i", "_all")
 
 
 def strata(df: DataFrame, dimensions: Sequence[str], **aggregates: Column) -> DataFrame:

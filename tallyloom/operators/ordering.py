@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 Order = Sequence[Column | str]
 
 
-def ordinal(df: DataFrame, order: Order, name: str = "ord", parts: int | None = None) -> DataFrame:
-    """Dense numbers 1..n in an order over all rows, without bringing all rows to one task.
+def running(df: DataFrame, order: Order, **sums: Column) -> DataFrame:
+    """Inclusive running totals in an order over all rows, without bringing all rows to one task.
 
-    Rows are ranged into parts and numbered within each by a window over the part; a part's offset is the sum of the
-    counts before it (a table of `parts` rows). Order columns must decide every tie.
+    Rows are ranged into parts and summed within each by a window over the part; a part's offset is the total of the
+    parts before it, from a table with a row for each part. Order columns must decide every tie.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if n == 1:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long"))
-    ranged = df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).persist()
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(counts.select("_part", before.alias("_before")))  # `parts` rows
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return ranged.withColumn("_inside", inside).join(offsets, "_part").withColumn(name, (F.col("_inside") + F.col("_before")).cast("long")).drop("_part", "_inside", "_before")
+    ranged = df.withColumns({f"_v_{n}": v for n, v in sums.items()}).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).persist()
+    totals = ranged.groupBy("_part").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(totals.select("_part", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums)))  # a row a part
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({f"_v_{n}": F.sum(f"_v_{n}").over(inside) for n in sums}).join(offsets, "_part")
+    return out.withColumns({n: F.col(f"_v_{n}") + F.col(f"_t_{n}") for n in sums}).drop("_part", *(f"_{x}_{n}" for n in sums for x in "vt"))
+
+
+def ordinal(df: DataFrame, order: Order, name: str = "ord") -> DataFrame:
+    """Dense numbers 1..n in an order over all rows."""
+    return running(df, order, **{name: F.lit(1).cast("long")})
 
 
 def occurrence(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
@@ -52,6 +55,9 @@ def collected(column: str, order: str) -> Column:
 def average_rank(df: DataFrame, value: str, name: str = "avg_rank", by: Sequence[str] = ()) -> DataFrame:
     """Ranks in which ties share their mean: from counts per distinct value, so that ties never meet in one task."""
     sums = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = sums.select(*by, value, (upto - (F.col("_n") - 1) / 2.0).alias(name))
+    if by:
+        sums = sums.withColumn("_to", F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        sums = running(sums, [value], _to=F.col("_n"))
+    ranks = sums.select(*by, value, (F.col("_to") - (F.col("_n") - 1) / 2.0).alias(name))
     return df.join(ranks, [*by, value])

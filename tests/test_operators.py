@@ -19,7 +19,7 @@ def test_min_rank_and_rrf(spark):
 
 def test_ordinal_is_dense(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"), "id")
-    got = [r.ord for r in ordering.ordinal(rows, ["x", "id"], parts=5).orderBy("x", "id").collect()]
+    got = [r.ord for r in ordering.ordinal(rows, ["x", "id"]).orderBy("x", "id").collect()]
     assert got == list(range(1, 1001))
 
 
