@@ -6,7 +6,8 @@ point of clamping and redistributing until no source exceeds its cap.
 
 Each source's documents are dealt into buckets by a seeded hash, and each bucket repeats its own share, so that a
 source with a third of all rows is summed by many tasks. A bucket takes its fractional repetition as the documents that
-come first by hash; the document at the cut gives a part of its words. Only per-bucket cut keys are joined back.
+come first by hash; the document at the cut gives a part of its words. Only the sources and the buckets' cut keys are
+joined to the documents: broadcast while their counted rows are few, so that no text is shuffled, else by the planner.
 
 Cases: a null text counts 0 words; a null source is a source of its own, last in order; an empty table gives an empty
 result; rows that tie on the hash share the cut; a source without words has target 0; extra columns are kept, and
@@ -18,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SPACE, text_of
+from tallyloom.llm.common import SPACE, broadcast_if, staged, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUCKET_DOCS = 10_000
+#: Sources, and cuts (one for each bucket, some 100 bytes), that may be broadcast, so that texts stay where they are.
+BROADCAST_ROWS = 100_000
 
 
 def _sources(sized: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -58,7 +61,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     sized = docs.withColumn("_x_source", F.col("source")).withColumn("_x_size", F.regexp_count(text_of(), F.lit(f"[^{SPACE}]+")).cast("long"))
     sized = sized.withColumn("_x_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("_x_size").cast("string"))))
     narrow = sized.select("_x_source", "_x_size", "_x_key")
-    sources = _sources(narrow, weights, most)
+    sources = staged(_sources(narrow, weights, most))
+    sources = broadcast_if(sources, sources.count(), BROADCAST_ROWS)
     same = F.col("_x_source").eqNullSafe(F.col("_s_source"))
     bucket = (F.conv(F.substring("_x_key", 1, 8), 16, 10).cast("long") % F.col("_x_buckets")).alias("_x_bucket")
     keys = (
@@ -80,6 +84,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
         .groupBy(F.col("_x_source").alias("_c_source"), F.col("_x_bucket").alias("_c_bucket"))
         .agg(F.min(F.struct(F.col("_x_key"), (F.col("_x_want") - F.col("_x_to") + F.col("_x_words")).alias("give"), F.col("_x_words").alias("of"))).alias("_x_cut"))
     )
+    cuts = staged(cuts)  # a row a bucket
+    cuts = broadcast_if(cuts, cuts.count(), BROADCAST_ROWS)
     placed = sized.join(sources, same).drop("_s_source").withColumn("_x_bucket", bucket)
     out = placed.join(cuts, F.col("_x_source").eqNullSafe(F.col("_c_source")) & (F.col("_x_bucket") == F.col("_c_bucket")), "left")
     whole = F.when(F.col("_x_total") > 0, F.floor(F.col("_x_target") / F.col("_x_total"))).otherwise(F.lit(0)).cast("long")
