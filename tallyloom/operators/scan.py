@@ -75,6 +75,18 @@ def overlap(a: Column, b: Column) -> Column:
     return F.struct(both.alias("n_shared"), (both / F.nullif(n, F.lit(0))).alias("cov_a"), (both / F.nullif(m, F.lit(0))).alias("cov_b"), (both / F.nullif(n + m - both, F.lit(0))).alias("jaccard"))
 
 
+def word_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, words: Column) -> DataFrame:
+    """(a_key, b_key, n_shared, cov_a, cov_b, jaccard) for pairs that share a word; words are arrays of distinct ones."""
+
+    def each(df: DataFrame, key: str, n: str) -> DataFrame:
+        rows = df.select(key, words.alias("_w"))
+        return rows.select(key, F.size("_w").alias(n), F.explode("_w").alias("_word"))
+
+    both = each(a, a_key, "_n").join(each(b, b_key, "_m"), "_word").groupBy(a_key, b_key).agg(F.count(F.lit(1)).alias("n_shared"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
+    i = F.col("n_shared")
+    return both.select(a_key, b_key, "n_shared", (i / F.col("_n")).alias("cov_a"), (i / F.col("_m")).alias("cov_b"), (i / (F.col("_n") + F.col("_m") - i)).alias("jaccard"))
+
+
 def absence(df: DataFrame, rules: DataFrame, text: Column) -> DataFrame:
     """By rule (name, pattern): how many texts it matches; none is an absence. A rule table is short and is broadcast."""
     hits = df.select(text.alias("_t")).join(F.broadcast(rules), F.regexp_like("_t", F.col("pattern"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))

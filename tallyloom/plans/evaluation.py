@@ -131,9 +131,9 @@ def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.strata(_judged(spark, sf_dir), ["lang", "source", "correct"], n=F.count(F.lit(1)), rate=F.round(F.avg(F.col("positive").cast("int")), 9))
 
 
-@query("WITH t AS (SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS g, count(*) FILTER (quality = 1 AND toxic = 0) AS l, count(*) FILTER (quality = toxic) AS u, count(*) AS n FROM labels WHERE doc_id % 9 = 0), p AS (SELECT *, CAST(g + l AS INTEGER) AS m, CAST(least(g, l) AS INTEGER) AS k FROM t) SELECT g AS gained, l AS lost, u AS unchanged, n, (g - l) / n AS delta, round(least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2.0))))), 9) AS p FROM p")
+@query("WITH t AS (SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS g, count(*) FILTER (quality = 1 AND toxic = 0) AS l, count(*) FILTER (quality = toxic) AS u, count(*) AS n FROM labels), p AS (SELECT *, CAST(g + l AS INTEGER) AS m, CAST(least(g, l) AS INTEGER) AS k FROM t) SELECT g AS gained, l AS lost, u AS unchanged, n, (g - l) / n AS delta, round(least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2.0))))), 9) AS p FROM p")
 def paired_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").where("doc_id % 9 = 0")
+    rows = table(spark, sf_dir, "labels")
     return metrics.flips(rows, F.col("quality") == 1, F.col("toxic") == 1).withColumn("p", F.round("p", 9))
 
 

@@ -156,13 +156,13 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings")
-    return rows, rows.where(F.col("vec_id") % 10 == 0)
+    return rows, rows.where(F.col("vec_id") % 50 == 0)
 
 
 _COSINES = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
   s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, a.label AS ql, b.label AS dl, round(list_cosine_similarity(a.e, b.e), 6) AS score, list_cosine_similarity(a.e, b.e) AS raw
-        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0),
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
   hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS INTEGER) AS rank FROM s)
 """
 
@@ -191,7 +191,7 @@ def margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", *(F.round(c, 6).alias(c) for c in ("top1", "top2", "margin")), "doc_id")
 
 
-_GOLD = "gold AS (SELECT query_id, min(rank) AS rank FROM hits WHERE ql = dl AND rank <= 50 GROUP BY query_id), every AS (SELECT vec_id AS query_id, rank FROM v LEFT JOIN gold ON vec_id = query_id WHERE vec_id % 10 = 0)"
+_GOLD = "gold AS (SELECT query_id, min(rank) AS rank FROM hits WHERE ql = dl AND rank <= 50 GROUP BY query_id), every AS (SELECT vec_id AS query_id, rank FROM v LEFT JOIN gold ON vec_id = query_id WHERE vec_id % 50 = 0)"
 
 
 def _gold_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +265,7 @@ def _fused(rule: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, queries = _vectors(spark, sf_dir)
         hits = vector.similar(queries, rows, 10)
-        scores = hits.select((F.col("query_id") % 4).alias("stream"), F.floor(F.col("query_id") / 40).alias("item"), F.col("doc_id").alias("key"), "score")
+        scores = hits.select((F.col("query_id") / 50 % 4).cast("long").alias("stream"), F.floor(F.col("query_id") / 200).alias("item"), F.col("doc_id").alias("key"), "score")
         fused = fusion.fuse_scores(scores.groupBy("stream", "item", "key").agg(F.max("score").alias("score")), rule, ["item"])
         return ordering.top(fused.withColumn("fused", F.round("fused", 6)), ["item"], [F.desc("fused"), F.col("key")], 5).select("item", "key", "fused", "rank")
 
@@ -275,7 +275,7 @@ def _fused(rule: str):
 
 _STREAMED = (
     _COSINES
-    + """, sc AS (SELECT query_id % 4 AS stream, CAST(floor(query_id / 40) AS BIGINT) AS item, doc_id AS key, max(round(raw, 12)) AS score FROM hits WHERE rank <= 10 GROUP BY ALL),
+    + """, sc AS (SELECT CAST(query_id / 50 % 4 AS BIGINT) AS stream, CAST(floor(query_id / 200) AS BIGINT) AS item, doc_id AS key, max(round(raw, 12)) AS score FROM hits WHERE rank <= 10 GROUP BY ALL),
   rk AS (SELECT *, row_number() OVER (PARTITION BY item, stream ORDER BY score DESC, key) AS rank FROM sc), f AS (SELECT item, key, round({rule}, 6) AS fused FROM rk {where} GROUP BY item, key)
 SELECT item, key, fused, CAST(row_number() OVER (PARTITION BY item ORDER BY fused DESC, key) AS INTEGER) AS rank FROM f QUALIFY rank <= 5"""
 )
