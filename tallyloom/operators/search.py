@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,20 +72,40 @@ def collapse(hits: DataFrame, wording: str, order: Sequence[Column], limit: int,
     return top(rows, [], order, limit) if limit else rows
 
 
+def terms_of(phrase: str) -> tuple[list[str], list[str]]:
+    """(terms, dropped) of one phrase, by the rule of text.query_terms."""
+    every = list(dict.fromkeys(re.findall("[a-z0-9]+", phrase.lower())))
+    content = list(dict.fromkeys(re.findall("[a-z]{3,}", phrase.lower())))
+    return (content, [t for t in every if t not in content]) if content else (every, [])
+
+
+def scored_texts(docs: DataFrame, key: str, text: str, terms: Sequence[str], pattern: str = "[a-z]{3,}", keep: Column | None = None) -> DataFrame:
+    """(key, score, matched, and what is kept) of the texts that hold a term, without an index: one aggregate counts the texts that hold
+    each of the few terms, and a second pass adds up their idfs in place. Nothing is joined or shuffled."""
+    tokens = T.words(F.col(text), pattern)
+    held = [F.count_if(F.array_contains("t", w)).alias(f"df_{i}") for i, w in enumerate(terms)]
+    counts = docs.select(tokens.alias("t")).agg(F.count(F.lit(1)).alias("n"), *held).first()
+    idfs = [math.log((counts.n + 1.0) / (counts[f"df_{i}"] + 1.0)) for i in range(len(terms))]
+    total = sum(idfs) or 1.0
+    every = F.array(*map(F.lit, terms))
+    kept = [] if keep is None else [keep]
+    rows = docs.select(F.col(key).alias("key"), *kept, T.let(tokens, lambda t: F.filter(every, lambda w: F.array_contains(t, w))).alias("matched")).where(F.size("matched") > 0)
+    parts = [F.when(F.array_contains("matched", w), F.lit(v)).otherwise(0.0) for w, v in zip(terms, idfs, strict=True)]
+    return rows.select("key", F.round(sum(parts[1:], parts[0]) / total, 9).alias("score"), "matched", *rows.columns[1:-1])
+
+
 def search(docs: DataFrame, key: str, text: str, phrase: str, limit: int = 20, floor: float = FLOOR) -> DataFrame:
     """The page of a search: key, score (rounded to three places), n_matched_terms, collapsed_n, below_threshold, outcome.
 
     outcome: ok; low_confidence if the best hit is below the floor or one term was searched, which cannot tell hits
     apart. No hits, or nothing to search for, give no rows.
     """
-    found = docs.sparkSession.range(1).select(T.query_terms(F.lit(phrase)).alias("q")).first().q
-    hits = postings(docs, key, F.col(text), found.terms)
-    rows = scored(hits, found.terms, docs.count())
-    wording = docs.select(F.col(key).alias("key"), T.roster_normalise(F.col(text)).alias("wording"))
-    rows = collapse(rows.join(wording, "key"), "wording", [F.desc("score"), F.col("key")], limit)
+    terms = terms_of(phrase)[0] or [""]
+    rows = scored_texts(docs, key, text, terms, keep=F.xxhash64(T.roster_normalise(F.col(text))).alias("wording"))
+    rows = collapse(rows, "wording", [F.desc("score"), F.col("key")], limit)
     shown = F.round("score", 3)
     best = F.max(shown).over(Window.partitionBy())
-    outcome = F.when(F.lit(len(found.terms) < 2) | (best < floor), "low_confidence").otherwise("ok")
+    outcome = F.when(F.lit(len(terms) < 2) | (best < floor), "low_confidence").otherwise("ok")
     return rows.select("key", shown.alias("score"), F.size("matched").alias("n_matched_terms"), "collapsed_n", (shown < floor).alias("below_threshold"), outcome.alias("outcome"))
 
 
@@ -103,9 +125,8 @@ def many(docs: DataFrame, key: str, text: str, phrasings: Sequence[str], limit:
     """(stream, key, rank) of one search for each phrasing; the request itself is stream 0."""
     out = None
     for stream, phrase in enumerate(phrasings):
-        found = docs.sparkSession.range(1).select(T.query_terms(F.lit(phrase)).alias("q")).first().q
-        rows = scored(postings(docs, key, F.col(text), found.terms), found.terms, docs.count())
-        page = top(rows.select("key", F.round("score", 9).alias("score")), [], [F.desc("score"), F.col("key")], limit).select(F.lit(stream).alias("stream"), "key", "rank")
+        rows = scored_texts(docs, key, text, terms_of(phrase)[0] or [""])
+        page = top(rows.select("key", "score"), [], [F.desc("score"), F.col("key")], limit).select(F.lit(stream).alias("stream"), "key", "rank")
         out = page if out is None else out.unionByName(page)
     return out
 
