@@ -27,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bound_batches, text_of
+from tallyloom.llm.common import bound_batches, held, text_of
 
 ROLES = ("system", "user", "assistant")
 ESCAPE, OPEN, BODY, END = "\\", "### ", ": ", "</turn>\n"
 LEARNT = "assistant"
 _CONTROL = re.compile(r"\\|### |</turn>")
 _ESCAPED = re.compile(r"\\(\\|### |</turn>)")
-_encoders: dict[str, _Encoder] = {}
 
 
 def escape(text: str) -> str:
@@ -91,9 +90,7 @@ class _Encoder:
 
 
 def _encoder(tokenizer: str) -> _Encoder:
-    if tokenizer not in _encoders:
-        _encoders[tokenizer] = _Encoder(tokenizer)
-    return _encoders[tokenizer]
+    return held(f"chat {tokenizer}", lambda: _Encoder(tokenizer))
 
 
 TURNS = "conv_id long, place long, start long, ids array<int>, loss_from int, loss_to int"

@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that Spark hands to a Python worker at once; texts may be long.
-BATCH_ROWS, BATCH_BYTES = 1000, "16m"
+BATCH_ROWS, BATCH_BYTES = 500, "8m"
 
 #: ASCII white space, as a Java and RE2 character class.
 SPACE = r" \t\n\x0B\f\r"
@@ -54,6 +56,18 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between batches and tasks. Workers serve one stage after another, so keeping a thing
+    lets go of what an earlier stage kept."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """A broadcast hint only when the counted rows stay under a stated bound; else the planner shuffles."""
     return F.broadcast(df) if rows <= most else df

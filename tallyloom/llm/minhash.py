@@ -29,21 +29,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bound_batches, broadcast_if, staged
+from tallyloom.llm.common import bound_batches, broadcast_if, held, staged
 from tallyloom.llm.graph import components
 
 PLACES = 1 << 21
 COORDINATES = 128
 #: One bit each of so many further coordinates says whether two documents may be similar enough.
 SKETCH = 1024
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 #: Ids that may be broadcast (8 bytes each); above it the planner shuffles.
 BROADCAST_IDS = 1_000_000
 #: Star rounds before every pair that still crosses components is compared.
 ROUNDS = 2
 
-_tables: dict[tuple[int, int], np.ndarray] = {}
-
 
 class _Words(dict):
     """Hashes of words, kept while they are few."""
@@ -55,7 +53,16 @@ class _Words(dict):
         return found
 
 
-_words = _Words()
+class _Kept:
+    """A worker's hashes of words and tables of pi."""
+
+    def __init__(self):
+        self.words: _Words = _Words()
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _kept() -> _Kept:
+    return held("minhash", _Kept)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,7 +78,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(_kept().words.__getitem__, words), np.uint64, len(words))
     n = len(words) - size + 1
     acc = np.full(n, size, np.uint64)
     for j in range(size):
@@ -81,10 +88,11 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 def _circulant(seed: int, wide: int) -> np.ndarray:
     """pi, with its first entries again at the end, as rows of `wide` neighbours."""
-    if (seed, wide) not in _tables:
+    tables = _kept().tables
+    if (seed, wide) not in tables:
         pi = np.random.default_rng(seed).permutation(PLACES).astype(np.uint32)
-        _tables[seed, wide] = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:wide]]), wide)
-    return _tables[seed, wide]
+        tables[seed, wide] = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:wide]]), wide)
+    return tables[seed, wide]
 
 
 def signature(shingles: np.ndarray, seed: int, wide: int = COORDINATES) -> np.ndarray:

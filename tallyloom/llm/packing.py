@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bound_batches, staged
+from tallyloom.llm.common import bound_batches, held, staged
 
 WINDOW = 2048
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 400_000
 SHORT = 8
 BUCKET_ROWS = 20_000
 
@@ -40,7 +40,6 @@ _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: How byte-level vocabularies spell a byte: as its own sign if that can be seen, else by the next sign from 256.
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
-_encoders: dict[str, _Encoder] = {}
 
 
 class _Encoder(dict):
@@ -83,9 +82,7 @@ class _Encoder(dict):
 
 def token_bytes(text: str | None, tokenizer: str) -> bytes:
     """The ids of a whole text and the closing id 1, as little-endian unsigned 32-bit numbers."""
-    if tokenizer not in _encoders:
-        _encoders[tokenizer] = _Encoder(tokenizer)
-    return _encoders[tokenizer].encode(text or "") + b"\1\0\0\0"
+    return held(f"packing {tokenizer}", lambda: _Encoder(tokenizer)).encode(text or "") + b"\1\0\0\0"
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from tallyloom.llm.common import bound_batches, staged, text_of
 
 SAMPLE, FEATURES = 8000, 3000
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 
