@@ -11,7 +11,7 @@ documents at least and reaches `disclose` is generalised there, at `remove` it i
 all documents; terms and entities stay in tables, and only a counted, small table of terms is ever broadcast.
 
 Patterns use possessive loops and start only where a run of signs begins, so that they neither recurse nor go back over
-long runs; what they match is the same.
+long runs; what they match is the same. The leading zeros of an address part are not possessive: a part may be zero.
 
 Cases: null text is empty; null ids are kept; rows with the same id and text share their spans; an empty table gives an
 empty result; extra columns are kept by `sanitised`, not read by `spans`.
@@ -32,7 +32,7 @@ EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IN_RANGE = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 TERM = r"\p{L}{3,}+"
 #: Terms (some 20 bytes each) that may be broadcast; above it the planner shuffles the corpus' terms.

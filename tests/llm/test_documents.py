@@ -113,6 +113,14 @@ def test_patterns_match_plain_expressions(spark):
         assert r.spans == ",".join(_base(HARD[r.doc_id] or "")), r.doc_id
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1 127.0.0.1", "0.0.0.0", "00.1.2.3 000.000.000.000 0256.1.1.1", "192.168.0.1, 1.2.3.0, 00255.0.0.00255, 300.0.0.0", f"{'0' * 3000}.{'0' * 3000}.0.256"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.spans(docs).select("doc_id", queries_pii._listed(F.col("_p_spans")).alias("spans")).collect():
+        assert r.spans == ",".join(_base(texts[r.doc_id])), r.doc_id
+    assert [r.text for r in pii.sanitised(docs.where("doc_id < 2")).orderBy("doc_id").collect()] == ["<IP> <IP>", "<IP>"]
+
+
 def test_revealing_terms_are_replaced(spark):
     rows = [(i, f"write to quillon zebrane at ann{i % 2}@corp.example.org about the plan") for i in range(6)]
     rows += [(10 + i, "the plan is to write about corn and the weather") for i in range(60)]
