@@ -6,9 +6,10 @@ gaps between them, in code points.
 
 Every value found is a protected entity. For the terms around its occurrences (`reach` code points on either side) the
 corpus tells how strongly a term reveals the entity: pointwise mutual information over documents, as a share of the
-entity's own information, log(n_te N / (n_t n_e)) / log(N / n_e). A term that was seen with the entity in `support`
-documents at least and reaches `disclose` is generalised there, at `remove` it is removed. Counts n_t and N are over
-all documents; terms and entities stay in tables, and only a counted, small table of terms is ever broadcast.
+entity's own information, log(n_te N / ((n_t + 1) n_e)) / log(N / n_e). The one added to a term's documents keeps few
+documents from being proof; no number of joint documents is asked for, so that an entity seen once has its terms too. A
+term that reaches `disclose` is generalised there, at `remove` it is removed. Counts n_t and N are over all documents;
+terms and entities stay in tables, and only a counted, small table of terms is ever broadcast.
 
 Patterns use possessive loops and start only where a run of signs begins, so that they neither recurse nor go back over
 long runs; what they match is the same. The leading zeros of an address part are not possessive: a part may be zero.
@@ -111,17 +112,17 @@ def _around(text: Column, reach: int) -> Column:
     return F.filter(terms, lambda t: ~F.exists("_p_spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
 
 
-def spans(docs: DataFrame, reach: int = 64, support: int = 3, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
+def spans(docs: DataFrame, reach: int = 64, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
     """doc_id, _p_hash and _p_spans (k, s, e, v) of every row, terms included (their v is generalise or remove)."""
     rows = found(docs.select("doc_id", text_of().alias("text")), F.col("text")).withColumn("_p_hash", F.xxhash64("text"))
     rows = staged(rows.select("doc_id", "_p_hash", "_p_spans", F.when(F.size("_p_spans") > 0, _around(F.col("text"), reach)).alias("_p_around")))
     total = rows.count()
     once = rows.select(F.explode(F.array_distinct(F.transform("_p_around", lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"))))).alias("x")).select("x.v", "x.t")
-    pairs = once.groupBy("v", "t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    pairs = once.groupBy("v", "t").agg(F.count(F.lit(1)).alias("n_te"))
     entities = rows.select(F.explode(F.array_distinct(F.transform("_p_spans", lambda x: x["v"]))).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n_e"))
     # a term stands in no fewer documents than around entities, so most cannot reach the threshold: exactly those go
     near = rows.select(F.explode(F.array_distinct(F.transform("_p_around", lambda x: x["t"]))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    share = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+    share = F.log(F.col("n_te") * F.lit(float(total)) / ((F.col("n_t") + 1) * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     pairs = pairs.join(entities, "v").where(F.col("n_e") < total).join(near, "t").where(share >= disclose).drop("n_t")
     pairs = staged(pairs)
     wanted = staged(pairs.select("t").distinct())

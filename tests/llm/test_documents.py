@@ -133,6 +133,16 @@ def test_revealing_terms_are_replaced(spark):
     assert clean[10] == rows[6][1]
 
 
+@pytest.mark.parametrize("times", [1, 2])
+def test_terms_of_a_rare_entity_are_replaced(spark, times):
+    """An entity of one or two documents has its terms; a term that many documents share is none."""
+    rows = [(i, "write to Quillon about the plan at ann@corp.example.org") for i in range(times)]
+    rows += [(10 + i, "the plan is to write about corn and the weather") for i in range(100)]
+    clean = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(clean[i] == "write to <TERM> about the plan at <EMAIL>" for i in range(times))
+    assert clean[10] == rows[times][1]
+
+
 def test_cleaned_merges_overlaps(spark):
     docs = spark.createDataFrame([(1, "tel +1.2.3.4.5678, 4111 1111 1111 1111, x@y.zz!")], "doc_id long, text string")
     assert pii.sanitised(docs).first().text == "tel <PHONE>, <CARD>, <EMAIL>!"
