@@ -4,12 +4,13 @@ Expressions only. Emails, IP addresses, payment cards and phone numbers are foun
 those that fail their check (parts, length, Luhn) are dropped. Positions follow from the lengths of matches and of the
 gaps between them, in code points.
 
-Every value found is a protected entity. For the terms around its occurrences (`reach` code points on either side) the
-corpus tells how strongly a term reveals the entity: pointwise mutual information over documents, as a share of the
-entity's own information, log(n_te N / ((n_t + 1) n_e)) / log(N / n_e). The one added to a term's documents keeps few
+Every value found is a protected entity. For every term of the documents that hold it, wherever in them, the corpus
+tells how strongly the term reveals the entity: pointwise mutual information over documents, as a share of the entity's
+own information, log(n_te N / ((n_t + 1) n_e)) / log(N / n_e). The one added to a term's documents keeps few
 documents from being proof; no number of joint documents is asked for, so that an entity seen once has its terms too. A
-term that reaches `disclose` is generalised there, at `remove` it is removed. Counts n_t and N are over all documents;
-terms and entities stay in tables, and only a counted, small table of terms is ever broadcast.
+term that reaches `disclose` is generalised wherever it stands in the entity's documents, at `remove` it is removed.
+Counts n_te, n_t and N are over whole texts of all documents; terms and entities stay in tables, and only a counted,
+small table of terms is ever broadcast.
 
 Patterns use possessive loops and start only where a run of signs begins, so that they neither recurse nor go back over
 long runs; what they match is the same. The leading zeros of an address part are not possessive: a part may be zero.
@@ -40,6 +41,7 @@ TERM = r"\p{L}{3,}+"
 BROADCAST_TERMS = 200_000
 
 _LONGS = "array<struct<s:int,e:int,v:string>>"
+_MARKS = "array<struct<k:int,s:int,e:int,v:string>>"
 
 
 def _digits(m: Column) -> Column:
@@ -88,57 +90,56 @@ def found(docs: DataFrame, text: Column) -> DataFrame:
     return docs.drop(*every, *(f"{c}_at" for c in every))
 
 
-def _around(text: Column, reach: int) -> Column:
-    """For each span, the terms on either side: array of (v, t, s, e)."""
+def _terms(text: Column) -> Column:
+    """Every term of a text once: runs of three letters or more, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def side(span: Column, at: Column, size: Column, whole_left: Column, whole_right: Column) -> Column:
-        # a sign beside the cut keeps parts of words apart from whole ones
-        piece = F.concat(F.when(whole_left, " ").otherwise("x"), F.substring(text, at + 1, size), F.when(whole_right, " ").otherwise("x"))
-        whole = r"(?<!\p{L})" + TERM + r"(?!\p{L})"
-        words = F.regexp_extract_all(piece, F.lit(whole), F.lit(0))
-        ends = F.when(whole_left, F.lit(0)).otherwise(F.lit(1)), F.when(whole_right, F.char_length(piece)).otherwise(F.char_length(piece) - 1)
-        inside = F.filter(_places(piece, words, whole), lambda w: (w["s"] >= ends[0]) & (w["e"] <= ends[1]))
-        return F.transform(inside, lambda w: F.struct(span["v"].alias("v"), F.lower(w["v"]).alias("t"), (at + w["s"] - 1).alias("s"), (at + w["e"] - 1).alias("e")))
 
-    def both(span: Column) -> Column:
-        n = F.char_length(text)
-        before = F.least(F.lit(reach), span["s"])
-        after = F.least(F.lit(reach), n - span["e"])
-        left = side(span, span["s"] - before, before, span["s"] <= reach, F.lit(True))
-        right = side(span, span["e"], after, F.lit(True), span["e"] + reach >= n)
-        return F.concat(left, right)
+def _standing(text: Column, told: Column) -> Column:
+    """Where the terms of told, an array of (t, v), stand in a text outside its spans: array of (k, s, e, v)."""
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split(text, TERM, -1), F.lit(1), F.size(words)).alias("gap"), words.alias("word"))
+    known = F.map_from_entries(told)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_MARKS).alias("out"))
 
-    terms = F.flatten(F.transform("_p_spans", both))
-    return F.filter(terms, lambda t: ~F.exists("_p_spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+    def step(state: Column, pair: Column) -> Column:
+        s = state["at"] + F.char_length(pair["gap"])
+        e = s + F.char_length(pair["word"])
+        v = F.try_element_at(known, F.lower(pair["word"]))
+        more = F.concat(state["out"], F.array(F.struct(F.lit(4).alias("k"), s.alias("s"), e.alias("e"), v.alias("v"))))
+        return F.struct(e.alias("at"), F.when(v.isNotNull(), more).otherwise(state["out"]).alias("out"))
+
+    return F.filter(F.aggregate(pairs, start, step)["out"], lambda t: ~F.exists("_p_spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
 
 
-def spans(docs: DataFrame, reach: int = 64, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
+def spans(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
     """doc_id, _p_hash and _p_spans (k, s, e, v) of every row, terms included (their v is generalise or remove)."""
-    rows = found(docs.select("doc_id", text_of().alias("text")), F.col("text")).withColumn("_p_hash", F.xxhash64("text"))
-    rows = staged(rows.select("doc_id", "_p_hash", "_p_spans", F.when(F.size("_p_spans") > 0, _around(F.col("text"), reach)).alias("_p_around")))
+    rows = found(docs.select("doc_id", text_of().alias("text")), F.col("text")).withColumns({"_p_hash": F.xxhash64("text"), "_p_row": F.monotonically_increasing_id()})
+    rows = staged(rows.select("_p_row", "doc_id", "_p_hash", "_p_spans", F.when(F.size("_p_spans") > 0, F.col("text")).alias("_p_text")))
     total = rows.count()
-    once = rows.select(F.explode(F.array_distinct(F.transform("_p_around", lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"))))).alias("x")).select("x.v", "x.t")
-    pairs = once.groupBy("v", "t").agg(F.count(F.lit(1)).alias("n_te"))
-    entities = rows.select(F.explode(F.array_distinct(F.transform("_p_spans", lambda x: x["v"]))).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n_e"))
-    # a term stands in no fewer documents than around entities, so most cannot reach the threshold: exactly those go
-    near = rows.select(F.explode(F.array_distinct(F.transform("_p_around", lambda x: x["t"]))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    share = F.log(F.col("n_te") * F.lit(float(total)) / ((F.col("n_t") + 1) * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    pairs = pairs.join(entities, "v").where(F.col("n_e") < total).join(near, "t").where(share >= disclose).drop("n_t")
-    pairs = staged(pairs)
-    wanted = staged(pairs.select("t").distinct())
-    few = wanted.count()
-    told = rows.withColumn("_p_terms", F.array().cast("array<struct<k:int,s:int,e:int,v:string>>"))
-    if few:
-        words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0)))).alias("t"))
-        counts = words.join(broadcast_if(wanted, few, BROADCAST_TERMS), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-        telling = pairs.join(counts, "t").withColumn("share", share).where(F.col("share") >= disclose).select("v", "t", "share")
-        telling = staged(telling)
-        each = rows.where(F.size("_p_around") > 0).select("doc_id", "_p_hash", F.explode("_p_around").alias("x")).select("doc_id", "_p_hash", "x.*")
-        each = each.join(broadcast_if(telling, telling.count(), BROADCAST_TERMS), ["v", "t"])
-        span = F.struct(F.lit(4).alias("k"), "s", "e", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("v"))
-        terms = each.groupBy("doc_id", "_p_hash", "s", "e").agg(F.max("share").alias("share")).groupBy(F.col("doc_id").alias("_t_id"), F.col("_p_hash").alias("_t_hash")).agg(F.sort_array(F.collect_list(span)).alias("_p_terms"))
-        told = rows.join(terms, F.col("doc_id").eqNullSafe(F.col("_t_id")) & (F.col("_p_hash") == F.col("_t_hash")), "left")
-    return told.select("doc_id", "_p_hash", F.concat("_p_spans", F.coalesce("_p_terms", F.array().cast("array<struct<k:int,s:int,e:int,v:string>>"))).alias("_p_spans"))
+    some = rows.where(F.size("_p_spans") > 0)
+    held = some.select("_p_row", F.explode(F.array_distinct(F.transform("_p_spans", lambda x: x["v"]))).alias("v"))
+    entities = held.groupBy("v").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < total)
+    held = staged(held.join(entities, "v"))
+    # n_te is at most n_e, so that a term of more documents than this reaches the threshold with no entity
+    most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - disclose)) * (1 + 1e-9) - 1
+    limit = held.agg(F.max(most)).first()[0]
+    told = rows.withColumn("_p_terms", F.array().cast(_MARKS))
+    if limit is not None:
+        words = some.select("_p_row", F.explode(_terms(F.col("_p_text"))).alias("t"))
+        near = words.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("t")
+        counts = docs.select(F.explode(_terms(text_of())).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= limit)
+        rare = staged(counts.join(near, "t", "left_semi"))
+        words = staged(words.join(broadcast_if(rare, rare.count(), BROADCAST_TERMS), "t"))
+        both = words.join(held, "_p_row").where(F.col("n_t") <= most)
+        share = F.log(F.col("n_te") * F.lit(float(total)) / ((F.col("n_t") + 1) * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+        pairs = both.groupBy("v", "t", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te"))
+        telling = staged(pairs.withColumn("share", share).where(F.col("share") >= disclose).select("v", "t", "share"))
+        each = both.select("_p_row", "v", "t").join(broadcast_if(telling, telling.count(), BROADCAST_TERMS), ["v", "t"])
+        how = F.when(F.max("share") >= remove, "remove").otherwise("generalise").alias("how")
+        each = each.groupBy("_p_row", "t").agg(how).groupBy("_p_row").agg(F.collect_list(F.struct("t", "how")).alias("_p_told"))
+        told = rows.join(each, "_p_row", "left").withColumn("_p_terms", F.when(F.col("_p_told").isNotNull(), _standing(F.col("_p_text"), F.col("_p_told"))))
+    return told.select("doc_id", "_p_hash", F.concat("_p_spans", F.coalesce("_p_terms", F.array().cast(_MARKS))).alias("_p_spans"))
 
 
 def _cleaned(text: Column, spans_: Column) -> Column:

@@ -143,6 +143,14 @@ def test_terms_of_a_rare_entity_are_replaced(spark, times):
     assert clean[10] == rows[times][1]
 
 
+def test_terms_far_from_their_entity_are_replaced(spark):
+    """A name in the heading and again in the middle, with the email at the end."""
+    fill = "the plan is to write about corn and the weather " * 5
+    rows = [(0, f"Quillon\n{fill}QUILLON {fill}at ann@corp.example.org")] + [(10 + i, fill) for i in range(100)]
+    clean = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[0] == f"<TERM>\n{fill}<TERM> {fill}at <EMAIL>" and clean[10] == fill
+
+
 def test_cleaned_merges_overlaps(spark):
     docs = spark.createDataFrame([(1, "tel +1.2.3.4.5678, 4111 1111 1111 1111, x@y.zz!")], "doc_id long, text string")
     assert pii.sanitised(docs).first().text == "tel <PHONE>, <CARD>, <EMAIL>!"
