@@ -1,4 +1,4 @@
-"""Connected components of a table of links by minimum labels and pointer jumping; nothing is collected."""
+"""Connected components of a table of links by alternating large and small stars; nothing is collected."""
 
 from __future__ import annotations
 
@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import staged
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(v, label): for every vertex of links (a long, b long) the smallest vertex that it is connected to.
 
-    Every round takes the smallest label among a vertex and its neighbours (partial sums collapse a hot vertex), then
-    the label of that label, so stars end in two rounds and paths in about as many as the logarithm of their length.
-    An empty table gives an empty table; links to itself and repeated links do no harm.
+    A round links the larger neighbours of every vertex to the least around it, then every vertex with its smaller
+    neighbours to the least of these. Neither adds links or changes what is connected. Rounds go on until the links stay
+    the same, which are then stars around the smallest vertices; stars end at once, and paths in about as many rounds as
+    the logarithm of their length, whatever the order of their ids. An empty table gives an empty table; links to itself
+    and repeated links do no harm.
     """
-    both = staged(links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a")))
-    labels = staged(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        least = labels.join(near, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        jumped = least.join(up, "label").select("v", "was", F.least("label", "up").alias("label"))
-        labels = staged(jumped)
-        if labels.where("label <> was").isEmpty():
-            break
-        labels = labels.select("v", "label")
-    return labels.select("v", "label")
+    ends = staged(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    stars = ends.where("hi > lo")
+    digest = [F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))]
+    was = (0, None)
+    while was != (now := tuple(stars.agg(*digest).first())):
+        was = now
+        both = stars.select(F.col("hi").alias("v"), F.col("lo").alias("w")).union(stars.select("lo", "hi"))
+        least = both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("least"))
+        large = staged(both.where("w > v").join(least, "v").select(F.col("w").alias("hi"), F.col("least").alias("lo")).distinct())
+        least = large.groupBy("hi").agg(F.min("lo").alias("least"))
+        small = large.join(least, "hi").select(F.explode(F.array(F.struct("hi", "least"), F.struct(F.col("lo").alias("hi"), "least"))).alias("x"))
+        stars = staged(small.select("x.hi", F.col("x.least").alias("lo")).where("hi > lo").distinct())
+    every = stars.union(ends.select("lo", "lo")).union(ends.select("hi", "hi"))
+    return every.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("label"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import minhash, mixing, packing, pii, queries_packing, queries_pii
+from tallyloom.llm import graph, minhash, mixing, packing, pii, queries_packing, queries_pii
 from tests.conftest import DATA
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
@@ -55,6 +55,17 @@ def test_near_duplicates_of_a_hostile_group(spark, size, percent):
     assert {r.doc_id: r.n_shingles for r in found} == sizes
 
 
+def test_components_of_long_chains(spark):
+    """Chains of 1,000 with shuffled ids and with the order 1, n, n - 1 .. 2, a star, a link to itself."""
+    order = [int(x) for x in np.random.default_rng(3).permutation(1000)]
+    links = list(itertools.pairwise(order)) + [(2000, 2999)] + [(i, i - 1) for i in range(2002, 3000)]
+    links += [(4500, 4000 + i) for i in range(300)] + [(5000, 5000), (4500, 4000)]
+    got = {r.v: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {**dict.fromkeys(order, 0), 2000: 2000, **dict.fromkeys(range(2001, 3000), 2000), **dict.fromkeys([*range(4000, 4300), 4500], 4000), 5000: 5000}
+    assert got == want
+    assert graph.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
 def test_one_of_each(spark):
     docs = spark.createDataFrame([(5, "a b c d e f g", 1), (3, "a b c d e f g", 2), (9, "z", 3), (None, "a b c d e f g", 4)], "doc_id long, text string, label int")
     assert sorted(r.label for r in minhash.one_of_each(docs).collect()) == [2, 3, 4]
