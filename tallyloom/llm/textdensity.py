@@ -2,7 +2,9 @@
 
 A page is read once into a flat list of nodes (parents before children), forgiving what is left open. Parts that are
 never article text (scripts, menus, page headers and footers, sidebars, notices, adverts, forms, reader comments; told
-by element, role, and words of class and id) are cut off, unless they hold the article themselves. Over what is left
+by element, role, and words of class and id) are cut off, unless they hold the article themselves. Words say nothing of
+headings and paragraphs; a part inside an article whose words as often name its subject (discussion, legal, related ..)
+stays if it reads as text; a part with most of the page's text stays if no article stands elsewhere. Over what is left
 every node gets its characters per tag, adjusted by how much of both is links; a node's density sum adds up its
 children's densities. The node with the largest sum is the core, the least density on its path to the body is the
 threshold, and every node above the threshold marks the core of its own subtree. The result is the smallest subtree
@@ -50,6 +52,12 @@ NAMES = frozenset(
     " toolbar pagination pager paywall teaser teasers outbrain taboola disclaimer responses discussion reactions rail"
     " aside skip legal privacy adsbygoogle adbox adslot".split()
 )
+#: Those of NAMES that name a section of an article as often as a part beside it.
+SUBJECTS = frozenset(
+    "related search legal privacy social notice notices alert notification discussion responses replies reactions"
+    " disclaimer comment copyright share sharing navigation banner promotion login recommended recommendations".split()
+)
+WITHOUT = frozenset("no without has".split())  # no-sidebar and has-sidebar name a part that is not there or inside
 HEADS = frozenset("header topbar masthead".split())
 OWN_HEADS = frozenset("article post entry story content main title".split())
 CLOSES = {  # an element that starts closes these, up to the nearest of the second
@@ -65,6 +73,8 @@ CLOSES = {  # an element that starts closes these, up to the nearest of the seco
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 HOLDS_P = frozenset("article section div main aside td th li blockquote body html header footer nav form dd button table figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A part reads as text if it has so many characters and at most a quarter of them in links.
+READABLE = 100
 
 
 class Page:
@@ -115,27 +125,30 @@ class Page:
     def _open(self, parent: int, name: str, rest: str) -> int:
         self.tag.append(name)
         self.parent.append(parent)
-        # 1 is off whatever else it holds (but for an article), 2 only if it does not hold the first heading either
-        self.off.append(1 if name in OFF else self._unwanted(rest) if rest and name not in ("html", "body", "article", "main") else 0)
+        # 1 is off whatever else it holds (but for an article), the others by words: 2 only if it does not hold the first
+        # heading either, 4 nor reads as text inside an article; 3 is a header
+        off = 1 if name in OFF else self._unwanted(rest) if rest and name not in ("html", "body", "article", "main") else 0
+        self.off.append(0 if off > 1 and (name == "p" or name in HEADINGS) else off)
         return len(self.tag) - 1
 
     def _unwanted(self, rest: str) -> int:
         low = rest.lower()
         if not any(k in low for k in ("class", "id", "role", "hidden", "style")):
             return 0
-        named = 0
+        named: set[str] = set()
+        headed = False
         for k, *values in _ATTRIBUTE.findall(rest):
             k, value = k.lower(), "".join(values)
             if k in ("class", "id"):
-                parts = {x.lower() for x in _PARTS.findall(value)}
-                if not HEADS.isdisjoint(parts) and OWN_HEADS.isdisjoint(parts):
-                    return 3
-                named = 2 if not NAMES.isdisjoint(parts) else named
+                each = [{x.lower() for x in _PARTS.findall(name)} for name in value.split()]
+                parts = set().union(*(x for x in each if WITHOUT.isdisjoint(x)))
+                headed |= not HEADS.isdisjoint(parts) and OWN_HEADS.isdisjoint(parts)
+                named |= NAMES & parts
             elif k == "role" and value.lower() in ROLES or k == "hidden" or k == "aria-hidden" and value.lower() == "true":
                 return 1
             elif k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return 1
-        return named
+        return 3 if headed else 0 if not named else 4 if named <= SUBJECTS else 2
 
     def _make_room(self, stack: list[int], name: str) -> None:
         closed, until = CLOSES.get(name, (frozenset(), frozenset()))
@@ -171,6 +184,32 @@ def _composite(c: float, t: float, lc: float, lt: float, ratio: float) -> float:
     return c / t * math.log(links) / max(base, 1.0)
 
 
+def _cut_named(page: Page, cut: list[bool], in_link: list[bool], holds: list[bool], first: list[bool], inside: list[bool]) -> None:
+    """Cuts the parts that words of class and id tell, judged by the text that they and the rest of the page have."""
+    tag, parent, off = page.tag, page.parent, page.off
+    n = len(tag)
+    chars, linked = [0] * n, [0] * n
+    for node, text in page.texts:
+        if text is not None and not cut[node]:
+            chars[node] += (size := len(text.strip()))
+            linked[node] += size * in_link[node]
+    for i in range(n - 1, 0, -1):
+        if not cut[i]:
+            chars[parent[i]] += chars[i]
+            linked[parent[i]] += linked[i]
+    article = any(tag[i] in ("article", "main") and chars[i] and not cut[i] for i in range(n))
+    heading = any(tag[i] == "h1" and chars[i] and not cut[i] for i in range(n))
+    for i in range(1, n):
+        if cut[i] or cut[parent[i]]:
+            cut[i] = True
+        elif off[i] in (2, 4) and not holds[i] and not first[i]:
+            plain = chars[i] - linked[i]
+            other = chars[0] - linked[0] - plain
+            most = not article and 2 * plain > chars[0] - linked[0] and (not heading or 4 * other <= plain)
+            reads = off[i] == 4 and inside[i] and chars[i] >= READABLE and 4 * linked[i] <= chars[i]
+            cut[i] = not most and not reads
+
+
 def main_text(html: str | None) -> str:
     """The article of a whole page: blocks in page order, one a line."""
     if not html:
@@ -189,12 +228,13 @@ def main_text(html: str | None) -> str:
         holds[parent[i]] |= holds[i]
         first[parent[i]] |= first[i]
     cut = [False] * n
-    for i in range(1, n):
-        cut[i] = cut[parent[i]] or off[i] == 1 and not holds[i] or off[i] == 2 and not holds[i] and not first[i]
-    chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for i in range(1, n):
+        cut[i] = cut[parent[i]] or off[i] == 1 and not holds[i]
         in_link[i] = in_link[parent[i]] or tag[i] == "a"
+    if any(x > 1 for x in off):
+        _cut_named(page, cut, in_link, holds, first, inside)
+    chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in page.texts:
         if text is not None and not cut[node]:
             chars[node] += (size := len(text.strip()))

@@ -114,6 +114,22 @@ def test_pages(html, want):
     assert main_text(html) == want
 
 
+PART = "Some words of the article that go on for a while, so that this part reads as a text and not as a box. " * 2
+NAMED = [
+    (f'<article><h1>T</h1><p>{PART}</p><h2 id="related-work">Related work</h2><p class="legal">By law.</p></article>', f"T\n{PART.strip()}\nRelated work\nBy law."),
+    (f'<article><h1>T</h1><p>{PART}</p><section id="discussion"><h2>Discussion</h2><p>{PART}</p></section></article>', f"T\n{PART.strip()}\nDiscussion\n{PART.strip()}"),
+    (f'<article><p>{PART}</p><div class="related"><a href="a">{PART}</a></div><div class="ad">{PART}</div></article>', PART.strip()),
+    (f'<body><div class="no-sidebar"><p>{PART}</p><p>{PART}</p></div></body>', f"{PART.strip()}\n{PART.strip()}"),
+    (f'<body><header><h1>Site</h1></header><div class="sidebar-layout"><p>{PART}</p><p>{PART}</p></div></body>', f"{PART.strip()}\n{PART.strip()}"),
+    (f'<body><article><h1>T</h1><p>{PART}</p></article><div class="comments"><p>{PART * 5}</p></div></body>', f"T\n{PART.strip()}"),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), NAMED)
+def test_words_of_class_and_id_cut_no_text(html, want):
+    assert main_text(html) == want
+
+
 def test_articles_of_the_table(spark):
     import html as entities
 
