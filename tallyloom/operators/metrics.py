@@ -125,7 +125,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return pearson(ranked, "_rx", "_ry").withColumnRenamed("pearson", "spearman")
 
 
-def bootstrap(df: DataFrame, cluster: str, before: Column, after: Column, draws: int = 2000, seed: int = 1, width: float = 0.95) -> DataFrame:
+def bootstrap(df: DataFrame, cluster: str, before: Column, after: Column, draws: int = 20_000, seed: int = 1, width: float = 0.95) -> DataFrame:
     """One row: a percentile interval of the paired difference, clusters drawn with replacement.
 
     A cluster's count in a draw is its Poisson(1) number, from a generator seeded by (draw, cluster): no cluster has to
@@ -149,25 +149,51 @@ def bootstrap(df: DataFrame, cluster: str, before: Column, after: Column, draws:
     return percentiles(every, "delta", "floor", low=tail, high=1 - tail).withColumn("draws", F.lit(draws))
 
 
-def permutation(df: DataFrame, x: str, y: str, rounds: int = 2000, per_task: int = 100, seed: int = 1, most: int = 100_000) -> DataFrame:
-    """One row: the two-sided permutation p of a correlation. A statistic for samples: at most `most` rows (checked),
-    which every task holds while it shuffles its share of the rounds."""
+def permutation(df: DataFrame, x: str, y: str, rounds: int = 20_000, per_task: int = 500, seed: int = 1, block: int = 100_000) -> DataFrame:
+    """One row: the two-sided permutation p of a correlation, null where that has no value.
+
+    Rows are numbered by (x, y) and cut into blocks; a task holds the x of one block and the y of one. A round's
+    shuffle is drawn in two steps that any task can repeat from (seed, round): how many y of each block go to each block
+    of x (hypergeometric), and which (a shuffle of each block, cut at these numbers). So every permutation of all rows is
+    as likely as any other, no task holds all rows, and results do not depend on partitions.
+    """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    held = rows.limit(most + 1).toPandas()
-    if len(held) > most:
-        raise ValueError(f"a permutation test takes at most {most} rows")
-    a, b = held["x"].to_numpy(), held["y"].to_numpy()
-    observed = abs(np.corrcoef(a, b)[0, 1]) if len(a) > 2 else np.nan
+    n, mx, my, sx, sy, shared = rows.agg(F.count(F.lit(1)), F.avg("x"), F.avg("y"), F.stddev_pop("x"), F.stddev_pop("y"), F.covar_pop("x", "y")).first()
+    if n < 3 or not sx or not sy:
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("p"), F.lit(float("nan")).alias("observed"))
+    observed, sizes = abs(shared / (sx * sy)), [min(block, n - at) for at in range(0, n, block)]
+    scaled = rows.select("x", "y", ((F.col("x") - mx) / sx).alias("a"), ((F.col("y") - my) / sy).alias("b"))
+    placed = ordinal(scaled, ["x", "y"], "i").withColumn("block", F.floor((F.col("i") - 1) / block).cast("int"))
+    blocks = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("v"))
+    left = blocks.select(F.col("block").alias("p"), F.col("v.a").alias("a"))
+    right = blocks.select(F.col("block").alias("q"), F.col("v.b").alias("b"))
+    starts = df.sparkSession.range(0, rounds, per_task).withColumnRenamed("id", "first")
+    work_on = left.crossJoin(right).crossJoin(starts).repartition(min(4096, len(sizes) ** 2 * -(-rounds // per_task)), "p", "q", "first")
+
+    def cuts(round_: int) -> np.ndarray:
+        """How many rows of x block p (row) meet rows of y block q (column)."""
+        if len(sizes) == 1:
+            return np.array([sizes])
+        rng, free, table = np.random.default_rng([seed, round_, 0]), np.array(sizes), []
+        for size in sizes:
+            table.append(rng.multivariate_hypergeometric(free, size, method="marginals"))
+            free = free - table[-1]
+        return np.array(table)
 
     def work(batches):
         for batch in batches:
-            for start in batch["id"]:
-                rng = np.random.default_rng([seed, int(start)])
-                hits = sum(abs(np.corrcoef(a, rng.permutation(b))[0, 1]) >= observed - 1e-12 for _ in range(per_task))
-                yield pd.DataFrame({"hits": [int(hits)], "rounds": [per_task]})
-
-    tasks = df.sparkSession.range(-(-rounds // per_task))
-    return tasks.mapInPandas(work, "hits long, rounds long").agg(F.sum("hits").alias("hits"), F.sum("rounds").alias("rounds")).select(((F.col("hits") + 1) / (F.col("rounds") + 1)).alias("p"), F.lit(float(observed)).alias("observed"))
+            for p, a, q, b, first in batch.itertuples(index=False):
+                sums = []
+                for r in range(first, min(first + per_task, rounds)):
+                    table = cuts(r)
+                    mine = np.random.default_rng([seed, r, 1, p]).permutation(a) if len(sizes) > 1 else a
+                    theirs = np.random.default_rng([seed, r, 2, q]).permutation(b)
+                    s, t, m = table[p, :q].sum(), table[:p, q].sum(), table[p, q]
+                    sums.append(float(mine[s : s + m] @ theirs[t : t + m]))
+                yield pd.DataFrame({"round": range(first, first + len(sums)), "s": sums})
+
+    every = work_on.mapInPandas(work, "round long, s double").groupBy("round").agg(F.abs(F.sum("s") / n).alias("r"))
+    return every.agg(((F.count_if(F.col("r") >= observed - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p")).select("p", F.lit(float(observed)).alias("observed"))
 
 
 def equal_bins(df: DataFrame, order: Sequence[Column | str], bins: int = 4) -> DataFrame:

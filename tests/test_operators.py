@@ -2,12 +2,15 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import stats as S
 from tallyloom.operators import dictionary, fusion, lookup, metrics, ordering, records, rubric, search
+from tallyloom.plans import evaluation
 from tallyloom.sources import readers, sinks
+from tests.conftest import DATA
 
 
 def test_min_rank_and_rrf(spark):
@@ -48,6 +51,30 @@ def test_auroc_and_sweep(spark):
     assert [(r.tau, r.n_answered, r.precision) for r in points] == [(0.2, 2, 0.5), (0.7, 2, 0.5), (0.8, 2, 0.5), (0.9, 1, 1.0)]
 
 
+def test_permutation_in_blocks(spark):
+    """More rows than a task holds: p agrees with shuffles of all rows, and does not depend on partitions."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=230)
+    y = 0.1 * x + rng.normal(size=230)
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    seen = abs(np.corrcoef(x, y)[0, 1])
+    want = np.mean([abs(np.corrcoef(x, rng.permutation(y))[0, 1]) >= seen for _ in range(4000)])
+    parts = metrics.permutation(rows, "x", "y", rounds=4000, block=50).first()
+    whole = metrics.permutation(rows, "x", "y", rounds=4000).first()
+    assert abs(parts.observed - seen) < 1e-9 and abs(parts.p - want) < 0.04 and abs(whole.p - want) < 0.04
+    assert metrics.permutation(rows.repartition(7), "x", "y", rounds=4000, block=50).first().p == parts.p
+    assert metrics.permutation(rows.withColumn("y", F.lit(1.0)), "x", "y", rounds=10).first().p is None
+
+
+@pytest.mark.parametrize(("name", "rounds"), [("cluster_bootstrap", "draws"), ("permutation_p", "rounds")])
+def test_registered_rounds(spark, monkeypatch, name, rounds):
+    """Both queries are registered with the published number of rounds."""
+    told = {}
+    monkeypatch.setattr(metrics, name.split("_")[0 if rounds == "rounds" else 1], lambda *a, **k: told.update(k))
+    getattr(evaluation, name)(spark, str(DATA / "sf0.001"))
+    assert told[rounds] == 20_000
+
+
 def test_bootstrap_covers(spark):
     rows = spark.range(400).select((F.col("id") % 40).alias("c"), (F.col("id") % 2 == 0).alias("a"), (F.col("id") % 4 != 1).alias("b"))
     got = metrics.bootstrap(rows, "c", F.col("a"), F.col("b"), draws=300).first()
