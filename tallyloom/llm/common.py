@@ -28,6 +28,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def guarded(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but the needed ones under names that no working column has, and all its names now; what
+    selects these and names them as before by toDF(*docs.columns) keeps columns whatever they are called."""
+    names = [c if c in needed else f"kept_{i}_of_{len(docs.columns)}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (tests on one machine) one of our own."""
     sc = spark.sparkContext

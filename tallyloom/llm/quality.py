@@ -1,22 +1,28 @@
 """Quality by co-training: a classifier of the text's content and one of the page's metadata teach each other.
 
-The content view measures the whole text (shares of capitals, marks and lone signs, repetition, word lengths, and the
-same for its worst lines); the metadata view knows language, source, length and layout. Both are logistic
-regressions. In each round either labels the unlabelled documents that it is surest of, in the proportion of the seed
-labels, and the other learns from these too. Each view is then calibrated on labelled documents that were kept aside
-(Platt scaling), and the calibrated logits are added, less the prior that both contain.
-
-Fitting uses at most `most` labelled and `most` unlabelled documents, those first by a hash of the id, a documented
-bound; only their measures (some dozens of numbers each) reach the driver. Every document is scored on its whole text
-in one pass without a shuffle.
+The content view measures the whole text (shares of capitals, marks and lone signs, repetition, word lengths, the same
+for its worst lines, and the frequencies of its words and of their shapes in hashed slots); the metadata view knows
+language, source, length and layout. Both are logistic regressions, calibrated on labelled documents by models that have
+not seen them (Platt scaling over folds). In each round either view labels documents that it is sure of, and both learn
+from these too. A view teaches a class only where it has earned it: of the labelled documents that it is sure of, a lower
+bound of the share that it has right must at least halve the error of always naming that class; and a view that tells
+the labelled documents apart no better than chance has no say at all. At last the calibrated logits are added, less the
+prior that both contain.
+
+Every document but the labelled sample is in the pool: all are measured once, and each round goes over all measures,
+where they lie. What reaches the driver is bounded by parameters: the measures of `most` labelled documents (those first
+by a hash of the id) and of `lessons` documents a view, class and round (of all that the view is sure of, those first by
+a hash of text and round). Every document is scored on its whole text in one pass without a shuffle.
 
 Cases: null and empty texts measure zero everywhere; null language or source is a value of its own; null labels, and
-labels of documents that are missing, teach nothing; without labels of both classes every document scores 1 and none is
-rejected; repeated rows are each scored; an empty table gives an empty result; extra columns are kept.
+labels of documents that are missing, teach nothing; a document with both labels counts as good; without labels of both
+classes every document scores 1 and none is rejected; repeated rows are each scored, and teach once; an empty table
+gives an empty result; extra columns are kept, but for those that `score` adds, which are replaced.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -26,15 +32,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyloom.llm.common import bound_batches, staged, text_of
+from tallyloom.llm.common import bound_batches, guarded, held, staged, text_of
 
-SAMPLE, ROUNDS = 4000, 5
+SAMPLE, ROUNDS, LESSONS = 4000, 3, 120
+#: A view is sure from this chance on; folds of the calibration; a view is silent below this likelihood ratio.
+SURE, FOLDS, SILENT = 0.9, 4, 4.0
+#: Slots of shapes and of words.
+SLOTS = 64
+KNOWN_WORDS = 200_000
 _MARKS = re.compile(r"[^\w\s.,;:'\"()@+=/-]")
-_TOKEN = re.compile(r"\S+")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
 
 
 def _line(words: list[str], line: str) -> tuple[float, ...]:
@@ -49,11 +60,33 @@ def _line(words: list[str], line: str) -> tuple[float, ...]:
     )
 
 
+class _Slots(dict):
+    """The two slots of a word, by its shape and by itself, kept while words are few."""
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        shape = _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word))
+        found = zlib.crc32(shape.encode()) % SLOTS, SLOTS + zlib.crc32(word.lower().strip(".,;:!?").encode()) % SLOTS
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+
+def _hashed(words: list[str]) -> list[float]:
+    """Roots of the shares of words in each slot."""
+    known, out = held("quality", _Slots), [0] * (2 * SLOTS)
+    for word, n in Counter(words).items():
+        a, b = known[word]
+        out[a] += n
+        out[b] += n
+    return [math.sqrt(n / len(words)) for n in out]
+
+
 def content(text: str) -> list[float]:
     """Measures of a whole text, without its language, source or length."""
     lines = [(w, x) for x in text.split("\n") if (w := x.split())]
     if not lines:
-        return [0.0] * 14
+        return [0.0] * (14 + 2 * SLOTS)
     each = np.array([_line(*x) for x in lines])
     size = np.array([len(w) for w, _ in lines], float)
     mean = (each * size[:, None]).sum(axis=0) / size.sum()
@@ -62,7 +95,8 @@ def content(text: str) -> list[float]:
     plain = [len(w) for w in words if w.isalpha()] or [5]  # numbers, addresses and keys say nothing about the prose
     long = np.array(plain, float)
     lone = sum(len(w) == 1 and not w.isalnum() for w in words) / len(words)
-    return [*mean, *some.max(axis=0), math.log(long.mean()), float(long.std() / long.mean()), lone, len(set(words)) / len(words) ** 0.9]
+    counts = [*mean, *some.max(axis=0), math.log(long.mean()), float(long.std() / long.mean()), lone, len(set(words)) / len(words) ** 0.9]
+    return counts + _hashed(words)
 
 
 def _slot(value: str | None, n: int) -> list[float]:
@@ -78,17 +112,35 @@ def metadata(lang: str | None, source: str | None, text: str) -> list[float]:
 
 @dataclass
 class View:
-    """A standardised logistic regression with a calibration of its logit."""
+    """A standardised logistic regression with a calibration of its logit, and which classes (bad, good) it may teach."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    teaches: tuple[bool, bool] = (False, False)
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return self.slope * (z @ self.weights[:-1] + self.weights[-1]) + self.shift
+        return self.slope * self.raw(x) + self.shift
+
+
+@dataclass
+class Model:
+    views: tuple[View, View]
+    prior: float
+
+    def chances(self, measures: list[np.ndarray]) -> list[np.ndarray]:
+        """Chances of good quality by content, by metadata and by both."""
+        a, b = (v.logit(x) for v, x in zip(self.views, measures, strict=True))
+        return [_chance(z) for z in (a, b, a + b - self.prior)]
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def _regress(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
@@ -101,96 +153,214 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30) -> np.
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(hold), x.T @ (y - p) - hold * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
 
-def _view(x: np.ndarray, y: np.ndarray) -> View:
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return View(mean, scale, _regress(np.clip((x - mean) / scale, -8, 8), y, 1.0))
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> View:
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    return View(mean, scale, _regress(np.clip((x - mean) / scale, -8, 8), y, ridge))
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, unlabelled: list[np.ndarray], rounds: int = ROUNDS) -> tuple[View, View, float]:
-    """Two calibrated views and the prior's logit, from the measures of both views."""
-    aside = np.arange(len(y)) % 4 == 0
-    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
-        aside = np.zeros(len(y), bool)
-    seed = [x[~aside] for x in labelled]
-    taught: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
+def _likelihood(chance: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(chance, 1e-9, 1 - 1e-9)
+    return float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+
+
+def _lower(k: int, n: int, z: float = 1.64) -> float:
+    """Wilson's lower bound of a share."""
+    if not n:
+        return 0.0
+    p = k / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _view(x: np.ndarray, y: np.ndarray, more: np.ndarray, taught: np.ndarray, ridge: float) -> View:
+    """A view of labelled and taught measures, calibrated over folds of the labelled ones."""
+    view = _fit(np.vstack([x, more]), np.r_[y, taught], ridge)
+    fold = np.empty(len(y), int)
+    fold[np.argsort(y, kind="stable")] = np.arange(len(y)) % FOLDS
+    unseen = np.zeros(len(y))
+    for f in range(FOLDS):
+        out = fold == f
+        if out.any() and not out.all():
+            unseen[out] = _fit(np.vstack([x[~out], more]), np.r_[y[~out], taught], ridge).raw(x[out])
+    slope, shift = _regress(unseen[:, None], y, 0.1)
+    share = y.mean()
+    chance = _chance(slope * unseen + shift)
+    if slope <= 0 or 2 * (_likelihood(chance, y) - _likelihood(np.full(len(y), share), y)) < SILENT:
+        view.slope, view.shift = 0.0, math.log(share / (1 - share))
+        return view
+    view.slope, view.shift = float(slope), float(shift)
+
+    def earned(label: int) -> bool:
+        sure = (chance if label else 1 - chance) >= SURE
+        base = share if label else 1 - share
+        return _lower(int((y[sure] == label).sum()), int(sure.sum())) >= (1 + base) / 2 - 0.02
+
+    view.teaches = (earned(0), earned(1))
+    return view
+
+
+RIDGES = (1.0, 10.0)
+
+
+def fit(labelled: list[np.ndarray], y: np.ndarray, more: list[np.ndarray], taught: np.ndarray) -> Model:
+    """Two calibrated views from the measures of labelled documents and of those taught."""
     share = y.mean()
-    views = [_view(x, y[~aside]) for x in seed]
-    some = max(1, len(unlabelled[0]) // (4 * rounds))
-    for _ in range(rounds if len(unlabelled[0]) else 0):
-        for teacher, pupil in ((0, 1), (1, 0)):
-            z = views[teacher].logit(unlabelled[teacher])
-            fresh = np.array([i for i in np.argsort(z, kind="stable") if i not in taught[pupil]], int)
-            bad = fresh[: round(some * (1 - share))]
-            good = fresh[len(fresh) - round(some * share) :]
-            taught[pupil] |= {int(i): 0.0 for i in bad if z[i] < -2} | {int(i): 1.0 for i in good if z[i] > 2}
-        for v in (0, 1):
-            ids = np.array(sorted(taught[v]), int)
-            views[v] = _view(np.vstack([seed[v], unlabelled[v][ids]]), np.r_[y[~aside], [taught[v][int(i)] for i in ids]])
-    held = aside if aside.any() else ~aside
-    for v in (0, 1):
-        w = _regress(views[v].logit(labelled[v][held])[:, None], y[held], 0.1)
-        views[v].slope, views[v].shift = max(float(w[0]), 0.0), float(w[1])
-    return views[0], views[1], math.log(share / (1 - share))
+    return Model(tuple(_view(labelled[v], y, more[v], taught, RIDGES[v]) for v in (0, 1)), math.log(share / (1 - share)))
+
+
+#: hash of a document's text, which view taught it, the label, and its measures
+Lesson = tuple[int, int, int, list[float], list[float]]
+
+
+def _order(keys: np.ndarray, turn: int) -> np.ndarray:
+    """Keys in another order for every round."""
+    return (keys.view(np.uint64) ^ np.uint64(turn * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def sure(model: Model, keys: np.ndarray, measures: list[np.ndarray], most: tuple[int, int], turn: int) -> list[tuple[int, Lesson]]:
+    """The lessons that either view gives on a block of documents: of each class at most `most`, first by order."""
+    out = []
+    for v, view in enumerate(model.views):
+        if any(view.teaches):
+            chance = _chance(view.logit(measures[v]))
+            for label in (0, 1):
+                who = np.flatnonzero((chance if label else 1 - chance) >= SURE) if view.teaches[label] else []
+                if len(who):
+                    place = _order(keys[who], turn)
+                    first = np.argsort(place, kind="stable")[: most[label]]
+                    out += [(int(place[i]), (int(keys[who[i]]), v, label, measures[0][who[i]].tolist(), measures[1][who[i]].tolist())) for i in first]
+    return out
+
+
+def _numbers(share: float, lessons: int) -> tuple[int, int]:
+    """How many bad and good ones a view teaches in a round: in the proportion of the labels."""
+    return max(1, round(lessons * (1 - share))), max(1, round(lessons * share))
+
+
+def co_train(labelled: list[np.ndarray], y: np.ndarray, teach, rounds: int = ROUNDS, lessons: int = LESSONS) -> Model:
+    """The model after some rounds; teach(model, numbers, round) gives the lessons of a round over the whole pool."""
+    known: dict[int, Lesson] = {}
+    none = [x[:0] for x in labelled]
+    model = fit(labelled, y, none, y[:0])
+    for turn in range(rounds):
+        if not any(any(v.teaches) for v in model.views):
+            break
+        for lesson in teach(model, _numbers(y.mean(), lessons), turn):
+            known.setdefault(lesson[0], lesson)
+        rows = [known[k] for k in sorted(known)]
+        if rows:
+            model = fit(labelled, y, [np.array([r[v] for r in rows]) for v in (3, 4)], np.array([r[2] for r in rows], float))
+    return model
 
 
 def _measured(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, content and metadata of every row of (lang, source, text, keep)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doubles = pa.list_(pa.float64())
+        kind = pa.list_(pa.float32())
         for batch in batches:
             lang, source, text = (batch.column(i).to_pylist() for i in (0, 1, 2))
             views = [[content(t) for t in text], [metadata(*x) for x in zip(lang, source, text, strict=True)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *(pa.array(v, doubles) for v in views)], names=[*keep, "content", "metadata"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *(pa.array(v, kind) for v in views)], names=[*keep, "content", "metadata"])
 
     kinds = dict(docs.dtypes)
-    return docs.select("lang", "source", "text", *keep).mapInArrow(work, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "content array<double>", "metadata array<double>"]))
+    return docs.select("lang", "source", "text", *keep).mapInArrow(work, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "content array<float>", "metadata array<float>"]))
+
 
+def _matrices(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The measures of a batch, which are its last two columns."""
+    columns = (batch.column(batch.num_columns - k) for k in (2, 1))
+    return [c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for c in columns]
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = SAMPLE) -> tuple[View, View, float] | None:
-    """Two views from at most `most` labelled and `most` other documents; None without labels of both classes."""
+
+LESSON = "place long, view int, label int, key long, content array<float>, metadata array<float>"
+
+
+def _lessons(pool: DataFrame, model: Model, most: tuple[int, int], turn: int) -> list[Lesson]:
+    """What both views teach in a round: every task goes over its documents and keeps the first few."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], dict[int, Lesson]] = {}
+        for batch in batches:
+            if batch.num_rows:
+                for place, lesson in sure(model, batch.column(0).to_numpy(), _matrices(batch), most, turn):
+                    kept.setdefault(lesson[1:3], {})[place] = lesson
+                for (v, label), some in kept.items():
+                    kept[v, label] = {p: some[p] for p in heapq.nsmallest(most[label], some)}
+        rows = [(place - 2**63, x[1], x[2], x[0], x[3], x[4]) for some in kept.values() for place, x in some.items()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float32())]
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in LESSON.split(", ")])
+
+    found = pool.select("key", "content", "metadata").mapInArrow(work, LESSON).dropDuplicates(["view", "label", "key"])
+    rank = F.row_number().over(Window.partitionBy("view", "label").orderBy("place"))
+    first = found.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0]))
+    return [(r.key, r.view, r.label, r.content, r.metadata) for r in first.orderBy("view", "label", "rank").collect()]  # bounded by `most`
+
+
+def measured(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = SAMPLE) -> DataFrame:
+    """Every row of docs as doc_id, key (a hash of its text), quality and its measures, staged. quality is the label of
+    the at most `most` documents to learn from, -1 for the pool, and null where learn (over doc_id) does not hold."""
     bound_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = (known if learn is None else known.where(learn)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
-    seed = known.orderBy(order, "doc_id").limit(most)
-    others = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(most)
-    chosen = F.broadcast(seed.union(others.withColumn("quality", F.lit(-1))))  # bounded by twice `most`
-    texts = docs.select("doc_id", "lang", "source", text_of().alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    rows = _measured(staged(texts), "doc_id", "quality").orderBy(order, "doc_id").collect()  # bounded likewise
-    y = np.array([r[1] for r in rows if r[1] >= 0], float)
+    seed = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # bounded by `most`
+    rows = docs.select("doc_id", "lang", "source", text_of().alias("text")).join(seed, "doc_id", "left")
+    pool = F.lit(-1) if learn is None else F.when(F.coalesce(learn, F.lit(True)), -1)
+    rows = rows.withColumns({"quality": F.coalesce("quality", pool), "key": F.xxhash64("text", "lang", "source")})
+    return staged(_measured(rows, "doc_id", "key", "quality"))
+
+
+def learnt(rows: DataFrame, rounds: int = ROUNDS, lessons: int = LESSONS) -> Model | None:
+    """The model that measured rows give; None without labels of both classes."""
+    seed = rows.where("quality >= 0").dropDuplicates(["doc_id"]).orderBy("key", "doc_id").collect()  # bounded by `most`
+    y = np.array([r.quality for r in seed], float)
     if len(set(y)) < 2:
         return None
-    views = [[np.array([r[v] for r in rows if (r[1] >= 0) == told]) for v in (2, 3)] for told in (True, False)]
-    return co_train(views[0], y, [x if len(x) else np.zeros((0, views[0][i].shape[1])) for i, x in enumerate(views[1])])
+    pool = rows.where("quality < 0")
+    views = [np.array([r[name] for r in seed], float) for name in ("content", "metadata")]
+    return co_train(views, y, lambda model, most, turn: _lessons(pool, model, most, turn), rounds, lessons)
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = SAMPLE, **how) -> Model | None:
+    """Two views from at most `most` labelled documents and all others; None without labels of both classes."""
+    return learnt(measured(docs, labels, learn, most), **how)
+
+
+SCORES = ("_q_content", "_q_metadata", "_q_score")
 
 
-def score(docs: DataFrame, model: tuple[View, View, float] | None) -> DataFrame:
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with _q_content, _q_metadata and _q_score: calibrated chances of good quality, by view and combined."""
     bound_batches(docs.sparkSession)
-    names = ["_q_content", "_q_metadata", "_q_score"]
+    docs = docs.drop(*SCORES)
     if model is None:
-        return docs.withColumns({n: F.lit(1.0) for n in names})
-    views, prior = model[:2], model[2]
-    schema = StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in names)])
-    at = [docs.columns.index(c) for c in ("lang", "source", "text")]
+        return docs.withColumns({n: F.lit(1.0) for n in SCORES})
+    schema = StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in SCORES)])
+    known = "content" in docs.columns and "metadata" in docs.columns and "text" not in docs.columns
+    at = None if known else [docs.columns.index(c) for c in ("lang", "source", "text")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, source, text = (batch.column(i).to_pylist() for i in at)
-            text = [t or "" for t in text]
-            if not text:
+            if not batch.num_rows:
                 continue
-            z = [views[0].logit(np.array([content(t) for t in text])), views[1].logit(np.array([metadata(*x) for x in zip(lang, source, text, strict=True)]))]
-            chance = [1 / (1 + np.exp(-np.clip(v, -500, 500))) for v in (z[0], z[1], z[0] + z[1] - prior)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in chance)], names=[*batch.schema.names, *names])
+            if at is None:
+                measures = _matrices(batch)
+            else:
+                lang, source, text = (batch.column(i).to_pylist() for i in at)
+                text = [t or "" for t in text]
+                measures = [np.array([content(t) for t in text]), np.array([metadata(*x) for x in zip(lang, source, text, strict=True)])]
+            measures = [x.astype(np.float32).astype(float) for x in measures]  # as they are stored
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, model.chances(measures))], names=[*batch.schema.names, *SCORES])
 
     return docs.mapInArrow(work, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
     """docs without those that the combined score rejects."""
-    return score(docs, train(docs, labels, **how)).where(F.col("_q_score") >= threshold).select(*docs.columns)
+    rows, names = guarded(docs, "doc_id", "text", "lang", "source")
+    return score(rows, train(rows, labels, **how)).where(F.col("_q_score") >= threshold).select(*names).toDF(*docs.columns)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import table
-from tallyloom.llm.quality import score, train
+from tallyloom.llm.quality import learnt, measured, score
 
 
 def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    found = score(docs, train(docs, table(spark, sf_dir, "labels"), learn=~held_out))
+    rows = measured(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    found = score(rows.select("doc_id", "content", "metadata"), learnt(rows))
     return found.select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
