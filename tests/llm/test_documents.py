@@ -50,9 +50,11 @@ def test_near_duplicates_of_a_hostile_group(spark, size, percent):
         docs.append((i, " ".join(words)))
     docs += [(300, None), (301, ""), (302, "one two"), (303, "One TWO"), (304, "one two three"), (305, " \t\n"), (306, "ONE two three"), (307, "é É"), (308, "é é")]
     want, sizes = _components(docs, size, percent)
-    found = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size, percent).collect()
-    assert {r.doc_id: r.component_id for r in found} == want
-    assert {r.doc_id: r.n_shingles for r in found} == sizes
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    for how in ({}, {"work_per_row": 0}, {"deviations": None, "work_per_row": 0}, {"exact": True}):
+        found = minhash.near_duplicates(rows, size, percent, **how).collect()
+        assert {r.doc_id: r.component_id for r in found} == want, how
+        assert {r.doc_id: r.n_shingles for r in found} == sizes
 
 
 def test_components_of_long_chains(spark):
@@ -71,6 +73,31 @@ def test_one_of_each(spark):
     assert sorted(r.label for r in minhash.one_of_each(docs).collect()) == [2, 3, 4]
 
 
+def test_rows_of_one_id_with_other_texts(spark):
+    """A row is told by its id and text: components, and what stays, do not depend on another row of the same id."""
+    a, b = "a b c d e f g h i j k l", " ".join(f"w{i}" for i in range(40))
+    rows = [(2, a, 1), (2, b, 2), (7, f"{b} more", 3), (1, a, 4), (9, "x y z q r s", 5), (9, "x y z q r s", 6), (9, "X y z q r s", 7), (8, None, 8), (8, None, 9), (None, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n_mark int")
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect() if r.doc_id is not None)
+    assert found == sorted([(2, 8, 1), (1, 8, 1), (2, 36, 2), (7, 37, 2), (9, 2, 9), (9, 2, 9), (9, 2, 9), (8, 0, 8), (8, 0, 8)])
+    for again in (docs, docs.repartition(5)):
+        left = sorted((r.doc_id or 0, r.text or "", r._n_mark) for r in minhash.one_of_each(again).collect())
+        assert [x[0] for x in left] == [0, 1, 2, 8, 9] and left[2] == (2, b, 2) and left[3] == (8, "", 8)
+
+
+def test_rarest_shingles_spare_pairs(spark):
+    """Documents that share half of their words meet in no pair, though buckets bring thousands together."""
+    rng = np.random.default_rng(1)
+    half = [f"s{i}" for i in range(60)]
+    docs = [(i, " ".join(half + [f"o{rng.integers(0, 10**6)}" for _ in range(60)])) for i in range(300)]
+    docs += [(1000 + i, t + " end") for i, t in docs[:5]]
+    sets = minhash._marked(spark.createDataFrame(docs, "doc_id long, text string")).select(F.col("doc_id").alias("v"), F.col("doc_id").alias("part"), "text").collect()
+    rows = [(r.v, r.part, len(x := minhash.shingle_set(r.text, 3)), len(x), [0] * 16, x.view(np.int64).tolist()) for r in sets]
+    table = spark.createDataFrame(rows, "v long, part long, n long, core long, sketch array<long>, shingles array<long>")
+    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in minhash._by_rarest(table.drop("shingles"), table.select("v", "shingles", "sketch"), 85, None).collect()}
+    assert pairs == {(i, 1000 + i) for i in range(5)}
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
