@@ -1,6 +1,9 @@
 """Searches against brute force, with ties, copies and short vectors."""
 
 import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import topk, vptree
 from tests.conftest import DATA
@@ -34,12 +37,62 @@ def test_tree_is_exact_at_factor_one(spark):
         assert [i for _, i, _ in mine if abs(cos[i] - cos[best[-1]]) > 1e-9] == [i for i in best if abs(cos[i] - cos[best[-1]]) > 1e-9]
 
 
+def _clustered(n=6000, wide=16, groups=40, seed=2):
+    rng = np.random.default_rng(seed)
+    return np.repeat(rng.normal(size=(groups, wide)), n // groups, axis=0) + rng.normal(scale=0.15, size=(n, wide))
+
+
 def test_relaxed_tree_keeps_its_recall(spark):
-    rows = spark.read.parquet(str(DATA / "sf0.01/embeddings.parquet"))
-    queries = rows.where("vec_id % 10 = 0")
-    exact = {(r.query_id, r.vec_id) for r in vptree.nearest(rows, queries, k=5).collect()}
-    loose = {(r.query_id, r.vec_id) for r in vptree.nearest(rows, queries, k=5, factor=1.1, shard_rows=100).collect()}
-    assert len(exact & loose) / len(exact) >= 0.9
+    """On clustered vectors a factor that skips most distances still finds nine of ten neighbours."""
+    u = vptree._unit(_clustered())
+    order, nodes = vptree.build(u, leaf=32)
+    q = u[::60]
+    exact = np.sort(vptree._distance(q, u), axis=1)[:, :6]
+    share = {}
+    for factor in (1.0, 1.5):
+        work = [0]
+        _, near = vptree.search(u[order], nodes, q, 6, factor, work=work)
+        share[factor] = work[0] / (len(q) * len(u))
+        assert (near <= exact[:, -1:] + 1e-9).mean() >= (1.0 if factor == 1 else 0.9)
+    assert share[1.5] < 0.5 and share[1.5] < share[1.0]
+    rows = _frame(spark, range(2000), _clustered(2000, 8, 20))
+    queries = rows.where("vec_id % 20 = 0")
+    how = {"k": 5, "shard_rows": 250, "pivots": 8}
+    best = {(r.query_id, r.rank): r.score for r in vptree.nearest(rows, queries, factor=1.0, **how).collect()}
+    loose = {(r.query_id, r.rank): r.score for r in vptree.nearest(rows, queries, factor=1.5, **how).collect()}
+    assert np.mean([loose.get(k, -1) >= v - 1e-9 for k, v in best.items()]) >= 0.9
+
+
+def test_cells_out_of_reach_are_not_searched(spark):
+    v = _clustered(3000, 8, 12, seed=5).astype(np.float32)
+    rows = _frame(spark, range(3000), v)
+    index = vptree.Index(vptree.finite(rows), 5, 200, 12)
+    asked = vptree._celled(vptree.finite(rows.where("vec_id % 30 = 0")), index.pivots)
+    every = vptree._wanted(asked.withColumn("reach", F.lit(None).cast("double")), index, 1.0).count()
+    some = vptree._wanted(asked.withColumn("reach", F.lit(0.3)), index, 1.0).count()
+    assert every == 100 * sum(np.isfinite(index.ball[:, 0])) and some < every / 2
+    unit = vptree._unit(v.astype(float))
+    got = vptree.nearest(rows, rows.where("vec_id % 30 = 0"), k=5, shard_rows=200, pivots=12).collect()
+    for q in range(0, 3000, 30):
+        cos = unit @ unit[q]
+        cos[q] = -2
+        assert np.allclose(sorted(r.score for r in got if r.query_id == q), np.sort(cos)[-5:], atol=1e-9)
+
+
+@pytest.mark.parametrize("shard_rows", [100, 5000])
+def test_ties_go_to_the_smaller_id(spark, shard_rows):
+    """Coarse vectors, in which many differ and have the same cosine, and multiples of each other."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 2, size=(1200, 5)) * rng.choice([1, 2, 4], size=(1200, 1)).astype(float)
+    rows = _frame(spark, range(1200), v)
+    keep = np.flatnonzero(v.any(axis=1))
+    got = {}
+    for r in vptree.nearest(rows, rows.where("vec_id % 40 = 0"), k=7, shard_rows=shard_rows, pivots=6).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in [x for x in range(0, 1200, 40) if x in set(keep)]:
+        score = vptree._cosine(np.repeat(v[q][None], len(keep), 0), v[keep])
+        best = [int(keep[i]) for i in np.lexsort((keep, -score)) if keep[i] != q][:7]
+        assert [i for _, i in sorted(got[q])] == best
 
 
 def test_pruning_skips_and_stays_exact():
@@ -73,6 +126,36 @@ def test_products_of_huge_components(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, want[0]), (2, want[1])]
 
 
+def test_an_id_with_several_vectors(spark):
+    """The vector that comes first in order of components counts, whatever the order of rows."""
+    rows = _frame(spark, [0, 1, 1, 2, 2], [[1.0, 0.0], [0.5, 9.0], [0.5, 0.1], [0.9, 0.0], [0.9, 0.0]])
+    for again in (rows, rows.orderBy(F.desc("vec_id"), F.desc("embedding")), rows.repartition(3)):
+        got = [(r.rank, r.vec_id) for r in vptree.nearest(again, again.where("vec_id = 0"), k=5).collect()]
+        assert sorted(got) == [(1, 2), (2, 1)]
+        got = [(r.rank, r.vec_id, r.score) for r in topk.top_products(again, again.where("vec_id = 0"), k=5).collect()]
+        assert sorted(got) == [(1, 2, 64 * 57), (2, 1, 64 * 32)]
+
+
+def test_products_beyond_every_number(spark):
+    """Scores beyond a long are clipped, and rank by what they are; components whose 64-fold is infinite do not stop it."""
+    frame = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [1e308, 0.0]), (3, [-1e300, 0.0]), (4, [-1e308, 0.0]), (5, [1.0, 0.0]), (6, [1e-300, 2.0])], "vec_id long, embedding array<double>")
+    got = topk.top_products(frame, frame.where("vec_id = 0"), k=9).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 1, 5, 6, 3, 4] and got[0].score == 2**63 - 1 == got[2].score and got[-1].score == -(2**63)
+    assert got[3].score == 64 * 128
+
+
+def test_under_half_is_resolved():
+    """Of the table's own vectors; the cutoff is that of one shard of eight."""
+    rows = pd.read_parquet(DATA / "sf0.1/embeddings.parquet")
+    v = np.floor(np.vstack(rows.embedding.to_numpy()).astype(float) * 64)
+    ids = rows.vec_id.to_numpy(np.int64)
+    q = ids % 20 == 0
+    q_ids, totals = topk.gathered(ids[q], v[q], ids[::8], v[::8], 20, topk.LISTS)
+    cut = np.array([np.sort(totals[q_ids == x])[-20] for x in ids[q]])
+    *_, resolved = topk.resolved(ids[q], v[q], cut, ids, v, 20, topk.LISTS)
+    assert resolved < q.sum() * len(ids) / 2
+
+
 def test_cutoff_leaves_rows_out():
     rng = np.random.default_rng(1)
     v = np.floor(rng.normal(size=(4000, 64)) * 8)
@@ -80,5 +163,6 @@ def test_cutoff_leaves_rows_out():
     ids = np.arange(4000)
     q_ids, sums = topk.gathered(ids[:5], v[:5], ids, v, 20, 4)
     cut = np.array([np.sort(sums[q_ids == q])[::-1][19] for q in range(5)])
-    *_, resolved = topk.resolved(ids[:5], v[:5], cut, ids, v, 20, 4)
-    assert resolved < 5 * 4000 / 2
+    for lists in (2, 4):
+        *_, resolved = topk.resolved(ids[:5], v[:5], cut, ids, v, 20, lists)
+        assert resolved < 5 * 4000 / 2
