@@ -18,16 +18,18 @@ result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bound_batches, held, text_of
+from tallyloom.llm.common import SPELT, bound_batches, held, spelt, text_of
 
 ROLES = ("system", "user", "assistant")
 ESCAPE, OPEN, BODY, END = "\\", "### ", ": ", "</turn>\n"
@@ -44,10 +46,20 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-class _Encoder:
-    """A lossless tokenizer and the ids reserved behind its vocabulary."""
+# How byte-level tokenizers cut a text into pieces, which no token crosses.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+KNOWN_PIECES = 200_000
+
+
+class _Encoder(dict):
+    """A lossless tokenizer and the ids reserved behind its vocabulary; ids are little-endian 32-bit numbers.
+
+    A byte-level vocabulary is read piece by piece, and pieces are kept while they are few; decoding joins the bytes of
+    ids. Any other tokenizer does both by itself.
+    """
 
     def __init__(self, tokenizer: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,32 +73,55 @@ class _Encoder:
         self.start, self.other, self.body, self.end = range(first, first + 4)
         self.roles = {role: first + 4 + i for i, role in enumerate(ROLES)}
         self.names = {i: role for role, i in self.roles.items()}
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def turn(self, role: str, text: str) -> tuple[list[int], int, int]:
+        told = json.loads(self.tokenizer.to_str())
+        before = told["pre_tokenizer"] or {}
+        plain = told["model"]["type"] == "BPE" and not told["normalizer"] and not told["model"].get("byte_fallback")
+        self.bytes: list[bytes] | None = None
+        if plain and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True):
+            back = {c: b for b, c in SPELT.items()}
+            self.bytes = [b""] * first
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.bytes[i] = token.translate(back).encode("latin-1")
+            self.model = self.tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KNOWN_PIECES:
+            self.clear()
+        self[piece] = found = np.array([t.id for t in self.model.tokenize(spelt(piece))], "<i4").tobytes()
+        return found
+
+    def ids(self, text: str) -> bytes:
+        if self.bytes is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
+
+    def turn(self, role: str, text: str) -> tuple[bytes, int, int]:
         """Ids of a turn, and where its learnt ids begin and end."""
         known = self.roles.get(role)
-        segments = [[self.start], [known] if known else [self.other, *self.ids(escape(role))], [self.body], self.ids(escape(text)), [self.end]]
+        one = lambda i: i.to_bytes(4, "little")
+        segments = [one(self.start), one(known) if known else one(self.other) + self.ids(escape(role)), one(self.body), self.ids(escape(text)), one(self.end)]
         learnt = [False, False, False, role == LEARNT, False]
-        ends = np.cumsum([len(s) for s in segments])
+        ends = np.cumsum([len(s) // 4 for s in segments])
         lo, hi = (int(ends[2]), int(ends[3])) if any(learnt) else (0, 0)
-        return [i for s in segments for i in s], lo, hi
+        return b"".join(segments), lo, hi
 
-    def read(self, ids: list[int], lo: int, hi: int) -> tuple[str, str, str, int]:
+    def read(self, ids: np.ndarray, lo: int, hi: int) -> tuple[str, str, str, int]:
         """(role, text, learnt text, rendered length), all from the ids and the mask."""
+        ids = ids.tolist()
         body = ids.index(self.body)
         if ids[0] != self.start or ids[-1] != self.end:
             raise ValueError("not a turn")
-        spelt = self._text(ids[2:body]) if ids[1] == self.other else None
-        role = unescape(spelt) if spelt is not None else self.names[ids[1]]
+        spoken = self._text(ids[2:body]) if ids[1] == self.other else None
+        role = unescape(spoken) if spoken is not None else self.names[ids[1]]
         text = self._text(ids[body + 1 : -1])
-        shown = len(OPEN) + len(role if spelt is None else spelt) + len(BODY) + len(text) + len(END)
-        return role, unescape(text), unescape(self._text([i for i in ids[lo:hi] if i < self.start])), shown
+        shown = len(OPEN) + len(role if spoken is None else spoken) + len(BODY) + len(text) + len(END)
+        learnt = text if (lo, hi) == (body + 1, len(ids) - 1) else self._text([i for i in ids[lo:hi] if i < self.start])
+        return role, unescape(text), unescape(learnt), shown
 
     def _text(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
+        if self.bytes is None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
+        return b"".join(map(self.bytes.__getitem__, ids)).decode()
 
 
 def _encoder(tokenizer: str) -> _Encoder:
@@ -105,8 +140,9 @@ def assemble(conversations: DataFrame, tokenizer: str = "byte_bpe_50k.json") ->
         for batch in batches:
             rows = [own.turn(role, text) for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             ids, lo, hi = zip(*rows, strict=True) if rows else ((), (), ())
+            ends = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
+                [*batch.columns, pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4"))), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
                 names=["conv_id", "turn", "role", "text", "ids", "loss_from", "loss_to"],
             )
 
@@ -138,7 +174,9 @@ def read_back(turns: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFra
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(tokenizer)
         for batch in batches:
-            rows = [own.read(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            ends, ids = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            spans = zip(ends[:-1], ends[1:], *(batch.column(i).to_pylist() for i in (3, 4)), strict=True)
+            rows = [own.read(ids[a:b], lo, hi) for a, b, lo, hi in spans]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())],

@@ -22,8 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: How byte-level vocabularies spell a byte: as its own sign if that can be seen, else by the next sign from 256.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
+def spelt(text: str) -> str:
+    """A text as byte-level vocabularies spell it."""
+    return text.encode().decode("latin-1").translate(SPELT)
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Keeps the memory of a Python worker bounded whatever the length of the rows."""
+    """Keeps the memory of a Python worker bounded whatever the length of the rows. The two limits hold when a plan runs,
+    which for a result is after its function has returned, so they stay in the session; they change no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
@@ -36,12 +47,18 @@ def guarded(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests on one machine) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own in local mode,
+    where all run on one machine, and an error on a cluster."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyloom-")
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

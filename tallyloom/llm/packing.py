@@ -7,7 +7,7 @@ there is, and the residual histogram is packed greedily, a whole pattern at a ti
 fit exactly, else the longest that fits. The plan is a bounded table of rank intervals by length.
 
 Pieces get their rank among pieces of their length in hashed buckets (offsets by a sum over bucket counts), so that a
-length shared by a third of all documents is ranked by many tasks; the plan then places every piece by arithmetic.
+length shared by a third of all documents is ranked by many tasks, at every size in the same way; the plan then places every piece by arithmetic.
 Tokens are read once: only numbers and checksums are kept, never ids.
 
 Cases: null or empty text is the closing id alone; documents of any length are cut at whole windows; repeated rows are
@@ -26,20 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bound_batches, held, staged
+from tallyloom.llm.common import bound_batches, held, spelt, staged
 
 WINDOW = 2048
 KNOWN_WORDS = 400_000
 SHORT = 8
-BUCKET_ROWS = 20_000
+#: Buckets by hash in which the pieces of one length are ranked, at every size.
+SALTS = 256
 
 _WORD = re.compile(r"[^ \t\n\r]+")
 #: Letters, then marks that the pre-tokenizer parts from letters anyway.
 _TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|]+)")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: How byte-level vocabularies spell a byte: as its own sign if that can be seen, else by the next sign from 256.
-_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
 class _Encoder(dict):
@@ -64,8 +62,7 @@ class _Encoder(dict):
             if (low := word.lower()) != word:
                 found = self[low]
             else:  # one piece to the pre-tokenizer, already normal: straight to its merges, spelt in bytes
-                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELT)
-                found = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+                found = np.array([t.id for t in self.model.tokenize(word if word.isascii() else spelt(word))], "<u4").tobytes()
                 self[word] = found
                 return found
         elif parts := _TAILED.fullmatch(word):
@@ -230,8 +227,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
     histogram = np.zeros(window + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # at most `window` rows
         histogram[length] = n
-    salts = int(max(1, -(-histogram.max() // BUCKET_ROWS)))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(SALTS)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("length", "salt").count()
     counts = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
