@@ -4,13 +4,15 @@ A sentence's logit is a bias plus the weights of its words and of their first le
 toxic if any sentence is, p = 1 - prod(1 - p_s). Weights are learnt by gradient descent on the document labels alone,
 so the sentences that carry a label are found, not told.
 
-Fitting uses at most `most` labelled documents (those first by a hash of the id), a documented bound; their features
-are counted by tasks, the `features` most telling ones reach the driver, and then the sample's sentences over those.
+Fitting uses at most `most` labelled documents (those first by a hash of the id) of at most `most_chars` code points
+together (one that does not fit is passed over), two documented bounds; their features are counted by tasks, the
+`features` most telling ones reach the driver, and then the sample's sentences over those.
 Every document is scored on its whole text in one pass without a shuffle.
 
 Cases: null and empty texts have no sentence but count as one without words; labels of documents that are missing, null
-labels and labels without both classes teach nothing (every score is then the share of toxic labels, 0 without any);
-repeated rows are each scored; an empty table gives an empty result; extra columns are kept.
+labels and labels without both classes teach nothing (every score is then the share of toxic labels, 0 without any); a
+document, or a text, with both labels counts as toxic; repeated rows are each scored; an empty table gives an empty
+result; extra columns are kept, but for the two that `score` adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from tallyloom.llm.common import bound_batches, staged, text_of
 
-SAMPLE, FEATURES = 8000, 3000
+SAMPLE, CHARS, FEATURES = 8000, 50_000_000, 3000
 KNOWN_WORDS = 100_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -120,13 +122,22 @@ def fit(documents: list[tuple[int, list[list[int]], int]], n: int, steps: int =
     return float(theta[n]), theta[:n]
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = SAMPLE, features: int = FEATURES) -> Scorer:
-    """A scorer from at most `most` labelled documents for which `learn` (over doc_id) holds."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = SAMPLE, features: int = FEATURES, most_chars: int = CHARS) -> Scorer:
+    """A scorer from at most `most` labelled documents, of `most_chars` together, for which `learn` (over doc_id) holds."""
     bound_batches(docs.sparkSession)
     taught = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     taught = (taught if learn is None else taught.where(learn)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # bounded by `most`
-    sample = staged(docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("text", "toxic").dropDuplicates(["text"]))
+    sample = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    sample = staged(sample.withColumns({"key": F.xxhash64("text"), "size": F.char_length("text")}))
+    if (sample.agg(F.sum("size")).first()[0] or 0) > most_chars:
+        fits, left = [], most_chars
+        for key, size in sample.select("key", "size").orderBy("key", "size").collect():  # at most `most` rows
+            if size <= left:
+                fits.append((key,))
+                left -= size
+        sample = staged(sample.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "key long").distinct()), "key"))  # bounded by `most`
+    sample = sample.select("text", "toxic")
     pos, neg = sample.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not pos or not neg:
         return Scorer(math.log(1e-9) if not pos else 20.0, {})
