@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import broadcast_if, staged, text_of
+from tallyloom.llm.common import broadcast_if, guarded, staged, text_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -161,8 +161,9 @@ def _cleaned(text: Column, spans_: Column) -> Column:
 def sanitised(docs: DataFrame, **how) -> DataFrame:
     """docs with personal data and the terms that reveal it replaced in text (and n_chars, if there, counted again)."""
     marks = spans(docs, **how).where(F.size("_p_spans") > 0).select(F.col("doc_id").alias("_m_id"), F.col("_p_hash").alias("_m_hash"), "_p_spans").dropDuplicates(["_m_id", "_m_hash"])
-    same = docs["doc_id"].eqNullSafe(F.col("_m_id")) & (F.xxhash64(text_of()) == F.col("_m_hash"))
-    out = docs.join(marks, same, "left").withColumn("text", F.when(F.col("_p_spans").isNull(), F.col("text")).otherwise(_cleaned(F.col("text"), F.col("_p_spans"))))
+    rows, names = guarded(docs, "doc_id", "text", "n_chars")
+    same = F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.xxhash64(text_of()) == F.col("_m_hash"))
+    out = rows.join(marks, same, "left").withColumn("text", F.when(F.col("_p_spans").isNull(), F.col("text")).otherwise(_cleaned(F.col("text"), F.col("_p_spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_p_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*names).toDF(*docs.columns)
