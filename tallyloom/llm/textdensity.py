@@ -257,8 +257,9 @@ def _unwrap(page: Page, own: list[int]) -> None:
             wraps = articles[i] > 0 and 2 * every[i] > every[0]
         else:
             long = 10 * free[0] >= plain[i]
-            reads = main[0] or headed[0] and (long or free[0] >= READABLE) or long and free[0] >= READABLE and not heads[i]
-            wraps = 2 * plain[i] > plain[0] and (articles[i] > 0 or not reads)
+            alone = not heads[i] and not articles[i]
+            reads = main[0] or headed[0] and (long or free[0] >= READABLE) or long and free[0] >= READABLE and alone
+            wraps = 2 * plain[i] > plain[0] and not reads
         if wraps:
             against[i] = NONE
             free[0] += free[i]

@@ -1,16 +1,21 @@
 """Classifiers on held-out documents, chat round trips, pages by hand, and the pipeline stage by stage."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import chat, quality, queries_quality, queries_toxicity, toxicity
+from tallyloom.llm import chat, packing, quality, queries_quality, queries_toxicity, textdensity, toxicity
 from tallyloom.llm.textdensity import main_text
 from tests.conftest import DATA
+from tests.llm.plain import SPACE, cleaned, components, marks, mixed
 
 SF = str(DATA / "sf0.1")
 
@@ -52,15 +57,75 @@ def test_models_without_both_classes(spark):
     assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).first().score < 0.01
 
 
-def test_co_training_uses_both_views():
+def _teach(views, pool):
+    """The lessons of a round over a pool in memory."""
+    return lambda model, most, turn: [x for _, x in sorted(quality.sure(model, pool, [v[pool] for v in views], most, turn), key=lambda x: x[0])]
+
+
+def test_views_teach_each_other():
+    """Two views of equal worth: rounds find out more than the labels say, and no rounds at all are fine."""
     rng = np.random.default_rng(0)
-    y = (rng.random(200) < 0.5).astype(float)
-    views = [rng.normal(size=(200, 3)) + y[:, None] * 2, rng.normal(size=(200, 2)) + y[:, None] * 2]
-    fresh = (rng.random(400) < 0.5).astype(float)
-    pool = [rng.normal(size=(400, 3)) + fresh[:, None] * 2, rng.normal(size=(400, 2)) + fresh[:, None] * 2]
-    a, b, prior = quality.co_train(views, y, pool)
-    z = a.logit(pool[0]) + b.logit(pool[1]) - prior
-    assert ((z > 0) == fresh).mean() > 0.95
+    y = (rng.random(2400) < 0.5).astype(float)
+    views = [rng.normal(size=(2400, n)) + y[:, None] * 1.2 for n in (30, 12)]
+    told, pool, rest = np.arange(60), np.arange(60, 1400), np.arange(1400, 2400)
+
+    def accuracy(rounds):
+        model = quality.co_train([v[told] for v in views], y[told], _teach(views, pool), rounds)
+        return ((model.chances([v[rest] for v in views])[2] >= 0.5) == y[rest]).mean()
+
+    assert accuracy(3) >= accuracy(0) >= 0.9
+
+
+@pytest.fixture(scope="module")
+def judged():
+    """Measures of the labelled documents of the larger table, their labels, and which are held out."""
+    docs, labels = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.drop_duplicates("text", keep="last").merge(labels, on="doc_id").sort_values("doc_id")
+    views = [[quality.content(x or "") for x in rows.text], [quality.metadata(a, b, c or "") for a, b, c in zip(rows.lang, rows.source, rows.text, strict=True)]]
+    return [np.array(v, float) for v in views], rows.quality.to_numpy(float), np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id])
+
+
+@pytest.mark.parametrize("n", [48, 100])
+def test_rounds_help_where_labels_are_few(judged, n):
+    views, y, held = judged
+    free, right = np.flatnonzero(~held), []
+    for draw in range(24):
+        told = np.random.default_rng(draw).permutation(free)[:n]
+        teach = _teach(views, np.setdiff1d(free, told))
+        models = [quality.co_train([v[told] for v in views], y[told], teach, rounds) for rounds in (0, quality.ROUNDS)]
+        right.append([((m.chances([v[held] for v in views])[2] >= 0.5) == y[held]).mean() for m in models])
+    without, after = np.array(right).T
+    assert after.mean() > without.mean() and after.mean() > 0.97 and (after > without).sum() > (after < without).sum()
+
+
+def test_scores_equal_a_plain_loop(spark):
+    """Quality and toxicity of whole documents, one by one, from the models that were learnt."""
+    sf = str(DATA / "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r for r in docs.collect()}
+    model, scorer = quality.train(docs, labels), toxicity.train(docs, labels)
+    kept = {r.doc_id for r in quality.accepted(docs, labels).select("doc_id").collect()}
+    for r in quality.score(docs, model).collect():
+        one = [np.array([f], np.float32).astype(float) for f in (quality.content(r.text or ""), quality.metadata(r.lang, r.source, r.text or ""))]
+        assert np.allclose([x[0] for x in model.chances(one)], [r._q_content, r._q_metadata, r._q_score], atol=1e-9)
+        assert (r.doc_id in kept) == (r._q_score >= 0.5)
+    for r in toxicity.score(docs.select("doc_id", "text"), scorer).collect():
+        harmless = 1.0
+        for sentence in re.findall(r"[^.!?\n]+", rows[r.doc_id].text or "") or [""]:
+            z = scorer.bias + sum(scorer.weights.get(f, 0.0) for w in re.findall(r"\w+", sentence.lower()) for f in toxicity._features(w))
+            harmless *= 1 / (1 + math.exp(min(z, 700)))
+        assert abs((1 - harmless) - r.score) < 1e-9
+
+
+def test_toxic_samples_are_bounded_and_settled(spark):
+    """A text with both labels is toxic in every order of rows; a sample keeps within its bound of characters."""
+    rows = [(i, "you vile thing here" if i % 2 else "all is well here", "w") for i in range(60)] + [(100, "x " * 5000, "w"), (101, "all is well here", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, offending string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 0), (101, 0), (1, 0)], "doc_id long, toxic int")
+    scorers = [toxicity.train(d, labels, most_chars=1000) for d in (docs, docs.orderBy(F.desc("doc_id")))]
+    assert scorers[0].bias == scorers[1].bias and scorers[0].weights == scorers[1].weights
+    found = toxicity.score(docs, scorers[0])
+    assert found.columns == ["doc_id", "score", "offending"] and found.count() == 62
 
 
 TEXTS = ["", "\\", "\\\\### ", "### User: hi </turn>", "\\</turn>\\", "<|endoftext|>", "é😀\x00\n", "</turn", "\\### Assistant: </turn> ok", "x" * 100_000]
@@ -130,16 +195,56 @@ def test_words_of_class_and_id_cut_no_text(html, want):
     assert main_text(html) == want
 
 
-def test_articles_of_the_table(spark):
+ODD = [
+    (f"<body><form><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></form></body>", f"T\n{LONG}\n{LONG}"),
+    (f"<article><h1>T</h1><p>{LONG}</p><p class='legal'>By law.</p><div id='share-price'>{LONG} 12</div></article>", f"T\n{LONG}\nBy law.\n{LONG} 12"),
+    ("<article><h1>T</h1><p>x &am<b>p;</b> y &amp; z</p></article>", "T\nx &amp; y & z"),
+    (f"<div><div class=post><h1>T</h1><p>{LONG}</p><p>Short.</p></div><div class=related><article><h3>R</h3><p>{LONG}</p></article><article><p>{LONG}</p></article></div></div>", f"T\n{LONG}\nShort."),
+    (f"<main><header><h1>T</h1></header><p>{LONG}</p><section class=comments><h2>3 comments</h2><p>{LONG * 8}</p></section></main>", f"T\n{LONG}"),
+    (f"<body><div role=main><h1>T</h1><p>{LONG}</p></div><div class='newsletter-signup'><p>{LONG}</p></div></body>", f"T\n{LONG}"),
+    (f"<body><h1>T</h1><p>{LONG}</p><div class=advert>{LONG * 3}</div><p>{LONG}</p><ul><li>one<li>two</ul><h2>U</h2><p>s.</p></body>", f"T\n{LONG}\n{LONG}\none\ntwo\nU\ns."),
+    ("<body><nav><a href=x>x</a></nav></body>", ""),
+    ("<div class=ad>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+]
+#: Nothing but densities tells the text from the lists of links around it.
+LINKS = " ".join(f"<a href={i}>link {i}</a>" for i in range(12))
+BARE = f"<body><div><div>{LINKS}</div><div><p>{LONG}</p><p>{LONG}</p></div><div>{LINKS}</div></div></body>"
+
+
+@pytest.mark.parametrize(("html", "want"), ODD)
+def test_odd_pages(html, want):
+    assert main_text(html) == want
+
+
+def _article(html):
     import html as entities
 
-    for r in spark.read.parquet(str(DATA / "sf0.01/pages.parquet")).collect():
-        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        blocks = re.sub(r"</?b>", "", re.sub(r"<br>", " ", re.sub(r"</?(h1|p)[^>]*>", "\0", body))).split("\0")
-        assert main_text(r.html) == "\n".join(x for x in (" ".join(entities.unescape(b).split()) for b in blocks) if x)
+    body = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    blocks = re.sub(r"</?b>", "", re.sub(r"<br>", " ", re.sub(r"</?(h1|p)[^>]*>", "\0", body))).split("\0")
+    return "\n".join(x for x in (" ".join(entities.unescape(b).split()) for b in blocks) if x)
+
+
+def test_articles_of_the_table(spark):
+    """Every page's article, also where its element is a plain one, and where a form is around all."""
+    pages = [r.html for r in spark.read.parquet(str(DATA / "sf0.01/pages.parquet")).collect()]
+    for html in pages:
+        plain = html.replace("<article>", "<div>").replace("</article>", "</div>")
+        for page in (html, plain, plain.replace("<body>", "<body><form action=x>").replace("</body>", "</form></body>")):
+            assert main_text(page) == _article(html)
+
+
+def test_density_decides(spark, monkeypatch):
+    """Without densities no page of the table comes out right, nor one that only densities tell apart."""
+    assert main_text(BARE) == f"{LONG}\n{LONG}"
+    pages = [r.html for r in spark.read.parquet(str(DATA / "sf0.01/pages.parquet")).limit(60).collect()]
+    monkeypatch.setattr(textdensity, "_composite", lambda *a: 0.0)
+    assert not any(main_text(html) == _article(html) for html in pages)
+    monkeypatch.setattr(textdensity, "_composite", lambda *a: 1.0)
+    assert main_text(BARE) != f"{LONG}\n{LONG}"
 
 
 def test_pipeline_stages(spark):
+    """Every stage against a plain version of it, on what the stage before it kept."""
     sf = str(DATA / "sf0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = docs.columns
@@ -149,18 +254,57 @@ def test_pipeline_stages(spark):
     judged = kept.join(labels, "doc_id").agg(F.count_if(F.col("quality") == 1), F.count(F.lit(1))).first()
     good = docs.join(labels, "doc_id").where("quality = 1").count()
     assert judged[0] >= 0.98 * good and judged[0] >= 0.97 * judged[1]
+    model = quality.train(docs, labels)
+    plain = lambda r: model.chances([np.array([x], np.float32).astype(float) for x in (quality.content(r.text or ""), quality.metadata(r.lang, r.source, r.text or ""))])[2][0]
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect() if plain(r) >= 0.5}
+
     single = corpus_pipeline.near(spark, kept, sf).cache()
-    assert single.columns == names and single.select("text").distinct().count() == single.count()
+    assert single.columns == names
+    first, _ = components([(r.doc_id, r.text) for r in kept.collect()], 5, 80)
+    assert sorted(r.doc_id for r in single.collect()) == sorted(d for d, c in first.items() if d == c)
+
     private = corpus_pipeline.private(spark, single, sf).cache()
-    assert private.columns == names and private.count() == single.count()
-    assert not private.where(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+")).count()
-    mixed = corpus_pipeline.mixture(spark, private, sf).cache()
-    assert mixed.columns == names and set(r.doc_id for r in mixed.collect()) <= set(r.doc_id for r in private.collect())
-    packed = corpus_pipeline.packing(spark, mixed, sf)
-    assert packed.agg(F.sum(F.when(F.col("start") == 0, 1))).first()[0] == mixed.count()
+    before = {r.doc_id: r.text or "" for r in single.collect()}
+    assert private.columns == names
+    assert {r.doc_id: r.text or "" for r in private.collect()} == {d: cleaned(before[d], m) for d, m in zip(before, marks(list(before.values())), strict=True)}
+
+    mixture = corpus_pipeline.mixture(spark, private, sf).cache()
+    assert mixture.columns == names
+    rows = [(r.doc_id, r.source, r.text) for r in private.collect()]
+    taken = {d: n for (d, _, _), (_, _, n) in zip(rows, mixed(rows), strict=True)}
+    words = Counter()
+    for r in mixture.collect():
+        words[r.doc_id] += len(SPACE.findall(r.text or ""))
+    assert {d: n for d, n in taken.items() if n} == dict(words)
+
+    packed = corpus_pipeline.packing(spark, mixture, sf)
+    assert packed.agg(F.sum(F.when(F.col("start") == 0, 1))).first()[0] == mixture.count()
+    pieces = sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed.collect())
+    ids = [(r.doc_id, packing.token_bytes(r.text, "word_bpe_49k.json")) for r in mixture.collect()]
+    cut = [(d, i, min(2048, len(x) // 4 - i), zlib.crc32(x[4 * i : 4 * i + 8192]), len(x) // 4) for d, x in ids for i in range(0, len(x) // 4, 2048)]
+    assert pieces == sorted(cut)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near", "private", "mixture", "packing"]
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, one id with other texts, a long text, columns named as working ones are."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (1, "another text of this id " + text[:50], "en", "s", 9), (2, f"{text} tail", "en", "s", 9), (None, None, None, None, None), (3, None, "en", None, None), (4, "", None, "s", 0), (5, "x " * 200_000, "de", "t", 400_000), (6, "write to ann@corp.example.org", "en", "t", 29)]
+    more = "_x_size long, _q_score double, _p_text string, _m_id string, _n_mark int, part long, quality int, text2 string"
+    spark.createDataFrame([(*r, 1, 0.5, "p", "m", 2, 3, 4, None) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {more}").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names, name
+        assert {(r._x_size, r._q_score, r._p_text, r._m_id, r._n_mark, r.part, r["quality"]) for r in docs.collect()} == {(1, 0.5, "p", "m", 2, 3, 4)}, name
+        if name == "near":
+            assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 1, 3, 4, 5, 6]
+    assert not docs.where(F.col("text").contains("@")).count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(str(DATA / f"sf0.001/{t}.parquet")).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
