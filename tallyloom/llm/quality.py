@@ -24,9 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,60 +41,142 @@ SAMPLE, ROUNDS, LESSONS = 4000, 3, 120
 SURE, FOLDS, SILENT = 0.9, 4, 4.0
 #: Slots of shapes and of words.
 SLOTS = 64
-KNOWN_WORDS = 200_000
-_MARKS = re.compile(r"[^\w\s.,;:'\"()@+=/-]")
-_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
-
-
-def _line(words: list[str], line: str) -> tuple[float, ...]:
-    n = len(words)
-    letters = sum(map(str.isalpha, line)) or 1
-    return (
-        sum(map(str.isupper, line)) / letters,
-        len(_MARKS.findall(line)) / n,
-        sum(a == b for a, b in zip(words, words[1:])) / n,
-        max(Counter(words).values()) / n if n >= 8 else 0.0,
-        1 - len(set(words)) / n if n >= 8 else 0.0,
-    )
-
-
-class _Slots(dict):
-    """The two slots of a word, by its shape and by itself, kept while words are few."""
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        shape = _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word))
-        found = zlib.crc32(shape.encode()) % SLOTS, SLOTS + zlib.crc32(word.lower().strip(".,;:!?").encode()) % SLOTS
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = found
-        return found
+WIDE = 14 + 2 * SLOTS
+#: What a sign is: a letter, a capital, a mark that prose does without, white space, a digit, neither letter nor number,
+#: and what is taken off the ends of a word.
+LETTER, CAPITAL, MARK, SPACE, DIGIT, ODD, END = (1 << i for i in range(7))
+_PLAIN = frozenset(".,;:'\"()@+=/-")
+#: Signs that are measured together, whole texts at a time.
+TOGETHER = 400_000
+
+
+def _kind(sign: str) -> int:
+    mark = not (sign.isalnum() or sign == "_" or sign.isspace() or sign in _PLAIN)
+    kinds = (sign.isalpha(), sign.isupper(), mark, sign.isspace(), sign in "0123456789", not sign.isalnum(), sign in ".,;:!?")
+    return sum(1 << i for i, k in enumerate(kinds) if k)
+
+
+class _Signs:
+    """The kinds and the small letters of all 16-bit signs, and those of one sign for all others."""
+
+    def __init__(self):
+        signs = [chr(i) for i in range(1 << 16)]
+        self.kinds = np.array([*map(_kind, signs), MARK | ODD], np.uint8)
+        self.low = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in signs], np.uint32)
+
+
+_STEP = np.uint32(0x9E3779B1)
+
+
+def _names(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32-bit hashes of runs of codes: differences of one running sum, brought to a common power."""
+    n = len(codes)
+    ups, downs = np.full(n + 1, _STEP, np.uint32), np.full(n + 1, pow(int(_STEP), -1, 1 << 32), np.uint32)
+    ups[0] = downs[0] = 1
+    sums = np.zeros(n + 1, np.uint32)
+    np.cumsum((codes + np.uint32(1)) * np.multiply.accumulate(ups, dtype=np.uint32)[:n], dtype=np.uint32, out=sums[1:])
+    h = (sums[end] - sums[start]) * np.multiply.accumulate(downs, dtype=np.uint32)[start] + (end - start).astype(np.uint32)
+    for shift, by in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    return h ^ (h >> np.uint32(16))
+
+
+def _edges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of a flag start and end."""
+    steps = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return np.flatnonzero(steps > 0), np.flatnonzero(steps < 0)
+
+
+def _together(texts: list[str]) -> np.ndarray:
+    """A row of measures for each of some texts, from arrays over all of their signs, words and lines at once."""
+    known = held("quality", _Signs)
+    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = known.kinds[np.minimum(codes, 1 << 16)]
+    ends_of = np.cumsum([len(t) + 1 for t in texts])
+    docs, out = len(texts), np.zeros((len(texts), WIDE))
+    is_space = kinds & SPACE > 0
+    start, end = _edges(~is_space)
+    if not len(start):
+        return out
+    newline = codes == 10
+    line = np.cumsum(newline)[start]  # a word's line, and so its text
+    doc = np.searchsorted(ends_of, start, "right")
+    name = _names(codes, start, end).astype(np.int64)
+    # words without outer stops, in small letters
+    place = np.arange(len(codes), dtype=np.int32)
+    stop = kinds & END > 0
+    after = np.minimum.accumulate(np.where(stop, np.int32(len(codes)), place)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(stop, np.int32(-1), place))
+    lo = np.minimum(after[start], end)
+    low = known.low[np.minimum(codes, (1 << 16) - 1)]
+    word = _names(np.where(codes < 1 << 16, low, codes), lo, np.maximum(before[end - 1] + 1, lo))
+    # shapes: runs of letters (small, or capitals alone) and of digits, and every other sign
+    kind = (kinds & LETTER > 0).astype(np.int8) + 2 * (kinds & DIGIT > 0).astype(np.int8)
+    run = np.flatnonzero(~is_space & ((kind == 0) | np.append(True, (kind[1:] != kind[:-1]) | is_space[:-1])))
+    first = np.searchsorted(run, start)
+    past = np.append(run[1:], len(codes))
+    past[np.append(first[1:], len(run)) - 1] = end
+    capitals = np.append(np.int32(0), np.cumsum(kinds & CAPITAL > 0, dtype=np.int32))
+    shout = (capitals[past] - capitals[run] == past - run) & (past - run > 1)
+    shape = np.where(kind[run] == 1, 1 + 2 * shout, np.where(kind[run] == 2, 2, codes[run] + 4)).astype(np.uint32)
+    last = np.append(first[1:], len(run))
+    form = _names(shape, first, last)
+    letters_only = (last - first == 1) & (kind[start] == 1)
+    # lines that have words
+    at = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    n = np.diff(np.append(at, len(line)))
+    size, of = n.astype(float), doc[at]
+    row = np.repeat(np.arange(len(at)), n)
+    bounds = np.append(0, np.flatnonzero(newline) + 1)
+    number = line[at]
+
+    def signs(bit: int) -> np.ndarray:
+        sums = np.append(np.int32(0), np.cumsum(kinds & bit > 0, dtype=np.int32))
+        return sums[bounds[number + 1]] - sums[bounds[number]]
+
+    same = np.bincount(row[1:][(name[1:] == name[:-1]) & (row[1:] == row[:-1])], minlength=len(at))
+    differ, times = np.unique(row.astype(np.int64) << 32 | name, return_counts=True)
+    its = differ >> 32
+    most = np.maximum.reduceat(times, np.searchsorted(its, np.arange(len(at))))
+    long = n >= 8
+    each = np.stack([signs(CAPITAL) / np.maximum(signs(LETTER), 1), signs(MARK) / size, same / size, np.where(long, most / size, 0.0), np.where(long, 1 - np.bincount(its, minlength=len(at)) / size, 0.0)], axis=1)
+    # texts that have words
+    there = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    who = of[there]
+    words = np.add.reduceat(size, there)
+    out[who, :5] = np.add.reduceat(each * size[:, None], there) / words[:, None]
+    wide = np.maximum.reduceat(n, there)[np.searchsorted(who, of)] >= 4
+    out[who, 5:10] = np.maximum.reduceat(np.where((wide & (n < 4))[:, None], -1.0, each), there)
+    length = np.where(letters_only, end - start, 0).astype(float)
+    m, total, squares = (np.bincount(doc, x, docs)[who] for x in (letters_only, length, length * length))
+    mean = np.where(m > 0, total / np.maximum(m, 1), 5.0)  # numbers, addresses and keys say nothing about the prose
+    spread = np.sqrt(np.maximum(np.where(m > 0, squares / np.maximum(m, 1), 25.0) - mean**2, 0))
+    lone = np.bincount(doc, (end - start == 1) & (kinds[start] & ODD > 0), docs)[who]
+    sorts = np.bincount(np.unique(doc.astype(np.int64) << 32 | name) >> 32, minlength=docs)[who]
+    out[who, 10:14] = np.stack([np.log(mean), spread / mean, lone / words, sorts / words**0.9], axis=1)
+    for i, h in enumerate((form, word)):
+        counts = np.bincount(doc * SLOTS + (h % SLOTS).astype(int), minlength=docs * SLOTS).reshape(docs, SLOTS)
+        out[who, 14 + i * SLOTS : 14 + (i + 1) * SLOTS] = np.sqrt(counts[who] / words[:, None])
+    return out
 
 
-def _hashed(words: list[str]) -> list[float]:
-    """Roots of the shares of words in each slot."""
-    known, out = held("quality", _Slots), [0] * (2 * SLOTS)
-    for word, n in Counter(words).items():
-        a, b = known[word]
-        out[a] += n
-        out[b] += n
-    return [math.sqrt(n / len(words)) for n in out]
+def contents(texts: list[str]) -> np.ndarray:
+    """Measures of whole texts, a row each, without their language, source or length: of lines that have words, means by
+    words and the largest (of those of four words, if any): capitals of letters, marks a word, words like the one before,
+    and in lines of eight words the commonest word and repeated ones; of words, lengths, lone signs, how many differ; and
+    the roots of the shares of shapes and of words in each slot."""
+    out, some, size = [], [], 0
+    for text in texts:
+        if some and size + len(text) > TOGETHER:
+            out.append(_together(some))
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    return np.vstack([*out, _together(some)]) if texts else np.zeros((0, WIDE))
 
 
 def content(text: str) -> list[float]:
-    """Measures of a whole text, without its language, source or length."""
-    lines = [(w, x) for x in text.split("\n") if (w := x.split())]
-    if not lines:
-        return [0.0] * (14 + 2 * SLOTS)
-    each = np.array([_line(*x) for x in lines])
-    size = np.array([len(w) for w, _ in lines], float)
-    mean = (each * size[:, None]).sum(axis=0) / size.sum()
-    some = each[size >= 4] if (size >= 4).any() else each
-    words = [w for ws, _ in lines for w in ws]
-    plain = [len(w) for w in words if w.isalpha()] or [5]  # numbers, addresses and keys say nothing about the prose
-    long = np.array(plain, float)
-    lone = sum(len(w) == 1 and not w.isalnum() for w in words) / len(words)
-    counts = [*mean, *some.max(axis=0), math.log(long.mean()), float(long.std() / long.mean()), lone, len(set(words)) / len(words) ** 0.9]
-    return counts + _hashed(words)
+    return contents([text])[0].tolist()
 
 
 def _slot(value: str | None, n: int) -> list[float]:
@@ -261,11 +341,11 @@ def _measured(docs: DataFrame, *keep: str) -> DataFrame:
     """keep, content and metadata of every row of (lang, source, text, keep)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.float32())
         for batch in batches:
             lang, source, text = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            views = [[content(t) for t in text], [metadata(*x) for x in zip(lang, source, text, strict=True)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *(pa.array(v, kind) for v in views)], names=[*keep, "content", "metadata"])
+            views = [contents(text).astype(np.float32), np.array([metadata(*x) for x in zip(lang, source, text, strict=True)], np.float32).reshape(len(text), -1)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel())) for v in views]
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *lists], names=[*keep, "content", "metadata"])
 
     kinds = dict(docs.dtypes)
     return docs.select("lang", "source", "text", *keep).mapInArrow(work, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "content array<float>", "metadata array<float>"]))
@@ -353,7 +433,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             else:
                 lang, source, text = (batch.column(i).to_pylist() for i in at)
                 text = [t or "" for t in text]
-                measures = [np.array([content(t) for t in text]), np.array([metadata(*x) for x in zip(lang, source, text, strict=True)])]
+                measures = [contents(text), np.array([metadata(*x) for x in zip(lang, source, text, strict=True)])]
             measures = [x.astype(np.float32).astype(float) for x in measures]  # as they are stored
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, model.chances(measures))], names=[*batch.schema.names, *SCORES])
 
