@@ -9,10 +9,10 @@ vertex (partial aggregation, so copies are never expanded). Buckets are stars ar
 rather than by collected groups, so one large bucket is split over tasks. Shingles that no other document of any bucket
 has bound every intersection from above: documents and pairs that this rules out are left out, then pairs that a sketch
 rules out (`deviations` standard deviations off the threshold; None for no sketch); the rest meet the exact Jaccard on
-whole sets. Buckets whose members fall into several components get further centres. When few pairs of a bucket's members
-cross components all of them are compared; when many do, only those that share one of their rarest shingles: two sets of
-the similarity always share one of the first n - ceil(t n) + 1 in any order that both follow. So no bucket hides a link
-and none is compared pair by pair. Components are joined up by minimum labels.
+whole sets. Buckets whose members still fall into several components get another centre, and what then still crosses
+components meets by its rarest shingles: two sets of the similarity always share one of the first n - ceil(t n) + 1 in
+any order that both follow. So no bucket hides a link and none is compared pair by pair. Components are joined up by
+minimum labels.
 
 What can be lost: a pair whose signatures share no band (under one in a million at the threshold) and a pair whose
 sketches differ by five standard deviations too much (under one in three million). exact=True uses neither: all sets meet
@@ -190,18 +190,15 @@ def _as(rows: DataFrame, on: str, x: str, *more: str) -> DataFrame:
     return rows.select(on, F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("core").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"), *(F.col(m).alias(f"{m}_{x}") for m in more))
 
 
-def _crossing(rows: DataFrame, on: str, percent: int, deviations: float | None, *more: str) -> DataFrame:
+def _crossing(rows: DataFrame, on: str, percent: int, deviations: float | None) -> DataFrame:
     """Pairs (a, b) of rows (on, v, part, n, core, sketch) that meet on a column, cross parts and may link. Of those that
-    meet, the largest part is not paired with itself. What stands in `more`, a sorted array of all values of `on` that a
-    row has, makes a pair count in the first value that both have alone."""
+    meet, the largest part is not paired with itself."""
     parts = rows.groupBy(on, "part").agg(F.count(F.lit(1)).alias("m"))
     mains = parts.groupBy(on).agg(F.max(F.struct("m", "part")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select(on, F.col("main.part").alias("main"))
     rows = rows.join(mains, on)
-    pairs = _as(rows.where("part <> main"), on, "a", "part", *more).join(_as(rows, on, "b", "part", "main", *more), on)
-    once = [F.array_intersect(f"{m}_a", f"{m}_b")[0] == F.col(on) for m in more]
+    pairs = _as(rows.where("part <> main"), on, "a", "part").join(_as(rows, on, "b", "part", "main"), on)
     crosses = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
-    pairs = pairs.where(crosses & _may_link(percent, deviations))
-    return pairs.where(once[0]) if once else pairs
+    return pairs.where(crosses & _may_link(percent, deviations))
 
 
 def _by_rarest(rows: DataFrame, sets: DataFrame, percent: int, deviations: float | None) -> DataFrame:
@@ -238,7 +235,7 @@ def _cores(facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(cored.join(sets.select("v", "sketch"), "v").select("v", "n", "core", "sketch", "bands"))
 
 
-def _linked(facts: DataFrame, docs: DataFrame, size: int, percent: int, seed: int, work_per_row: int, deviations: float | None) -> DataFrame:
+def _linked(facts: DataFrame, docs: DataFrame, size: int, percent: int, seed: int, deviations: float | None) -> DataFrame:
     """(v, label) of the vertices that links join, by buckets."""
     placed = facts.select("v", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least < most").select("key")
@@ -246,23 +243,16 @@ def _linked(facts: DataFrame, docs: DataFrame, size: int, percent: int, seed: in
     sets = _sets(docs, staged(buckets.select("v").distinct().join(facts.select("v", "doc_id", "mark"), "v")), size, seed)
     facts = _cores(facts.select("v", "n", "bands"), sets, percent)
     rows = staged(buckets.join(facts.select("v"), "v"))
-    total = rows.count()
-
     labels = components(rows.limit(0).select(F.col("v").alias("a"), F.col("v").alias("b")))
     links = None
     for turn in range(ROUNDS + 1):
         known = rows.join(labels, "v", "left").withColumn("part", F.coalesce("label", "v")).drop("label")
         parts = known.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
-        mains = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("k"))
-        mains = mains.where("k > 1").select("key", F.col("main.part").alias("main"), "all")
-        open_ = staged(known.join(mains, "key"))
-        found = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("part") != F.col("main"), F.col("all")))).first()
-        if not found[0]:
+        mains = parts.groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.count(F.lit(1)).alias("k"))
+        open_ = staged(known.join(mains.where("k > 1").select("key", F.col("main.part").alias("main")), "key"))
+        if open_.isEmpty():
             break
-        few = found[1] <= work_per_row * total
-        if few:  # every pair that crosses components
-            pairs = _crossing(open_.select("v", "key", "part").join(facts, "v"), "key", percent, deviations, "bands")
-        elif turn == ROUNDS:
+        if turn == ROUNDS:
             pairs = _by_rarest(open_.select("v", "part").distinct().join(facts.drop("bands"), "v"), sets, percent, deviations)
         else:  # a star round one more centre in each bucket, out of those outside its largest component
             outside = open_.where("part <> main")
@@ -275,8 +265,6 @@ def _linked(facts: DataFrame, docs: DataFrame, size: int, percent: int, seed: in
         if not more.isEmpty():
             links = more if links is None else links.union(more)
             labels = components(links)
-        if few or turn == ROUNDS:
-            break
     return labels
 
 
@@ -287,13 +275,13 @@ def _all_linked(facts: DataFrame, docs: DataFrame, size: int, percent: int, seed
     return components(_confirmed(_by_rarest(rows, sets, percent, None), sets, percent))
 
 
-def _grouped(docs: DataFrame, size: int, percent: int, seed: int, work_per_row: int, deviations: float | None, exact: bool) -> DataFrame:
+def _grouped(docs: DataFrame, size: int, percent: int, seed: int, deviations: float | None, exact: bool) -> DataFrame:
     """doc_id, mark, n_shingles and first (the doc_id and mark of its component's first document) for every row."""
     bound_batches(docs.sparkSession)
     signed = staged(_signed(docs, size, percent / 100, seed))
     firsts = signed.where("v is not null and doc_id is not null").groupBy("v").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     firsts = staged(firsts.select("v", "first.doc_id", "first.mark", "n", "bands"))
-    labels = _all_linked(firsts, docs, size, percent, seed) if exact else _linked(firsts, docs, size, percent, seed, work_per_row, deviations)
+    labels = _all_linked(firsts, docs, size, percent, seed) if exact else _linked(firsts, docs, size, percent, seed, deviations)
     own = firsts.select("v", F.struct("doc_id", "mark").alias("own"))
     named = labels.join(own, "v")
     named = named.join(named.groupBy("label").agg(F.min("own").alias("first")), "label").select("v", "first")
@@ -301,16 +289,16 @@ def _grouped(docs: DataFrame, size: int, percent: int, seed: int, work_per_row:
     return signed.select("doc_id", "mark", "n_shingles", "v").join(named, "v", "left").select("doc_id", "mark", "n_shingles", "first")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, seed: int = 11, work_per_row: int = 4, deviations: float | None = 5.0, exact: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, seed: int = 11, deviations: float | None = 5.0, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; links at percent or more of the union."""
-    found = _grouped(docs, size, percent, seed, work_per_row, deviations, exact)
+    found = _grouped(docs, size, percent, seed, deviations, exact)
     return found.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, seed: int = 11, work_per_row: int = 4, deviations: float | None = 5.0, exact: bool = False) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, seed: int = 11, deviations: float | None = 5.0, exact: bool = False) -> DataFrame:
     """docs without the near duplicates of an earlier document (by doc_id, then by hash of the text); of rows that repeat
     doc_id and text one stays, rows without a doc_id all stay."""
-    found = staged(_grouped(docs, size, percent, seed, work_per_row, deviations, exact))
+    found = staged(_grouped(docs, size, percent, seed, deviations, exact))
     kept = F.col("first").isNull() | (F.struct("doc_id", "mark") == F.col("first"))
     rows, names = guarded(docs, "doc_id", "text")
     rows = rows.withColumns({"_n_id": F.col("doc_id").cast("long"), "_n_mark": F.xxhash64(text_of())})
