@@ -39,6 +39,8 @@ IN_RANGE = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 TERM = r"\p{L}{3,}+"
 #: Terms (some 20 bytes each) that may be broadcast; above it the planner shuffles the corpus' terms.
 BROADCAST_TERMS = 200_000
+#: Ids and hashes (16 bytes each) that may be broadcast; above it all texts are shuffled to their spans.
+BROADCAST_KEYS = 1_000_000
 
 _LONGS = "array<struct<s:int,e:int,v:string>>"
 _MARKS = "array<struct<k:int,s:int,e:int,v:string>>"
@@ -48,7 +50,7 @@ def _digits(m: Column) -> Column:
     return F.translate(m, " ().-+", "")
 
 
-def _places(text: Column, matches: Column, pattern: str) -> Column:
+def _places(text: Column, matches: Column, pattern: str | Column) -> Column:
     """Array of (s, e, v) for the matches of a pattern, from the lengths of what lies between them."""
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
@@ -97,19 +99,13 @@ def _terms(text: Column) -> Column:
 
 def _standing(text: Column, told: Column) -> Column:
     """Where the terms of told, an array of (t, v), stand in a text outside its spans: array of (k, s, e, v)."""
-    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, TERM, -1), F.lit(1), F.size(words)).alias("gap"), words.alias("word"))
     known = F.map_from_entries(told)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_MARKS).alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        s = state["at"] + F.char_length(pair["gap"])
-        e = s + F.char_length(pair["word"])
-        v = F.try_element_at(known, F.lower(pair["word"]))
-        more = F.concat(state["out"], F.array(F.struct(F.lit(4).alias("k"), s.alias("s"), e.alias("e"), v.alias("v"))))
-        return F.struct(e.alias("at"), F.when(v.isNotNull(), more).otherwise(state["out"]).alias("out"))
-
-    return F.filter(F.aggregate(pairs, start, step)["out"], lambda t: ~F.exists("_p_spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+    own = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.map_contains_key(known, F.lower(w))))
+    # those words alone are looked for, as whole runs of letters; a text without any looks for a sign that none has
+    wanted = F.when(F.size(own) > 0, F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(own, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit("(?!)"))
+    found = _places(text, F.regexp_extract_all(text, wanted, F.lit(0)), wanted)
+    marked = F.transform(found, lambda x: F.struct(F.lit(4).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.try_element_at(known, F.lower(x["v"])).alias("v")))
+    return F.filter(marked, lambda t: ~F.exists("_p_spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
 
 
 def spans(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
@@ -124,22 +120,24 @@ def spans(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataF
     # n_te is at most n_e, so that a term of more documents than this reaches the threshold with no entity
     most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - disclose)) * (1 + 1e-9) - 1
     limit = held.agg(F.max(most)).first()[0]
-    told = rows.withColumn("_p_terms", F.array().cast(_MARKS))
-    if limit is not None:
-        words = some.select("_p_row", F.explode(_terms(F.col("_p_text"))).alias("t"))
-        near = words.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("t")
-        counts = docs.select(F.explode(_terms(text_of())).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= limit)
-        rare = staged(counts.join(near, "t", "left_semi"))
-        words = staged(words.join(broadcast_if(rare, rare.count(), BROADCAST_TERMS), "t"))
-        both = words.join(held, "_p_row").where(F.col("n_t") <= most)
-        share = F.log(F.col("n_te") * F.lit(float(total)) / ((F.col("n_t") + 1) * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-        pairs = both.groupBy("v", "t", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te"))
-        telling = staged(pairs.withColumn("share", share).where(F.col("share") >= disclose).select("v", "t", "share"))
-        each = both.select("_p_row", "v", "t").join(broadcast_if(telling, telling.count(), BROADCAST_TERMS), ["v", "t"])
-        how = F.when(F.max("share") >= remove, "remove").otherwise("generalise").alias("how")
-        each = each.groupBy("_p_row", "t").agg(how).groupBy("_p_row").agg(F.collect_list(F.struct("t", "how")).alias("_p_told"))
-        told = rows.join(each, "_p_row", "left").withColumn("_p_terms", F.when(F.col("_p_told").isNotNull(), _standing(F.col("_p_text"), F.col("_p_told"))))
-    return told.select("doc_id", "_p_hash", F.concat("_p_spans", F.coalesce("_p_terms", F.array().cast(_MARKS))).alias("_p_spans"))
+    if limit is None:
+        return rows.select("doc_id", "_p_hash", "_p_spans")
+    words = some.select("_p_row", F.explode(_terms(F.col("_p_text"))).alias("t"))
+    near = words.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("t")
+    counts = docs.select(F.explode(_terms(text_of())).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= limit)
+    rare = staged(counts.join(near, "t", "left_semi"))
+    words = staged(words.join(broadcast_if(rare, rare.count(), BROADCAST_TERMS), "t"))
+    both = words.join(held, "_p_row").where(F.col("n_t") <= most)
+    share = F.log(F.col("n_te") * F.lit(float(total)) / ((F.col("n_t") + 1) * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+    pairs = both.groupBy("v", "t", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te"))
+    telling = staged(pairs.withColumn("share", share).where(F.col("share") >= disclose).select("v", "t", "share"))
+    each = both.select("_p_row", "v", "t").join(broadcast_if(telling, telling.count(), BROADCAST_TERMS), ["v", "t"])
+    how = F.when(F.max("share") >= remove, "remove").otherwise("generalise").alias("how")
+    each = each.groupBy("_p_row", "t").agg(how).groupBy("_p_row").agg(F.collect_list(F.struct("t", "how")).alias("_p_told"))
+    # rows without an entity have no terms: they are not moved
+    terms = F.when(F.col("_p_told").isNotNull(), _standing(F.col("_p_text"), F.col("_p_told"))).otherwise(F.array().cast(_MARKS))
+    told = some.join(each, "_p_row", "left").select("doc_id", "_p_hash", F.concat("_p_spans", terms).alias("_p_spans"))
+    return told.unionByName(rows.where(F.size("_p_spans") == 0).select("doc_id", "_p_hash", "_p_spans"))
 
 
 def _cleaned(text: Column, spans_: Column) -> Column:
@@ -160,10 +158,17 @@ def _cleaned(text: Column, spans_: Column) -> Column:
 
 def sanitised(docs: DataFrame, **how) -> DataFrame:
     """docs with personal data and the terms that reveal it replaced in text (and n_chars, if there, counted again)."""
-    marks = spans(docs, **how).where(F.size("_p_spans") > 0).select(F.col("doc_id").alias("_m_id"), F.col("_p_hash").alias("_m_hash"), "_p_spans").dropDuplicates(["_m_id", "_m_hash"])
+    marks = spans(docs, **how).where(F.size("_p_spans") > 0).select(F.col("doc_id").alias("_m_id"), F.col("_p_hash").alias("_m_hash"), "_p_spans")
+    marks = staged(marks.dropDuplicates(["_m_id", "_m_hash"]))
     rows, names = guarded(docs, "doc_id", "text", "n_chars")
     same = F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.xxhash64(text_of()) == F.col("_m_hash"))
-    out = rows.join(marks, same, "left").withColumn("text", F.when(F.col("_p_spans").isNull(), F.col("text")).otherwise(_cleaned(F.col("text"), F.col("_p_spans"))))
+    n = marks.count()
+    out = rows
+    if n <= BROADCAST_KEYS:  # texts without spans, which are most, stay where they are
+        keys = F.broadcast(marks.select("_m_id", "_m_hash"))
+        clean, out = rows.join(keys, same, "left_anti").select(*names), rows.join(keys, same, "left_semi")
+    out = out.join(marks, same, "left").withColumn("text", F.when(F.col("_p_spans").isNull(), F.col("text")).otherwise(_cleaned(F.col("text"), F.col("_p_spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_p_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names).toDF(*docs.columns)
+    out = out.select(*names)
+    return (clean.unionByName(out) if n <= BROADCAST_KEYS else out).toDF(*docs.columns)
