@@ -45,6 +45,8 @@ SKETCH = 1024
 KNOWN_WORDS = 100_000
 #: Ids that may be broadcast (8 bytes each); above it the planner shuffles.
 BROADCAST_IDS = 1_000_000
+#: Of a set's rarest shingles, how many before one tell that a pair has met already.
+BEFORE = 8
 #: Star rounds before the pairs that still cross components meet by their rarest shingles.
 ROUNDS = 2
 
@@ -191,14 +193,18 @@ def _as(rows: DataFrame, on: str, x: str, *more: str) -> DataFrame:
 
 
 def _crossing(rows: DataFrame, on: str, percent: int, deviations: float | None) -> DataFrame:
-    """Pairs (a, b) of rows (on, v, part, n, core, sketch) that meet on a column, cross parts and may link. Of those that
-    meet, the largest part is not paired with itself."""
+    """Pairs (a, b) of rows (on, v, part, n, core, sketch, pos, before) that meet on a column, cross parts and may link.
+    Of those that meet, the largest part is not paired with itself. Values of `on` are in one order: pos is a value's place
+    in the row's set, so that two sets that first meet there share no more than what comes from there on; and a pair
+    that has met by one of the few values before is not made again."""
     parts = rows.groupBy(on, "part").agg(F.count(F.lit(1)).alias("m"))
     mains = parts.groupBy(on).agg(F.max(F.struct("m", "part")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select(on, F.col("main.part").alias("main"))
     rows = rows.join(mains, on)
-    pairs = _as(rows.where("part <> main"), on, "a", "part").join(_as(rows, on, "b", "part", "main"), on)
+    pairs = _as(rows.where("part <> main"), on, "a", "part", "pos", "before").join(_as(rows, on, "b", "part", "main", "pos", "before"), on)
+    most = 1 + F.least(F.col("na") - F.col("pos_a"), F.col("nb") - F.col("pos_b"))
+    left = most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     crosses = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
-    return pairs.where(crosses & _may_link(percent, deviations))
+    return pairs.where(crosses & left & _may_link(percent, deviations) & ~F.arrays_overlap("before_a", "before_b"))
 
 
 def _by_rarest(rows: DataFrame, sets: DataFrame, percent: int, deviations: float | None) -> DataFrame:
@@ -212,9 +218,10 @@ def _by_rarest(rows: DataFrame, sets: DataFrame, percent: int, deviations: float
     shared = staged(each.join(common, "shingle"))
     show = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     left = shared.groupBy("v").agg(F.count(F.lit(1)).alias("held")).join(rows.select("v", "n"), "v")
-    left = left.select("v", (show - (F.col("n") - F.col("held"))).alias("show")).where("show > 0")
-    place = F.row_number().over(Window.partitionBy("v").orderBy("df", "shingle"))
-    first = shared.join(left, "v").withColumn("place", place).where("place <= show").select("v", "shingle")
+    left = left.select("v", (show - (F.col("n") - F.col("held"))).alias("show"), (F.col("n") - F.col("held")).alias("lone")).where("show > 0")
+    order = Window.partitionBy("v").orderBy("df", "shingle")
+    places = {"place": F.row_number().over(order), "before": F.collect_list("shingle").over(order.rowsBetween(-BEFORE, -1))}
+    first = shared.join(left, "v").withColumns(places).where("place <= show").select("v", "shingle", (F.col("lone") + F.col("place")).alias("pos"), "before")
     return _crossing(staged(first.join(rows, "v")), "shingle", percent, deviations)
 
 
@@ -254,10 +261,10 @@ def _linked(facts: DataFrame, docs: DataFrame, size: int, percent: int, seed: in
             break
         if turn == ROUNDS:
             pairs = _by_rarest(open_.select("v", "part").distinct().join(facts.drop("bands"), "v"), sets, percent, deviations)
-        else:  # a star round one more centre in each bucket, out of those outside its largest component
-            outside = open_.where("part <> main")
+        else:  # a star round one more centre in each bucket out of its largest component, and then one of the others
             chosen = F.col("v") if turn == 0 else F.xxhash64("v", F.lit(turn))
-            centre = outside.join(outside.groupBy("key").agg(F.min(chosen).alias("c")), "key").where(chosen == F.col("c"))
+            sides = open_.withColumns({"c": chosen, "out": F.col("part") != F.col("main")})
+            centre = sides.join(sides.where("out" if turn == 0 else "true").groupBy("key", "out").agg(F.min("c").alias("least")), ["key", "out"]).where("c = least")
             both = [_as(x.select("v", "key", "part").join(facts, "v"), "key", y, "part", "bands") for x, y in ((centre, "a"), (open_, "b"))]
             once = F.array_intersect("bands_a", "bands_b")[0] == F.col("key")
             pairs = both[0].join(both[1], "key").where((F.col("part_a") != F.col("part_b")) & _may_link(percent, deviations) & once)
