@@ -41,6 +41,8 @@ TERM = r"\p{L}{3,}+"
 BROADCAST_TERMS = 200_000
 #: Ids and hashes (16 bytes each) that may be broadcast; above it all texts are shuffled to their spans.
 BROADCAST_KEYS = 1_000_000
+#: Lists, by hash, in which words look up the terms told of their document.
+LISTS = 32
 
 _LONGS = "array<struct<s:int,e:int,v:string>>"
 _MARKS = "array<struct<k:int,s:int,e:int,v:string>>"
@@ -97,15 +99,26 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _standing(text: Column, told: Column) -> Column:
-    """Where the terms of told, an array of (t, v), stand in a text outside its spans: array of (k, s, e, v)."""
-    known = F.map_from_entries(told)
-    own = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.map_contains_key(known, F.lower(w))))
-    # those words alone are looked for, as whole runs of letters; a text without any looks for a sign that none has
-    wanted = F.when(F.size(own) > 0, F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(own, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit("(?!)"))
-    found = _places(text, F.regexp_extract_all(text, wanted, F.lit(0)), wanted)
-    marked = F.transform(found, lambda x: F.struct(F.lit(4).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.try_element_at(known, F.lower(x["v"])).alias("v")))
-    return F.filter(marked, lambda t: ~F.exists("_p_spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+def _standing(rows: DataFrame) -> DataFrame:
+    """rows with _p_terms: where the terms of _p_told, an array of (t, how), stand in _p_text outside _p_spans, as an
+    array of (k, s, e, v). Words look a term up in one of a few short lists, by hash, so that many terms cost no more."""
+    terms = F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda i: F.transform(F.filter("_p_told", lambda x: F.pmod(F.hash(x["t"]), F.lit(LISTS)) == i), lambda x: x["t"]))
+    rows = rows.withColumns({"_p_words": F.regexp_extract_all("_p_text", F.lit(TERM), F.lit(0)), "_p_gaps": F.split("_p_text", TERM, -1), "_p_lists": terms})
+    rows = rows.withColumn("_p_low", F.transform("_p_words", F.lower))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_MARKS).alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        s = state["at"] + F.char_length(x["gap"])
+        e = s + F.char_length(x["word"])
+        told = F.array_contains(F.get(F.col("_p_lists"), F.pmod(F.hash(x["low"]), F.lit(LISTS))), x["low"])
+        more = F.concat(state["out"], F.array(F.struct(F.lit(4).alias("k"), s.alias("s"), e.alias("e"), x["low"].alias("v"))))
+        return F.struct(e.alias("at"), F.when(told, more).otherwise(state["out"]).alias("out"))
+
+    every = F.arrays_zip(F.slice("_p_gaps", F.lit(1), F.size("_p_words")).alias("gap"), F.col("_p_words").alias("word"), F.col("_p_low").alias("low"))
+    rows = rows.withColumn("_p_found", F.aggregate(every, start, step)["out"]).withColumn("_p_known", F.map_from_entries("_p_told"))
+    alone = F.filter("_p_found", lambda t: ~F.exists("_p_spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+    named = F.transform(alone, lambda t: t.withField("v", F.try_element_at(F.col("_p_known"), t["v"])))
+    return rows.withColumn("_p_terms", named)
 
 
 def spans(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
@@ -127,17 +140,18 @@ def spans(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataF
     counts = docs.select(F.explode(_terms(text_of())).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= limit)
     rare = staged(counts.join(near, "t", "left_semi"))
     words = staged(words.join(broadcast_if(rare, rare.count(), BROADCAST_TERMS), "t"))
-    both = words.join(held, "_p_row").where(F.col("n_t") <= most)
+    both = staged(words.join(held, "_p_row").where(F.col("n_t") <= most))
     share = F.log(F.col("n_te") * F.lit(float(total)) / ((F.col("n_t") + 1) * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     pairs = both.groupBy("v", "t", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te"))
     telling = staged(pairs.withColumn("share", share).where(F.col("share") >= disclose).select("v", "t", "share"))
     each = both.select("_p_row", "v", "t").join(broadcast_if(telling, telling.count(), BROADCAST_TERMS), ["v", "t"])
     how = F.when(F.max("share") >= remove, "remove").otherwise("generalise").alias("how")
-    each = each.groupBy("_p_row", "t").agg(how).groupBy("_p_row").agg(F.collect_list(F.struct("t", "how")).alias("_p_told"))
+    each = staged(each.groupBy("_p_row", "t").agg(how).groupBy("_p_row").agg(F.collect_list(F.struct("t", "how")).alias("_p_told")))
+    each_rows = each.select("_p_row")
     # rows without an entity have no terms: they are not moved
-    terms = F.when(F.col("_p_told").isNotNull(), _standing(F.col("_p_text"), F.col("_p_told"))).otherwise(F.array().cast(_MARKS))
-    told = some.join(each, "_p_row", "left").select("doc_id", "_p_hash", F.concat("_p_spans", terms).alias("_p_spans"))
-    return told.unionByName(rows.where(F.size("_p_spans") == 0).select("doc_id", "_p_hash", "_p_spans"))
+    told = _standing(some.join(each, "_p_row")).select("doc_id", "_p_hash", F.concat("_p_spans", "_p_terms").alias("_p_spans"))
+    untold = rows.join(broadcast_if(each_rows, each_rows.count(), BROADCAST_KEYS), "_p_row", "left_anti")
+    return told.unionByName(untold.select("doc_id", "_p_hash", "_p_spans"))
 
 
 def _cleaned(text: Column, spans_: Column) -> Column:
