@@ -101,10 +101,11 @@ def _terms(text: Column) -> Column:
 
 def _standing(rows: DataFrame) -> DataFrame:
     """rows with _p_terms: where the terms of _p_told, an array of (t, how), stand in _p_text outside _p_spans, as an
-    array of (k, s, e, v). Words look a term up in one of a few short lists, by hash, so that many terms cost no more."""
+    array of (k, s, e, v). Words look a term up in one of a few short lists, by hash, so that many terms cost no more.
+    Lists and words are staged before they are walked, so that no plan makes them again for every word."""
     terms = F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda i: F.transform(F.filter("_p_told", lambda x: F.pmod(F.hash(x["t"]), F.lit(LISTS)) == i), lambda x: x["t"]))
     rows = rows.withColumns({"_p_words": F.regexp_extract_all("_p_text", F.lit(TERM), F.lit(0)), "_p_gaps": F.split("_p_text", TERM, -1), "_p_lists": terms})
-    rows = rows.withColumn("_p_low", F.transform("_p_words", F.lower))
+    rows = staged(rows.withColumns({"_p_low": F.transform("_p_words", F.lower), "_p_known": F.map_from_entries("_p_told")}))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_MARKS).alias("out"))
 
     def step(state: Column, x: Column) -> Column:
@@ -115,10 +116,10 @@ def _standing(rows: DataFrame) -> DataFrame:
         return F.struct(e.alias("at"), F.when(told, more).otherwise(state["out"]).alias("out"))
 
     every = F.arrays_zip(F.slice("_p_gaps", F.lit(1), F.size("_p_words")).alias("gap"), F.col("_p_words").alias("word"), F.col("_p_low").alias("low"))
-    rows = rows.withColumn("_p_found", F.aggregate(every, start, step)["out"]).withColumn("_p_known", F.map_from_entries("_p_told"))
+    rows = staged(rows.select("doc_id", "_p_hash", "_p_spans", "_p_known", F.aggregate(every, start, step)["out"].alias("_p_found")))
     alone = F.filter("_p_found", lambda t: ~F.exists("_p_spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
     named = F.transform(alone, lambda t: t.withField("v", F.try_element_at(F.col("_p_known"), t["v"])))
-    return rows.withColumn("_p_terms", named)
+    return staged(rows.withColumn("_p_terms", named).select("doc_id", "_p_hash", "_p_spans", "_p_terms"))
 
 
 def spans(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
