@@ -112,8 +112,23 @@ def fold(df: DataFrame, keys: Sequence[str], order: str, first: Sequence[str], m
     )
 
 
+def sibling_counts(df: DataFrame, construct: str) -> DataFrame:
+    """df with the number of the other targets of its construct."""
+    counts = df.groupBy(construct).agg((F.count(F.lit(1)) - 1).alias("n_siblings"))
+    return df.join(counts, construct)
+
+
+def families(df: DataFrame, identity: Sequence[str], key: str, order: str) -> DataFrame:
+    """df with the keys of its roster family, itself included, in order: entries that agree on all of an identity (nulls
+    are a value), whose members differ in nothing but the roster row."""
+    same = df.groupBy(*(F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(f"_{c}") for c in identity)).agg(collected(key, order).alias("family"))
+    on = [F.coalesce(F.col(c).cast("string"), F.lit("None")) == F.col(f"_{c}") for c in identity]
+    return df.join(same, on).drop(*(f"_{c}" for c in identity))
+
+
 def siblings(df: DataFrame, construct: str, target: str) -> DataFrame:
-    """df with the ids of the other targets of its construct."""
+    """df with the ids of the other targets of its construct: a list for each target by definition; where only their
+    number is wanted, sibling_counts makes no lists."""
     every = df.groupBy(construct).agg(F.array_sort(F.collect_list(target)).alias("_all"))
     return df.join(every, construct).withColumn("siblings", F.array_remove("_all", F.col(target))).drop("_all")
 

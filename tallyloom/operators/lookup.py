@@ -65,8 +65,12 @@ def uncovered(required: DataFrame, seen: DataFrame, on: Sequence[str]) -> DataFr
 
 
 def set_signature(df: DataFrame, by: str, member: str) -> DataFrame:
-    """(by, signature): a hash of a group's sorted distinct members, so that equal sets are found by an equi-join."""
-    return df.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(member).cast("string"))), "\x1f"), 256).alias("signature"), F.count_distinct(member).alias("n_members"))
+    """(by, signature): a digest of a group's distinct members that does not depend on their order, so that equal sets
+    are found by an equi-join. It adds up two 64-bit hashes and counts, member by member: no group meets in an array."""
+    each = df.select(by, F.col(member).cast("string").alias("_m")).distinct()
+    one, two = F.xxhash64("_m"), F.xxhash64("_m", F.lit(1))
+    parts = each.groupBy(by).agg(F.bit_xor(one).alias("_x"), F.sum(two.cast("decimal(20,0)")).alias("_s"), F.count("_m").alias("n_members"))
+    return parts.select(by, F.concat_ws(":", F.col("_x").cast("string"), F.col("_s").cast("string"), F.col("n_members").cast("string")).alias("signature"), "n_members")
 
 
 def same_sets(left: DataFrame, right: DataFrame, by: str, member: str) -> DataFrame:

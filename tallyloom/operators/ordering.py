@@ -7,17 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources.staging import staged
+
 Order = Sequence[Column | str]
 
 
 def running(df: DataFrame, order: Order, **sums: Column) -> DataFrame:
     """Inclusive running totals in an order over all rows, without bringing all rows to one task.
 
-    Rows are ranged into parts and summed within each by a window over the part; a part's offset is the total of the
-    parts before it, from a table with a row for each part. Order columns must decide every tie.
+    Rows are ranged into parts, which are written with their number to the shared folder, so that both readers below see
+    the same parts whatever executors are lost, and summed within each by a window over the part; a part's offset is the
+    total of the parts before it, from a table with a row for each part. Order columns must decide every tie.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.withColumns({f"_v_{n}": v for n, v in sums.items()}).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = staged(df.withColumns({f"_v_{n}": v for n, v in sums.items()}).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = F.broadcast(totals.select("_part", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums)))  # a row a part

@@ -115,6 +115,18 @@ def rendered(template: str, **slots: Column) -> Column:
     return F.concat(*parts)
 
 
+def candidate_lines(entries: DataFrame, key: str, wording: str, module: str, family_size: str) -> DataFrame:
+    """(key, line): each candidate as a reader sees it: key and wording, its module, how many share the question, and in
+    how many modules the wording is printed."""
+    flat = F.trim(F.regexp_replace(F.coalesce(F.col(wording), F.lit("")), r"\s+", " "))
+    shared = entries.groupBy(flat.alias("_w")).agg(F.count_distinct(module).alias("_n"))
+    out = entries.withColumn("_w", flat).join(shared, "_w")
+    family = F.when(F.col(family_size) > 1, F.concat(F.lit("asked of each of "), F.col(family_size).cast("string"), F.lit(" roster members")))
+    printed = F.when(F.col("_n") > 1, F.concat(F.lit("same wording printed in "), F.col("_n").cast("string"), F.lit(" modules")))
+    facts = F.concat_ws("; ", F.concat(F.lit("module "), F.col(module).cast("string")), family, printed)
+    return out.select(key, F.concat(F.col(key), F.lit(": "), F.col("_w"), F.lit("  ("), facts, F.lit(")")).alias("line"))
+
+
 def log_lines(calls: DataFrame, by: str, order: str, line: Column) -> DataFrame:
     """A group's calls as text, in order."""
     rows = calls.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("x"))

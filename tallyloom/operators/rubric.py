@@ -72,6 +72,17 @@ def pair_verdict(samples: DataFrame, by: str, positive: Column, least: int) -> D
     return out.withColumn("verdict", F.when(F.col("n_positive") >= least, "positive").otherwise("negative"))
 
 
+def rescored(stored: DataFrame, by: str, elements: Column, least: int) -> DataFrame:
+    """Verdicts of stored responses under the rubric as it is now: the texts are scored again, no call is made. A response
+    is positive if all of its elements (a struct of booleans) hold."""
+    scored = stored.withColumn("_e", elements)
+    names = scored.schema["_e"].dataType.names
+    every = F.lit(True)
+    for name in names:
+        every = every & F.col(f"_e.{name}")
+    return pair_verdict(scored, by, every, least)
+
+
 def resolver_outcome(kind: Column, verdict: Column, keys: Column, gold: Column, accepted: Column, usable: Column) -> Column:
     """What a verdict on a request of a kind (exact, family, derive, abstain) is worth. gold and accepted are families."""
     named = verdict == "resolved"

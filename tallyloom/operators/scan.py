@@ -10,15 +10,43 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as T
 
 
-def markers(surfaces: DataFrame, rows: DataFrame, text: str, marker: str) -> DataFrame:
-    """(surface columns, marker) where a marker occurs. A list of markers is short (a few thousand at most) and is sent
-    to every text; figures need number boundaries."""
-    return surfaces.join(F.broadcast(rows), T.marker_hit(F.col(text), F.col(marker)))
-
-
-def tokens_in(surfaces: DataFrame, rows: DataFrame, text: str, token: str) -> DataFrame:
-    """(surface columns, token) where a token stands alone; for short lists of tokens."""
-    return surfaces.join(F.broadcast(rows), T.standalone(F.col(text), F.col(token)))
+#: Rows of a list that may be sent to every text; longer lists meet texts by an equi-join.
+SHORT_LIST = 2000
+
+
+def _met(surfaces: DataFrame, rows: DataFrame, text: str, here: Column, there: Column, holds: Column, short: int) -> DataFrame:
+    """Rows of a list with the texts in which they hold. A short list is sent to every text. A longer one meets texts
+    where the key of a row (here, null if it has none) is among those of a text (there, an array): only the rows without
+    a key are sent to all, which must be few."""
+    if rows.count() <= short:
+        return surfaces.join(F.broadcast(rows), holds)
+    keyed = rows.withColumn("_seed", here)
+    bare = keyed.where("_seed is null").drop("_seed")
+    n = bare.count()
+    if n > short:
+        raise ValueError(f"{n} rows have nothing to meet texts by; at most {short} can be sent to every text")
+    met = surfaces.withColumn("_seeds", there).withColumn("_seed", F.explode("_seeds")).drop("_seeds").join(keyed.where("_seed is not null"), "_seed").where(holds)
+    met = met.drop("_seed")
+    return met.unionByName(surfaces.join(F.broadcast(bare), holds)) if n else met
+
+
+def markers(surfaces: DataFrame, rows: DataFrame, text: str, marker: str, short: int = SHORT_LIST) -> DataFrame:
+    """(surface columns, marker) where a marker occurs; figures need number boundaries, so that they meet whole runs of
+    digits, any other marker is a substring, and meets the runs of three signs that it begins with."""
+    t, m = F.col(text), F.col(marker)
+    figure = m.rlike("^[0-9,]+$") & m.rlike("[0-9]")
+    here = F.when(figure, F.regexp_extract(m, "[0-9]+", 0)).when(~m.rlike("^[0-9,]+$") & (F.length(m) >= 3), F.concat(F.lit("="), F.substring(m, 1, 3)))
+    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.concat(F.lit("="), F.substring(t, i, F.lit(3))))
+    there = F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0)), three))
+    return _met(surfaces, rows, text, here, there, T.marker_hit(t, m), short)
+
+
+def tokens_in(surfaces: DataFrame, rows: DataFrame, text: str, token: str, short: int = SHORT_LIST) -> DataFrame:
+    """(surface columns, token) where a token stands alone: its first run of word signs is then one of the text's."""
+    t, m = F.col(text), F.col(token)
+    here = F.nullif(F.regexp_extract(m, "[A-Za-z0-9_]+", 0), F.lit(""))
+    there = F.array_distinct(F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    return _met(surfaces, rows, text, here, there, T.standalone(t, m), short)
 
 
 def word_runs(df: DataFrame, key: str, text: str, k: int, pattern: str = "[a-z0-9]+") -> DataFrame:
@@ -87,10 +115,27 @@ def word_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, words: Colu
     return both.select(a_key, b_key, "n_shared", (i / F.col("_n")).alias("cov_a"), (i / F.col("_m")).alias("cov_b"), (i / (F.col("_n") + F.col("_m") - i)).alias("jaccard"))
 
 
-def absence(df: DataFrame, rules: DataFrame, text: Column) -> DataFrame:
-    """By rule (name, pattern): how many texts it matches; none is an absence. A rule table is short and is broadcast."""
-    hits = df.select(text.alias("_t")).join(F.broadcast(rules), F.regexp_like("_t", F.col("pattern"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return rules.join(hits, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("absent"))
+def absence(df: DataFrame, rules: Sequence[tuple[str, str]], text: Column) -> DataFrame:
+    """By rule (name, pattern): how many texts it matches; none is an absence. One pass counts for all rules."""
+    counts = df.select(text.alias("_t")).agg(*(F.count_if(F.col("_t").rlike(p)).alias(n) for n, p in rules))
+    each = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n, _ in rules))
+    return counts.select(F.explode(each).alias("x")).select("x.name", "x.n", (F.col("x.n") == 0).alias("absent"))
+
+
+def absence_report(entries: DataFrame, entry: Column, targets: DataFrame, target: Column, construct: str, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """By domain (name, what must be absent, what may stand beside it): entries and targets that match the first, and
+    constructs of targets that match the second; a domain is absent if neither entries nor targets match."""
+    seen = entries.select(entry.alias("_t")).agg(*(F.count_if(F.col("_t").rlike(p)).alias(f"e_{n}") for n, p, _ in rules))
+    shown = targets.select(target.alias("_t"), F.col(construct).alias("_c"))
+    found = [F.count_if(F.col("_t").rlike(p)).alias(f"t_{n}") for n, p, _ in rules] + [F.count_distinct(F.when(F.col("_t").rlike(q), F.col("_c"))).alias(f"a_{n}") for n, _, q in rules]
+    each = F.array(*(F.struct(F.lit(n).alias("domain"), F.col(f"e_{n}").alias("entries"), F.col(f"t_{n}").alias("targets"), F.col(f"a_{n}").alias("adjacent")) for n, _, _ in rules))
+    out = seen.crossJoin(shown.agg(*found)).select(F.explode(each).alias("x")).select("x.*")  # one row each
+    return out.withColumn("absent", (F.col("entries") == 0) & (F.col("targets") == 0))
+
+
+def unchecked(rows: DataFrame, domain: str, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """The domains of a fixture that no rule checks."""
+    return rows.select(domain).distinct().where(~F.col(domain).isin(*(n for n, _, _ in rules)))
 
 
 def seal_state(answer: Column, fact: Column) -> Column:

@@ -62,13 +62,15 @@ def scored(hits: DataFrame, terms: Sequence[str], n_items: int, k1: float = 1.2,
 def collapse(hits: DataFrame, wording: str, order: Sequence[Column], limit: int, echo: int = 4) -> DataFrame:
     """Hits of equal wording under their best one; the limit counts these alone. collapsed_n, and the first few keys.
 
-    A better hit of a wording always precedes the others, so this equals taking hits one by one: no loop is needed.
+    A better hit of a wording always precedes the others, so this equals taking hits one by one: no loop is needed. Of a
+    wording that many hits share, every task passes on its count and its first few hits alone.
     """
-    same = Window.partitionBy(wording)
-    rows = hits.withColumn("_at", F.row_number().over(same.orderBy(*order))).withColumn("collapsed_n", F.count(F.lit(1)).over(same) - 1)
-    few = F.when((F.col("_at") > 1) & (F.col("_at") <= echo + 1), F.struct("_at", "key"))
-    keys = F.transform(F.array_sort(F.collect_list(few).over(same)), lambda x: x["key"])
-    rows = rows.withColumn("collapsed_keys", keys).where("_at = 1").drop("_at")
+    counts = hits.groupBy(F.col(wording).alias("_w")).agg((F.count(F.lit(1)) - 1).alias("collapsed_n"))
+    first = top(hits, [wording], order, echo + 1, "_at")
+    later = F.collect_list(F.when(F.col("_at") > 1, F.struct("_at", "key")))
+    keys = first.groupBy(F.col(wording).alias("_v")).agg(F.transform(F.array_sort(later), lambda x: x["key"]).alias("collapsed_keys"))
+    best = first.where("_at = 1").drop("_at")
+    rows = best.join(counts, best[wording].eqNullSafe(counts["_w"])).join(keys, best[wording].eqNullSafe(keys["_v"])).drop("_w", "_v")
     return top(rows, [], order, limit) if limit else rows
 
 

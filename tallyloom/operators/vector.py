@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordering import top
+from tallyloom.operators.ordering import ordinal, running, top
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,6 +40,14 @@ def masked_mean(vectors: Column, mask: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one)
 
 
+def pooled(vectors: Column, mask: Column, how: str, dim: int) -> Column:
+    """One vector of the vectors of a text's tokens: the first (cls), the last that the mask keeps, or their mean."""
+    if how == "mean":
+        return masked_mean(vectors, mask, dim)
+    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1)
+    return vectors[0] if how == "cls" else F.element_at(kept, -1)["v"]
+
+
 def similar(queries: DataFrame, docs: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """(query_id, rank, doc_id, score): the k largest cosines of every query, itself left out; ties by smaller id.
 
@@ -90,6 +98,15 @@ def select(hits: DataFrame, threshold: float) -> DataFrame:
     return best.select("query_id", F.when(F.col("score") >= threshold, F.col("doc_id")).alias("answer"), "score", (F.col("score") < threshold).alias("abstained"))
 
 
+def ranks_in(scores: DataFrame, doc: str, score: str) -> DataFrame:
+    """(doc, position, strict) of every document of one ranking: its place with ties by id, and one more than the strictly
+    better. Running counts in ranges, over rows and over distinct scores: no pair of documents meets."""
+    rows = scores.select(F.col(doc).alias("_d"), F.col(score).alias("_s"))
+    placed = ordinal(rows, [F.desc("_s"), F.col("_d")], "position")
+    counts = running(rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")), [F.desc("_s")], _to=F.col("_n"))
+    return placed.join(counts.select("_s", (F.col("_to") - F.col("_n") + 1).alias("strict")), "_s").select(F.col("_d").alias(doc), "position", "strict")
+
+
 def gold_ranks(scores: DataFrame, query: str, doc: str, score: str, gold: str) -> DataFrame:
     """(query, position, strict): the gold document's place with ties by id, and one more than the strictly better.
 
@@ -109,6 +126,12 @@ def parity(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:
     return both.agg(F.max(gap).alias("max_abs_diff"), F.count(F.lit(1)).alias("n"))
 
 
+def same_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: how many queries two tables of hits share, and of how many the first hit is the same."""
+    both = a.where("rank = 1").select("query_id", F.col("doc_id").alias("_a")).join(b.where("rank = 1").select("query_id", F.col("doc_id").alias("_b")), "query_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_a") == F.col("_b")).alias("same"))
+
+
 def mine_negatives(hits: DataFrame, gold: DataFrame, depth: int = 30, cap: int = 120) -> DataFrame:
     """(target, negatives): the hits of a target's queries, best first, without those of the target; each once, capped.
 

@@ -128,7 +128,13 @@ def member_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.member_targets(asked.withColumnRenamed("l_partkey", "key"), targets, "key").select(F.col("key").alias("l_partkey"), "target_id", "unreachable")
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders")
+@query("SELECT o_orderkey, o_custkey, floor(o_totalprice) AS price, o_orderstatus AS state FROM orders")
 def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lookup.aligned(a, a, "o_orderkey", "o_custkey").select("o_orderkey", F.col("a.o_custkey").alias("o_custkey"))
+    """Two artefacts made apart from the orders, one read from files in another order; a row that names another customer
+    would raise."""
+    from tallyloom.sources.staging import staged
+
+    orders = table(spark, sf_dir, "orders")
+    a = orders.select("o_orderkey", "o_custkey", F.floor("o_totalprice").alias("price"))
+    b = staged(orders.repartition(5, "o_custkey").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("state")))
+    return lookup.aligned(a, b, "o_orderkey", "o_custkey").select("o_orderkey", F.col("a.o_custkey").alias("o_custkey"), "price", "state")

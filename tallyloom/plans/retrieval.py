@@ -222,9 +222,16 @@ def rank_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     one = rows.where("vec_id = 1").select(F.col("embedding").alias("q"))
     scored = rows.crossJoin(F.broadcast(one)).select("vec_id", F.round(vector.dot(F.col("embedding"), F.col("q")), 2).alias("s"))  # one row
-    gold = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("gold"))
-    pairs = scored.crossJoin(F.broadcast(gold))  # a fiftieth of the rows, stated
-    return vector.gold_ranks(pairs.select(F.col("gold").alias("query"), F.col("vec_id").alias("doc"), "s", "gold"), "query", "doc", "s", "gold").select(F.col("query").alias("vec_id"), "position", "strict")
+    return vector.ranks_in(scored, "vec_id", "s").where(F.col("vec_id") % 50 == 0)
+
+
+@query(_COSINES + ", g AS (SELECT query_id, min(doc_id) AS gold FROM hits WHERE rank <= 10 GROUP BY query_id), s2 AS (SELECT h.query_id, h.doc_id, round(h.raw, 2) AS s, gold FROM hits h JOIN g USING (query_id) WHERE rank <= 10), o AS (SELECT query_id, s AS gs, doc_id AS gd FROM s2 WHERE doc_id = gold) SELECT query_id, 1 + count(*) FILTER (s > gs OR (s = gs AND doc_id < gd)) AS position, 1 + count(*) FILTER (s > gs) AS strict FROM s2 JOIN o USING (query_id) GROUP BY query_id")
+def rank_of_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold document's rank among each query's hits, both ways of counting ties."""
+    rows, queries = _vectors(spark, sf_dir)
+    hits = vector.similar(queries, rows, 10).withColumn("score", F.round("score", 2))
+    gold = hits.groupBy("query_id").agg(F.min("doc_id").alias("gold"))
+    return vector.gold_ranks(hits.join(gold, "query_id"), "query_id", "doc_id", "score", "gold")
 
 
 @query("SELECT vec_id, round(list_dot_product(u, u), 6) AS length, len(u) AS dim FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS e FROM embeddings))")

@@ -27,7 +27,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
-    return log.drained(log.running_gate(rows, "user_id", "event_type", F.col("value") >= 60, ["purchase", "view"]), "update")
+    return log.drained(log.running_gate(rows, "user_id", "event_type", F.col("value") >= 60, ["purchase", "view"]), "update", ["user_id"])
 
 
 QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sessions, stream_gate)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,24 +23,31 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def resumed(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """What resume has stored: for every key its rows of the last run that made it. None if nothing is stored."""
+    try:
+        rows = spark.read.option("basePath", path).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max("run").alias("_run"))
+    return rows.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("run") == F.col("_run"))).drop("_key", "_run", "run")
+
+
 def resume(todo: DataFrame, path: str, key: str, produce: Callable[[DataFrame], DataFrame], good: Column | None = None) -> int:
-    """Appends produce(rows of todo whose key is not yet stored); stored rows that are not `good` are made again.
+    """Stores produce(rows of todo whose key is not yet stored); stored rows that are not `good` are made again.
 
-    Returns how many were left to do. Rows are keyed by an anti join, so that nothing is gathered.
+    Returns how many were left to do. Every run writes a folder of its own, so a broken one does no harm, and the last
+    run of a key replaces the others when read by `resumed`. Rows are keyed by an anti join: nothing is gathered.
     """
     spark = todo.sparkSession
-    try:
-        done = spark.read.parquet(path)
-    except Exception as e:  # nothing stored so far
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        left = todo
-    else:
-        kept = done if good is None else done.where(good)
-        left = todo.join(kept.select(key), key, "left_anti")
+    done = resumed(spark, path, key)
+    left = todo if done is None else todo.join((done if good is None else done.where(good)).select(key), key, "left_anti")
     n = left.count()
     if n:
-        produce(left).write.mode("append").parquet(path)
+        run = 0 if done is None else spark.read.option("basePath", path).parquet(path).agg(F.max("run")).first()[0] + 1
+        produce(left).write.parquet(f"{path}/run={run}")
     return n
 
 
@@ -71,7 +78,8 @@ def version_hash(df: DataFrame, *columns: str, length: int = 12) -> DataFrame:
 
 
 def report(df: DataFrame, title: str, most: int = 200) -> str:
-    """A small result as a markdown table; at most `most` rows are fetched."""
-    rows = df.limit(most).collect()
+    """A small result as a markdown table; of a longer one the first `most` rows, and how many more there are."""
+    rows = df.limit(most + 1).collect()
+    more = [f"{df.count() - most} more rows"] if len(rows) > most else []
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
-    return "\n".join([f"## {title}", "", line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows)])
+    return "\n".join([f"## {title}", "", line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows[:most]), *more])

@@ -6,14 +6,15 @@ state is bounded by the watermark (windows) or by the number of groups (gates).
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyloom.sources.staging import fresh
+
 
 def source(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
     """A folder's parquet files of one name as a stream; the schema is read from them if not given."""
@@ -61,18 +62,33 @@ def running_gate(rows: DataFrame, by: str, tool: str, ok: Column, required: list
     return some.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, missing string, passed boolean", "seen string", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str, out: str | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """Everything that is there now, run through a stream to its end, as a table.
 
-    Append mode writes files with a checkpoint beside them, so a broken run goes on where it stopped; other modes keep
-    their (aggregated) result in memory.
+    Results and checkpoint lie in `out`: run again with the same folder, a stream goes on where it stopped. Without one,
+    a folder of the shared folder that nothing else uses is taken, and removed when the driver ends. Append mode writes
+    rows as they become final. In the other modes each batch writes a folder of its own: complete gives the last batch,
+    update for every key (of keys) its rows of the last batch that has it.
     """
     spark = stream.sparkSession
-    base = out or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyloom-")
-    name = f"stream_{abs(hash((base, id(stream))))}"
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/{name}-state")
+    base = out or fresh(spark)
+    schema = stream.schema
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
     if mode == "append":
-        writer.format("parquet").start(f"{base}/{name}").awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/{name}")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+        writer.format("parquet").start(f"{base}/rows").awaitTermination()
+        return spark.read.schema(schema).parquet(f"{base}/rows")
+    writer.foreachBatch(lambda rows, i: rows.write.mode("overwrite").parquet(f"{base}/rows/batch={i}")).start().awaitTermination()
+    try:
+        rows = spark.read.schema(schema.add("batch", "long")).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
+    except Exception as e:  # there was nothing to read
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("_last"))  # one row
+        return rows.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("batch", "_last")
+    last = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("batch").alias("_last"))
+    same = F.col("batch") == F.col("_last")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(last, same).drop("batch", "_last", *(f"_{k}" for k in keys))

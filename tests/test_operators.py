@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import stats as S
-from tallyloom.operators import dictionary, fusion, lookup, metrics, ordering, records, rubric, search
+from tallyloom.operators import arms, dictionary, fusion, lookup, metrics, ordering, protocol, records, rubric, scan, seams, search, vector
 from tallyloom.plans import evaluation
-from tallyloom.sources import readers, sinks
+from tallyloom.sources import readers, sinks, staging
+from tallyloom.streaming import log
 from tests.conftest import DATA
 
 
@@ -32,6 +33,54 @@ def test_collapse_counts_representatives(spark):
     assert [(r.key, r.collapsed_n, r.collapsed_keys) for r in got] == [(1, 2, [2, 4]), (3, 0, [])]
 
 
+def test_long_lists_meet_texts_by_keys(spark):
+    """Markers and tokens that are too many to be sent to every text hold in the same texts as if they were."""
+    words = ["5", "555", "1,234", "abc", "ab", "a.b", "%x", "x_1", "éa", "12.3%", "b c", "__", "QQQ", "4"]
+    texts = ["n=555, 1,234.", "n=5551 1,2345", "xabcx a.b.", "12.3% %x", "x_1 b c", "__ éa 4", "a.bc x_12", "", "5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    for find in (scan.markers, scan.tokens_in):
+        short = sorted((r.i, r.w) for r in find(docs, rows, "t", "w").collect())
+        long = sorted((r.i, r.w) for r in find(docs, rows, "t", "w", short=4).collect())
+        assert short == long and len(short) > 8
+        assert len(set(long)) == len(long)
+    with pytest.raises(ValueError, match="nothing to meet texts by"):
+        scan.tokens_in(docs, spark.createDataFrame([("%",), ("--",)], "w string"), "t", "w", short=1)
+
+
+def test_equal_sets_have_equal_signatures(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "a"), (2, "a"), (3, "ab"), (4, None), (5, "a")], "g int, m string")
+    got = {r.g: (r.signature, r.n_members) for r in lookup.set_signature(rows, "g", "m").collect()}
+    assert got[1] == got[2] and len({s for s, _ in got.values()}) == 4 and got[4][1] == 0
+
+
+def test_ranks_in_one_ranking(spark):
+    rows = spark.createDataFrame([(i, float(s)) for i, s in enumerate([3, 1, 2, 3, 2, 2, 0])], "d int, s double")
+    got = {r.d: (r.position, r.strict) for r in vector.ranks_in(rows, "d", "s").collect()}
+    assert got == {0: (1, 1), 3: (2, 1), 2: (3, 3), 4: (4, 3), 5: (5, 3), 1: (6, 6), 6: (7, 7)}
+
+
+def test_first_hits_of_two_runs(spark):
+    a = spark.createDataFrame([(1, 1, 7), (2, 1, 8), (2, 2, 7)], "query_id int, rank int, doc_id int")
+    b = spark.createDataFrame([(1, 1, 7), (2, 1, 9), (3, 1, 9)], "query_id int, rank int, doc_id int")
+    assert tuple(vector.same_first(a, b).first()) == (2, 1)
+
+
+def test_template_search_spells_the_request(spark):
+    docs = seams.encode(spark.createDataFrame([(1, "adults sleep"), (2, "sleep"), (3, "wine")], "vec_id long, t string"), "t", seams.hashing_encoder)
+    asked = spark.createDataFrame([(10, "sleep", "adults", None, []), (11, "wine", "participant", None, []), (12, "zinc", None, None, ["tin"])], "vec_id long, construct string, population string, timeframe string, instances array<string>")
+    got = {r.query_id: r.answer for r in arms.select_request(asked, docs, seams.hashing_encoder, 0.9).collect()}
+    assert got == {10: 1, 11: 3, 12: None}
+
+
+def test_records_of_the_schema(spark):
+    """Good records pass; a rule that a record leaves open counts as broken, not as passed."""
+    empty = spark.range(1).select(F.from_json(F.lit("{}"), protocol.PROTOCOL).alias("r")).select("r.*")
+    broken = protocol.protocol_errors(empty).first().errors
+    assert {"identity", "lists_not_empty", "status_is_derived", "access_is_counted", "provenance_is_told"} <= set(broken)
+    assert protocol.protocol_errors(empty.limit(0)).count() == 0
+
+
 def test_single_term_is_low_confidence(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "k int, t string")
     got = search.search(docs, "k", "t", "alpha").collect()
@@ -113,6 +162,40 @@ def test_rubric(spark):
     assert tuple(got) == (True, True, True, True)
 
 
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    """Run again with its folder, a stream reads what is new, and keeps what it had."""
+    schema = "ts timestamp, user long, tool string, ok boolean"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def put(rows):
+        frame = spark.createDataFrame(rows, "ts string, user long, tool string, ok boolean").withColumn("ts", F.to_timestamp("ts"))
+        frame.coalesce(1).write.mode("append").parquet(folder)
+
+    def gate():
+        rows = log.source(spark, folder, "*.parquet", schema)
+        found = log.drained(log.running_gate(rows, "user", "tool", F.col("ok"), ["a", "b"]), "update", ["user"], out)
+        return {r.user: (r.missing, r.passed) for r in found.collect()}
+
+    put([("2024-01-01 00:00:00", 1, "a", True), ("2024-01-01 00:00:01", 2, "a", False)])
+    assert gate() == {1: ("b", False), 2: ("a,b", False)}
+    put([("2024-01-01 00:00:02", 1, "b", True)])
+    assert gate() == {1: ("", True), 2: ("a,b", False)}
+    rows = log.source(spark, folder, "*.parquet", schema)
+    counts = log.drained(log.tumbling(rows.withColumn("v", F.lit(1)), "ts", "1 day", "1 hour", "tool", "v"), "complete")
+    assert {r.tool: r.n for r in counts.collect()} == {"a": 2, "b": 1}
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": lambda self, key, default=None: default})()})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_folder(session)
+    assert staging.staged(spark.range(3)).count() == 3
+
+
 def test_rendered_checks_slots(spark):
     with pytest.raises(ValueError, match="do not match"):
         records.rendered("a {b}", c=F.lit(1))
@@ -151,11 +234,14 @@ def test_resume_makes_only_what_is_left(spark, tmp_path):
     assert sinks.resume(todo.where("k < 4"), out, "k", lambda d: d.withColumn("ok", F.col("k") != 2)) == 4
     assert sinks.resume(todo, out, "k", lambda d: d.withColumn("ok", F.lit(True)), F.col("ok")) == 7
     assert sinks.resume(todo, out, "k", lambda d: d.withColumn("ok", F.lit(True))) == 0
+    assert sorted((r.k, r.ok) for r in sinks.resumed(spark, out, "k").collect()) == [(k, True) for k in range(10)]
+    assert sinks.resumed(spark, str(tmp_path / "none"), "k") is None
     sinks.write_csv(todo, str(tmp_path / "csv"), ["k"], single=True)
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 10
     sinks.append_log(todo, str(tmp_path / "log"))
     sinks.append_log(todo, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 20
     assert sinks.report(todo.orderBy("k").limit(1), "t").endswith("| 0 |")
+    assert sinks.report(todo.orderBy("k"), "t", most=4).endswith("| 3 |\n6 more rows")
     a, b = sinks.version_hash(todo).first(), sinks.version_hash(todo.repartition(3)).first()
     assert a == b and a.n == 10 and len(a.version) == 12

@@ -68,6 +68,27 @@ def test_clean_stem(value):
     assert value(T.clean_stem(F.lit("x  y - Q2.4#1 - Time it - 12"))) == "x y - Time it"
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("A - 1_Q1.1 - 2_Q2.2 - 3 - 4_Q3.3 - 5 - 6 - 7 - 8 - 9", "A"),
+        ("A" + " - 1_Q1.1 - 2 - 3" * 40, "A"),
+        ("A - - Q1 Q3 - 4", "A"),
+        ("- 4", ""),
+        ("well-being - Q7", "well-being"),
+        ("", ""),
+    ],
+)
+def test_clean_stem_settles(value, raw, want):
+    assert value(T.clean_stem(F.lit(raw))) == want
+
+
+def test_strip_cue_settles(value):
+    cue = r"(?:adjusted for|including)[: ]*"
+    assert value(T.strip_cue(F.lit("  " + "**Adjusted for: - including " * 30 + "age and sex. "), cue)) == "age and sex"
+    assert value(T.strip_cue(F.lit("adjusted for"), cue)) == "" and value(T.strip_cue(F.lit(" age "), cue)) == "age"
+
+
 def test_sizes_and_figures(value):
     assert value(T.size_tokens(F.lit("1,234 of ~500 and 99 and 12345"))) == ["1234", "12345", "1,234", "12,345"]
     assert value(T.prevalence_tokens(F.lit(0.123))) == ["12.3%", "12.3", "0.123"]
