@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.staging import staged  # noqa: F401  the operators here take it from this module
+
 #: Rows and bytes that Spark hands to a Python worker at once; texts may be long.
 BATCH_ROWS, BATCH_BYTES = 500, "8m"
 
@@ -46,40 +45,6 @@ def guarded(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*names), names
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own in local mode,
-    where all run on one machine, and an error on a cluster."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tallyloom-")
-    sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone; the folder then goes with the checkpoint folder
-        pass
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: lineage is cut, later readers prune columns, and the
-    rows survive the loss of the executors that made them. Removed when the driver ends."""
-    path = f"{shared_folder(df.sparkSession)}/tallyloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _held: dict[str, Any] = {}
 
 
