@@ -35,7 +35,10 @@ LONGEST = 2**63 - 1
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",  # lets go of the stores of starts that are over
+    "spark.sql.streaming.noDataMicroBatches.enabled": "true",  # timers expire before the next batch is read
 }
 
 
