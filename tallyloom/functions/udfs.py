@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The suffix tables of Porter's published algorithm, steps 2, 3 and 4.
@@ -20,6 +20,13 @@ STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic",
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
+def bound_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
+    """Keeps the memory of a Python worker bounded whatever the length of the rows. Both limits hold when a plan runs, so
+    they stay in the session; they change no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def _shape(word: str) -> str:
     """Vowels and consonants as v and c; y is a vowel behind a consonant."""
     out = ""

@@ -8,45 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.operators import patterns
 
 
-#: Rows of a list that may be sent to every text; longer lists meet texts by an equi-join.
-SHORT_LIST = 2000
+#: Rows of a list that are tried one by one on every text; longer lists meet texts by their seeds.
+SHORT_LIST = 32
 
 
-def _met(surfaces: DataFrame, rows: DataFrame, text: str, here: Column, there: Column, holds: Column, short: int) -> DataFrame:
-    """Rows of a list with the texts in which they hold. A short list is sent to every text. A longer one meets texts
-    where the key of a row (here, null if it has none) is among those of a text (there, an array): only the rows without
-    a key are sent to all, which must be few."""
-    if rows.count() <= short:
-        return surfaces.join(F.broadcast(rows), holds)
-    keyed = rows.withColumn("_seed", here)
-    bare = keyed.where("_seed is null").drop("_seed")
-    n = bare.count()
-    if n > short:
-        raise ValueError(f"{n} rows have nothing to meet texts by; at most {short} can be sent to every text")
-    met = surfaces.withColumn("_seeds", there).withColumn("_seed", F.explode("_seeds")).drop("_seeds").join(keyed.where("_seed is not null"), "_seed").where(holds)
-    met = met.drop("_seed")
-    return met.unionByName(surfaces.join(F.broadcast(bare), holds)) if n else met
+def _met(surfaces: DataFrame, rows: DataFrame, text: str, pattern: str, holds: Column, short: int) -> DataFrame:
+    return surfaces.join(F.broadcast(rows), holds) if rows.count() <= short else patterns.met(surfaces, rows, text, pattern, holds)
 
 
 def markers(surfaces: DataFrame, rows: DataFrame, text: str, marker: str, short: int = SHORT_LIST) -> DataFrame:
-    """(surface columns, marker) where a marker occurs; figures need number boundaries, so that they meet whole runs of
-    digits, any other marker is a substring, and meets the runs of three signs that it begins with."""
-    t, m = F.col(text), F.col(marker)
-    figure = m.rlike("^[0-9,]+$") & m.rlike("[0-9]")
-    here = F.when(figure, F.regexp_extract(m, "[0-9]+", 0)).when(~m.rlike("^[0-9,]+$") & (F.length(m) >= 3), F.concat(F.lit("="), F.substring(m, 1, 3)))
-    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.concat(F.lit("="), F.substring(t, i, F.lit(3))))
-    there = F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0)), three))
-    return _met(surfaces, rows, text, here, there, T.marker_hit(t, m), short)
+    """(surface columns, marker) where a marker occurs; figures need number boundaries, any other marker is a substring."""
+    return _met(surfaces, rows, text, marker, T.marker_hit(F.col(text), F.col(marker)), short)
 
 
 def tokens_in(surfaces: DataFrame, rows: DataFrame, text: str, token: str, short: int = SHORT_LIST) -> DataFrame:
-    """(surface columns, token) where a token stands alone: its first run of word signs is then one of the text's."""
-    t, m = F.col(text), F.col(token)
-    here = F.nullif(F.regexp_extract(m, "[A-Za-z0-9_]+", 0), F.lit(""))
-    there = F.array_distinct(F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]+"), F.lit(0)))
-    return _met(surfaces, rows, text, here, there, T.standalone(t, m), short)
+    """(surface columns, token) where a token stands alone."""
+    return _met(surfaces, rows, text, token, T.standalone(F.col(text), F.col(token)), short)
 
 
 def word_runs(df: DataFrame, key: str, text: str, k: int, pattern: str = "[a-z0-9]+") -> DataFrame:

@@ -16,15 +16,23 @@ from tallyloom.operators.ordering import top
 FLOOR = 0.523
 
 
-def index(docs: DataFrame, key: str, text: Column, pattern: str = "[a-z]{3,}") -> DataFrame:
-    """Postings (term, key, tf, length): one row for each distinct term of a row; counted in the row, no shuffle.
+def term_counts(tokens: Column) -> Column:
+    """array of struct(term, tf) of an array of words: the words are sorted and their runs measured, linear in the sorted
+    array, and no word carries the others with it."""
 
-    Write it partitioned or bucketed by term where searches are many: a search then reads its terms' postings alone.
-    """
-    tokens = T.words(text, pattern)
-    rows = docs.select(F.col(key).alias("key"), tokens.alias("tokens"))
-    rows = rows.select("key", "tokens", F.size("tokens").alias("length"), F.explode(F.array_distinct("tokens")).alias("term"))
-    return rows.select("term", "key", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf"), "length")
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return T.let(begins, lambda at: F.transform(at, lambda p, i: F.struct(F.get(s, p - 1).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(s) + 1) - p).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, T.let(F.array_sort(tokens), runs)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
+def index(docs: DataFrame, key: str, text: Column, pattern: str = "[a-z]{3,}") -> DataFrame:
+    """Postings (term, key, tf, length): one row for each distinct term of a row; counted in the row, no shuffle. For many
+    searches, and to store them, see postings.build."""
+    counted = T.let(T.words(text, pattern), lambda t: F.struct(F.size(t).alias("length"), term_counts(t).alias("terms")))
+    rows = docs.select(F.col(key).alias("key"), counted.alias("t")).select("key", F.col("t.length").alias("length"), F.inline("t.terms"))
+    return rows.select("term", "key", "tf", "length")
 
 
 def postings(docs: DataFrame, key: str, text: Column, terms: Sequence[str], pattern: str = "[a-z]{3,}") -> DataFrame:
@@ -124,7 +132,8 @@ def snippet(text: Column, term: Column, words: int = 12) -> Column:
 
 
 def many(docs: DataFrame, key: str, text: str, phrasings: Sequence[str], limit: int) -> DataFrame:
-    """(stream, key, rank) of one search for each phrasing; the request itself is stream 0."""
+    """(stream, key, rank) of one search for each of a few phrasings; the request itself is stream 0. Tables of requests
+    are searched by postings.search."""
     out = None
     for stream, phrase in enumerate(phrasings):
         rows = scored_texts(docs, key, text, terms_of(phrase)[0] or [""])

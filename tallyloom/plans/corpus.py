@@ -237,6 +237,19 @@ def marker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.markers(table(spark, sf_dir, "documents").select("doc_id", "text"), rows, "text", "marker").groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RUNS = """WITH w AS (SELECT regexp_extract_all(text, '[^ \\t\\n]+') AS ws FROM benchmark),
+  m AS (SELECT DISTINCT array_to_string(ws[i : i + 2], ' ') AS marker FROM w, generate_series(1, 400) AS t(i) WHERE i + 2 <= len(ws))"""
+
+
+@query(_RUNS + " SELECT doc_id, count(*) AS n, min(marker) AS first FROM documents JOIN m ON contains(text, marker) GROUP BY doc_id")
+def long_marker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of thousands: every run of three words of the held-out texts as a marker."""
+    words = T.let(F.regexp_extract_all("text", F.lit("[^ \\t\\n]+"), F.lit(0)), lambda w: T.shingles(w, 3))
+    rows = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("marker")).distinct()
+    found = scan.markers(table(spark, sf_dir, "documents").select("doc_id", "text"), rows, "text", "marker")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("marker").alias("first"))
+
+
 @query(
     "WITH m(token) AS (VALUES " + ", ".join(f"('{m}')" for m in _MARKERS) + r""")
 SELECT token, count(*) AS n FROM documents JOIN m ON regexp_matches(text, '(^|[^A-Za-z0-9_.])' || regexp_escape(token) || '($|[^A-Za-z0-9_])') GROUP BY token"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators import dictionary, fusion, lookup, metrics, ordering, search, vector
+from tallyloom.operators import dictionary, fusion, lookup, metrics, ordering, postings, search, vector
 from tallyloom.sources.readers import table
 
 PHRASE = "thing that thonre zzzq"
@@ -105,6 +105,54 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+@query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT) AS cf FROM w GROUP BY term")
+def posting_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of a stored index."""
+    return postings.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).terms.drop("bucket")
+
+
+_REQUESTS = """
+WITH d AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '[a-z]{3,}') AS ws FROM documents),
+  n AS (SELECT count(*) AS n, avg(coalesce(len(ws), 0)) AS mean FROM d),
+  q AS (SELECT DISTINCT doc_id AS request, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')[2:6]) AS term FROM labels JOIN documents USING (doc_id)),
+  p AS (SELECT term, key, count(*) AS tf, any_value(length) AS length FROM (SELECT key, unnest(ws) AS term, len(ws) AS length FROM d) GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+  w AS (SELECT request, q.term, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) AS idf, ln(1 + (n - df + 0.5) / (df + 0.5)) AS okapi FROM q LEFT JOIN df USING (term), n),
+  total AS (SELECT request, sum(idf) AS total FROM w GROUP BY request),
+  scored AS (
+    SELECT w.request, p.key, round(sum(idf) / any_value(total), 9) AS share, round(sum(okapi * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS bm25, CAST(count(*) AS INTEGER) AS matched
+    FROM w JOIN p USING (term) JOIN total USING (request), n GROUP BY w.request, p.key)
+"""
+
+
+def _requests(spark: SparkSession, sf_dir: str, k: int, rule: str) -> tuple[DataFrame, DataFrame]:
+    """A request for every labelled document: its words from the second to the sixth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    some = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+    phrase = F.array_join(F.slice(T.words(F.col("text"), "[a-z]{3,}"), 2, 5), " ")
+    return postings.search(postings.build(docs, "doc_id", F.col("text")), postings.asked(some.where(phrase != ""), "doc_id", phrase), k, rule)
+
+
+@query(_REQUESTS + "SELECT request, key, share AS score, matched, CAST(row_number() OVER (PARTITION BY request ORDER BY share DESC, key) AS INTEGER) AS rank FROM scored QUALIFY rank <= 10")
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests(spark, sf_dir, 10, "share")[0]
+
+
+@query(_REQUESTS + "SELECT request, key, bm25 AS score, matched, CAST(row_number() OVER (PARTITION BY request ORDER BY bm25 DESC, key) AS INTEGER) AS rank FROM scored QUALIFY rank <= 10")
+def search_requests_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests(spark, sf_dir, 10, "bm25")[0]
+
+
+@query(_REQUESTS + """, r AS (SELECT request, key, row_number() OVER (PARTITION BY request ORDER BY share DESC, key) AS rank FROM scored),
+  g AS (SELECT q.request, min(rank) FILTER (rank <= 10) AS rank FROM (SELECT DISTINCT request FROM q) q LEFT JOIN r ON r.request = q.request AND r.key = q.request GROUP BY q.request)
+SELECT count(*) AS n, count(*) FILTER (rank IS NULL) AS excluded, count(*) FILTER (rank <= 1) / count(*) AS r_at_1, count(*) FILTER (rank <= 5) / count(*) AS r_at_5, count(*) FILTER (rank <= 10) / count(*) AS r_at_10 FROM g""")
+def fixture_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole fixture searched in one plan: the gold document of a request is the one that its words are from."""
+    hits, blocks = _requests(spark, sf_dir, 10, "share")
+    gold = hits.where(F.col("request") == F.col("key")).select("request", F.col("rank").cast("long").alias("rank"))
+    return metrics.recall(blocks.select("request").distinct().join(gold, "request", "left"), "rank", (1, 5, 10))
+
+
 @query("SELECT p_type AS wording, min(p_partkey) AS key, count(*) AS n FROM part GROUP BY p_type")
 def browse_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.item_rows(table(spark, sf_dir, "part"), T.roster_normalise(F.col("p_type")), "p_partkey")
