@@ -12,6 +12,7 @@ from tallyloom.functions import stats as S
 from tallyloom.functions import text as T
 from tallyloom.operators import fusion, metrics, seams, vector
 from tallyloom.operators.ordering import ordinal
+from tallyloom.sources.staging import staged
 
 RULES = ("single", "max_cos", "min_rank", "mean_cos", "rrf")
 
@@ -66,6 +67,7 @@ def stream_ranks(scores: DataFrame, gold: DataFrame) -> DataFrame:
 def fusion_report(scores: DataFrame, gold: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
     """(rule, n, r_at_1, r_at_10, recovery) of each rule over items, with the oracle (any stream has gold first): recovery
     is the share of the way from a single stream, over all streams, to the oracle that a rule goes."""
+    scores = staged(scores)  # every rule reads them
     singles = stream_ranks(scores, gold)
     base = singles.agg((F.count_if(F.col("rank") == 1) / F.count(F.lit(1))).alias("_base"))
     best = singles.groupBy("item").agg(F.min("rank").alias("rank")).select(F.lit("oracle").alias("rule"), "item", "rank")
@@ -79,7 +81,7 @@ def fusion_report(scores: DataFrame, gold: DataFrame, rules: Sequence[str] = RUL
 
 def leave_one_out(scores: DataFrame, gold: DataFrame, rule: str, streams: Sequence[int]) -> DataFrame:
     """(left_out, n, r_at_1): a rule over all streams but one, for each one."""
-    out = None
+    scores, out = staged(scores), None
     for s in streams:
         ranks = fused_ranks(scores.where(F.col("stream") != s), gold, [rule])
         one = metrics.recall(ranks, "rank", (1,)).select(F.lit(s).alias("left_out"), "n", "r_at_1")
@@ -89,6 +91,7 @@ def leave_one_out(scores: DataFrame, gold: DataFrame, rule: str, streams: Sequen
 
 def rescued(scores: DataFrame, gold: DataFrame, rule: str, streams: int) -> DataFrame:
     """(k, n, now_first): of the items that k of their streams had right, how many a rule has right."""
+    scores = staged(scores)
     singles = stream_ranks(scores, gold).groupBy("item").agg(F.count_if(F.col("rank") == 1).alias("k"))
     both = singles.join(fused_ranks(scores, gold, [rule]).drop("rule"), "item")
     per = both.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") == 1).alias("now_first"))
@@ -106,11 +109,8 @@ def rewriter_report(ranks: DataFrame, base: DataFrame, row: str, item: str, orac
     out = flips.join(rate, "rule")
     gap = (F.col("r_at_1") - F.col("_base")) / F.nullif(F.lit(oracle).cast("double") - F.col("_base"), F.lit(0.0))
     out = out.withColumn("recovery", gap)
-    bounds = None
-    for (rule,) in both.select("rule").distinct().collect():  # a handful of rules
-        one = metrics.bootstrap(both.where(F.col("rule") == rule), item, was, now, draws=draws).select(F.lit(rule).alias("rule"), "low", "high")
-        bounds = one if bounds is None else bounds.unionByName(one)
-    return out.drop("_base") if bounds is None else out.drop("_base").join(bounds, "rule")
+    bounds = metrics.bootstrap(both, item, was, now, draws=draws, by="rule").select("rule", "low", "high")
+    return out.drop("_base").join(bounds, "rule")
 
 
 def abstention(rows: DataFrame, by: str, tau: float) -> DataFrame:

@@ -6,7 +6,7 @@ array; the windows that remain run over distinct values or over groups.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -125,28 +125,60 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return pearson(ranked, "_rx", "_ry").withColumnRenamed("pearson", "spearman")
 
 
-def bootstrap(df: DataFrame, cluster: str, before: Column, after: Column, draws: int = 20_000, seed: int = 1, width: float = 0.95) -> DataFrame:
-    """One row: a percentile interval of the paired difference, clusters drawn with replacement.
+#: Clusters whose counts a task draws at once, and draws of them.
+BLOCK, CHUNK = 256, 2000
 
-    A cluster's count in a draw is its Poisson(1) number, from a generator seeded by (draw, cluster): no cluster has to
-    meet another, every draw's sums are partial aggregates of `draws` numbers, and results do not depend on partitions.
-    Intervals agree with drawing exactly n clusters in distribution, not draw by draw.
+
+def drawn(n: int, block: int, draws: int, seed: int, most: int = BLOCK) -> Iterator[np.ndarray]:
+    """How often each cluster of a block (of `most`) is among n drawn with replacement from n clusters: arrays of [draw, cluster], CHUNK
+    draws at a time.
+
+    The n draws are split down a binary tree over the blocks: how many fall into the left half of a node's clusters is
+    binomial, from a generator seeded by the node, so that every block finds the same numbers on its way down, and no task
+    sees more than its own clusters. Within a block they are multinomial. Over all clusters every draw has n.
     """
-    sums = df.groupBy(cluster).agg(F.sum(after.cast("double") - before.cast("double")).alias("d"), F.count(F.lit(1)).alias("n"))
-    sums = sums.select(F.xxhash64(F.lit(seed), F.col(cluster)).alias("h"), "d", "n")
+    low, high, left_over = 0, -(-n // most), np.full(draws, n)
+    while high - low > 1:
+        mid = (low + high) // 2
+        share = (mid - low) * most / (min(high * most, n) - low * most)
+        left = np.random.default_rng([seed, 1, low, high]).binomial(left_over, share)
+        left_over, low, high = (left, low, mid) if block < mid else (left_over - left, mid, high)
+    size = min((block + 1) * most, n) - block * most
+    own = np.random.default_rng([seed, 2, block])
+    for i in range(0, draws, CHUNK):
+        yield own.multinomial(left_over[i : i + CHUNK], np.full(size, 1 / size))
+
+
+def bootstrap(df: DataFrame, cluster: str, before: Column, after: Column, draws: int = 20_000, seed: int = 1, width: float = 0.95, by: str | None = None, most: int = BLOCK) -> DataFrame:
+    """A percentile interval of the paired difference (low, high, draws): in each draw as many clusters as there are, with
+    replacement. One row, or one for each value of `by`, whose clusters are drawn for themselves.
+
+    Clusters are numbered within ranges and cut into blocks of `most`; a task draws the counts of its blocks (see `drawn`) and passes
+    on two sums for each draw. Results depend on the clusters' order by name and the seed alone.
+    """
+    sums = df.groupBy(*([F.col(by).alias("_by")] if by else [F.lit(0).alias("_by")]), F.col(cluster).alias("_cluster")).agg(F.sum(after.cast("double") - before.cast("double")).alias("d"), F.count(F.lit(1)).alias("n"))
+    placed = ordinal(sums, ["_by", "_cluster"], "_i")
+    groups = placed.groupBy(F.col("_by").alias("_of")).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("all"))
+    numbered = placed.join(groups, F.col("_by").eqNullSafe(F.col("_of"))).withColumn("i", F.col("_i") - F.col("_first"))
+    blocks = numbered.groupBy("_by", "all", F.floor(F.col("i") / most).alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "d", "n"))).alias("v"))  # `most` at most
+    kind = blocks.schema["_by"].dataType.simpleString()
+    rows = blocks.select("_by", "all", "block", F.col("v.d").alias("d"), F.col("v.n").alias("n"))
 
     def work(batches):
-        total_d, total_n = np.zeros(draws), np.zeros(draws)
         for batch in batches:
-            for h, d, n in batch.itertuples(index=False):
-                times = np.random.default_rng(h & (2**63 - 1)).poisson(1.0, draws)
-                total_d += times * d
-                total_n += times * n
-        yield pd.DataFrame({"draw": np.arange(draws), "d": total_d, "n": total_n})
-
-    every = sums.mapInPandas(work, "draw long, d double, n double").groupBy("draw").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0.0))).alias("delta"))
+            for name, some in batch.groupby("_by", dropna=False):
+                total = np.zeros((2, draws))
+                for n, block, d, sizes in some[["all", "block", "d", "n"]].itertuples(index=False):
+                    at = 0
+                    for times in drawn(n, block, draws, seed, most):
+                        total[:, at : at + len(times)] += (times @ np.stack([d, sizes], 1)).T
+                        at += len(times)
+                yield pd.DataFrame({"_by": [name] * draws, "draw": np.arange(draws), "d": total[0], "n": total[1]})
+
+    every = rows.mapInPandas(work, f"_by {kind}, draw long, d double, n double").groupBy("_by", "draw").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0.0))).alias("delta"))
     tail = (1 - width) / 2
-    return percentiles(every, "delta", "floor", low=tail, high=1 - tail).withColumn("draws", F.lit(draws))
+    out = percentiles(every, "delta", "floor", ["_by"] if by else (), low=tail, high=1 - tail).withColumn("draws", F.lit(draws))
+    return out.withColumnRenamed("_by", by) if by else out
 
 
 def permutation(df: DataFrame, x: str, y: str, rounds: int = 20_000, per_task: int = 500, seed: int = 1, block: int = 100_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.sources import readers, sinks
+from tallyloom.sources import digests, readers, sinks
 from tallyloom.sources.readers import table
 from tallyloom.sources.staging import fresh
 
@@ -134,13 +134,32 @@ _ROW = """'{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","p_siz
 
 
 @query(
-    f"""WITH h AS (SELECT sha256({_ROW}) AS h FROM part), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1)
-SELECT substr(sha256(string_agg(d, '' ORDER BY b)), 1, 12) AS version, CAST(sum(n) AS BIGINT) AS n FROM b"""
+    f"""WITH h AS (SELECT sha256({_ROW}) AS h, row_number() OVER (ORDER BY p_partkey, p_brand, p_size) - 1 AS i FROM part),
+  leaf AS (SELECT i // 256 AS node, sha256(string_agg(h, '' ORDER BY i)) AS d, count(*) AS n FROM h GROUP BY 1)
+SELECT substr(CASE WHEN count(*) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY node)) END, 1, 12) AS version, CAST(sum(n) AS BIGINT) AS n FROM leaf"""
 )
 def version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.version_hash(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_size")
 
 
+@query(
+    """WITH i AS (SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) // 256 AS node FROM lineitem),
+  hit AS (SELECT DISTINCT node FROM i WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem)),
+  ends AS (SELECT node, arg_min(l_linenumber, l_orderkey * 1000 + l_linenumber) AS low_line, min(l_orderkey) AS low_order, max(l_orderkey) AS high_order, count(*) AS n FROM i GROUP BY node)
+SELECT node, low_order, low_line, high_order, n FROM ends JOIN hit USING (node)"""
+)
+def changed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is frozen and its last order changed: the ranges of keys in which that lies, out of the trees alone."""
+    lines, keys, columns = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    path = fresh(spark)
+    digests.freeze(lines, path, keys, columns)
+    last = F.broadcast(lines.agg(F.max("l_orderkey").alias("_last")))  # one row
+    hit = F.col("l_orderkey") == F.col("_last")
+    changed = lines.crossJoin(last).withColumn("l_quantity", F.when(hit, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    found = digests.differing(spark.read.parquet(path), digests.tree(changed, keys, columns))
+    return found.select("node", F.col("was.low.l_orderkey").alias("low_order"), F.col("was.low.l_linenumber").alias("low_line"), F.col("was.high.l_orderkey").alias("high_order"), F.col("n_was").alias("n"))
+
+
 @query("SELECT c_custkey, c_name FROM customer")
 def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.required(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"])

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources import digests
+
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], single: bool = False) -> None:
     """Fixed columns with a header; one file only where the table is known to be small."""
@@ -67,14 +69,9 @@ def manifest(df: DataFrame, name: Column, content: Column) -> DataFrame:
 
 
 def version_hash(df: DataFrame, *columns: str, length: int = 12) -> DataFrame:
-    """One row: the first signs of a SHA-256 over the rows' own hashes in order, and the row count.
-
-    Rows are hashed where they lie; what is gathered is a 64-sign digest for each of 256 buckets of hashes.
-    """
-    row = F.sha2(F.to_json(F.struct(*(columns or df.columns))), 256)
-    buckets = df.select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256)
-    return buckets.agg(F.substring(whole, 1, length).alias("version"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    """One row: (version, n), the first signs of the digest of all rows in order of the columns, and the row count. Digests
+    are made by a tree (digests.tree), so nothing gathers more than its fan of them."""
+    return digests.root(digests.tree(df, columns or df.columns, columns), length)
 
 
 def report(df: DataFrame, title: str, most: int = 200) -> str:
