@@ -4,7 +4,8 @@ Batches are written to the shared folder and fed in order to one stateful stream
 one checkpoint, so that whatever is lost between two batches is taken up from the files. Event time is the batch's number:
 a row of batch b has the time of b, and one row without a turn beats in every batch, the empty ones too, so that the
 watermark reaches b when batch b has been read. In the state of a conversation every arrival deletes its timer and sets one
-at last + idle; when it expires the conversation closes, and a tombstone rejects what still comes.
+at last + idle; when it expires the conversation closes, and a tombstone rejects what still comes. The watermark of a batch
+counts from the next one on, so an arrival first closes a conversation whose timer is due, and then finds the tombstone.
 
 State is spread by conversation. Of a conversation it holds the turns that wait for an earlier one (a map on disk, by
 turn), the role of the last turn released, and a few numbers; texts are released as soon as the run reaches them. What a
@@ -38,7 +39,7 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.maintenanceInterval": "5s",  # lets go of the stores of starts that are over
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",  # timers expire before the next batch is read
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # timers of a batch expire with the next; the last start has none
 }
 
 
@@ -73,7 +74,7 @@ class Assembly(StatefulProcessor):
                     now = dict(zip(("first", "released", "largest", "kept", "tail", "breaks", "last"), found or (row.first, 0, row.first, 0, None, 0, None), strict=True))
                     if now["last"] is not None:
                         self.handle.deleteTimer(self._timer(now["last"]))
-                        if batch > now["last"] + self.idle:  # its timer should have fired before this batch was read
+                        if batch > now["last"] + self.idle:  # its timer is due
                             yield from self._shut(key, now["last"] + self.idle)
                             shut = True
             if shut:
@@ -158,6 +159,8 @@ def reassembled(arrived: DataFrame, batches: int, idle: int = 2) -> DataFrame:
         for k, v in SETTINGS.items():
             spark.conf.set(k, v)
         for n in [*range(batches), ends]:
+            if n == ends:
+                spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
             store.rename(files.Path(f"{base}/written/_to={n}"), files.Path(f"{base}/in/{n}"))
             stream = spark.readStream.schema(fields).option("recursiveFileLookup", "true").parquet(f"{base}/in")
             timed = stream.withColumn("at", F.timestamp_millis((F.col("batch") + 1) * UNIT)).withWatermark("at", "0 seconds")
