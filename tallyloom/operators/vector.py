@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tallyloom.operators.ordering import ordinal, running, top
 
@@ -26,6 +28,29 @@ def l2_normalise(a: Column, dim: int | None = None) -> Column:
     return F.transform(a, lambda x: x.cast("double") / norm(a))
 
 
+def project(df: DataFrame, vec: str, weights: Sequence[np.ndarray], out: str = "projected") -> DataFrame:
+    """df with vec sent through dense projections ([out, in] each, in order) and brought to length one: a matrix product
+    for each batch. Null vectors stay null; weights go to every task, so their size is checked where they are read."""
+    names = [c for c in df.columns if c != out]
+    schema = df.select(*names).schema.add(out, ArrayType(DoubleType()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(names.index(vec))
+            some = column.drop_null()
+            made = [None] * len(column)
+            if len(some):
+                x = some.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), -1)
+                for w in weights:
+                    x = x @ w.T
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                for i, row in zip(np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)), x, strict=True):
+                    made[i] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*names, out])
+
+    return df.select(*names).mapInArrow(work, schema)
+
+
 def layer_norm(a: Column, epsilon: float = 1e-5) -> Column:
     n = F.size(a)
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / n

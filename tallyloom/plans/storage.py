@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.sources import digests, readers, sinks
+from tallyloom.operators import vector
+from tallyloom.sources import bundles, digests, readers, sinks
 from tallyloom.sources.readers import table
 from tallyloom.sources.staging import fresh
 
@@ -130,6 +131,28 @@ def bundle_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.bundle_check(spark, path, want).select("file", "state")
 
 
+_WEIGHT = "(((i * 7 + j * 3) % 11) - 5) / 8.0"
+
+
+@query(
+    f"""WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS key, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  a AS (SELECT key, [list_sum([v[j + 1] * {_WEIGHT} for j in range(64)]) for i in range(16)] AS v FROM v),
+  b AS (SELECT key, [list_sum([v[j + 1] * {_WEIGHT} for j in range(16)]) for i in range(4)] AS v FROM a)
+SELECT CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS row, key, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first, round(v[4] / sqrt(list_dot_product(v, v)), 5) AS last FROM b"""
+)
+def projected_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written as a raw bundle with their keys, read back, and sent through two dense projections that are
+    bundles themselves."""
+    path = fresh(spark)
+    bundles.write_bundle(table(spark, sf_dir, "embeddings"), f"{path}/vectors", "vec_id", "embedding")
+    for name, rows, width in (("first", 16, 64), ("second", 4, 16)):
+        grid = spark.range(rows).select(F.format_string("%05d", "id").alias("key"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: (((F.col("id") * 7 + j * 3) % 11) - 5) / 8).alias("w"))
+        bundles.write_bundle(grid, f"{path}/{name}", "key", "w")
+    weights = bundles.layers(spark, f"{path}/first", f"{path}/second")
+    out = vector.project(bundles.read_bundle(spark, f"{path}/vectors"), "vec", weights)
+    return out.select("row", "key", F.round(F.col("projected")[0], 5).alias("first"), F.round(F.col("projected")[3], 5).alias("last"))
+
+
 _ROW = """'{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","p_size":' || p_size || '}'"""
 
 

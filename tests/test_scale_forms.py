@@ -1,13 +1,14 @@
 """Batch search, long pattern lists, exact bootstraps and digest trees against plain versions."""
 
+import hashlib
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import arms, metrics, patterns, postings, scan, search
-from tallyloom.sources import digests
+from tallyloom.operators import arms, metrics, patterns, postings, scan, search, vector
+from tallyloom.sources import bundles, digests
 from tests.conftest import DATA
 
 
@@ -147,3 +148,53 @@ def test_a_changed_row_is_located(spark, tmp_path):
         digests.verify(spark, path, lines.where("false"), keys)
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         digests.freeze(lines, path, keys)
+
+
+def test_vector_bundles(spark, tmp_path):
+    path = str(tmp_path / "b")
+    rng = np.random.default_rng(4)
+    rows = [(f"k{i:04}\n\"é", [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v array<double>").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several shards, few as the rows are
+    bundles.write_bundle(df, path, "k", "v")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = bundles.read_bundle(spark, path)
+    assert [(r.row, r.key, r.vec) for r in got.orderBy("row").collect()] == [(i, k, v) for i, (k, v) in enumerate(sorted(rows))]
+    assert got.rdd.getNumPartitions() == len(bundles.manifest(path)["shards"]) > 1
+    with pytest.raises(Exception, match="holds a bundle"):
+        bundles.write_bundle(df, path, "k", "v")
+    with pytest.raises(Exception, match="Misaligned"):
+        bundles.write_bundle(df.union(spark.createDataFrame([("z", [1.0, None])], df.schema)), str(tmp_path / "c"), "k", "v")
+    assert len(bundles.layers(spark, path)[0]) == 1000
+    with pytest.raises(ValueError, match="more than 100"):
+        bundles.layers(spark, path, most=100)
+    told = json.loads((tmp_path / "b" / "manifest.json").read_text())
+    shard = told["shards"][0]
+    (tmp_path / "b" / f"vectors-{shard['name']}.f32").unlink()  # a read of keys does not open vectors
+    assert bundles.read_bundle(spark, path, "key string").count() == 1000
+    with pytest.raises(Exception, match="No such file|FileNotFound"):
+        got.collect()
+    keys = tmp_path / "b" / f"keys-{shard['name']}.jsonl"
+    keys.write_text(keys.read_text().split("\n", 1)[1])
+    with pytest.raises(Exception, match="not the file that the manifest names"):
+        bundles.read_bundle(spark, path, "key string").collect()
+    shard["keys"] = hashlib.sha256(keys.read_bytes()).hexdigest()
+    (tmp_path / "b" / "manifest.json").write_text(json.dumps(told))
+    with pytest.raises(Exception, match=r"keys for \d+ vectors"):
+        bundles.read_bundle(spark, path, "key string").collect()
+    bundles.write_bundle(df.where("false"), str(tmp_path / "e"), "k", "v")
+    assert bundles.read_bundle(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_projection(spark):
+    rng = np.random.default_rng(5)
+    one, two = rng.normal(size=(4, 6)), rng.normal(size=(3, 4))
+    rows = [(i, [float(x) for x in rng.normal(size=6)] if i % 7 else None) for i in range(50)]
+    got = vector.project(spark.createDataFrame(rows, "i int, v array<double>"), "v", [one, two]).collect()
+    for r in got:
+        if r.v is None:
+            assert r.projected is None
+        else:
+            want = np.array(r.v) @ one.T @ two.T
+            assert np.allclose(r.projected, want / np.linalg.norm(want))
+    assert len(got) == 50
