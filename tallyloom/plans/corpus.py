@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators import dictionary, enumerate, lookup, ordering, records, scan
+from tallyloom.operators import dictionary, enumerate, lookup, ordering, records, reach, scan
 from tallyloom.sources import sinks
 from tallyloom.sources.readers import table
 
@@ -237,6 +237,20 @@ def marker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.markers(table(spark, sf_dir, "documents").select("doc_id", "text"), rows, "text", "marker").groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey % (SELECT max(c_custkey) FROM customer) + 1 AS dst FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders)),
+  r AS (SELECT min(c_custkey) AS root, min(c_custkey) AS node, 0 AS depth FROM customer GROUP BY c_nationkey UNION SELECT root, dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 40)
+SELECT root, node, min(depth) AS depth, min(depth) + 1 AS steps FROM r GROUP BY root, node"""
+)
+def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders as edges from their customer to another one: whom the first customer of each nation leads to."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    facts = F.broadcast(customer.agg(F.max("c_custkey").alias("n")).crossJoin(orders.agg(F.min("o_orderpriority").alias("urgent"))))  # one row
+    edges = orders.crossJoin(facts).where(F.col("o_orderpriority") == F.col("urgent")).select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % F.col("n") + 1).alias("dst"))
+    found = reach.reached(edges, customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("root")))
+    return found.select("root", "node", "depth", F.size("path").alias("steps"))
+
+
 _RUNS = """WITH w AS (SELECT regexp_extract_all(text, '[^ \\t\\n]+') AS ws FROM benchmark),
   m AS (SELECT DISTINCT array_to_string(ws[i : i + 2], ' ') AS marker FROM w, generate_series(1, 400) AS t(i) WHERE i + 2 <= len(ws))"""
 

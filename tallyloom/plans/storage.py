@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import vector
-from tallyloom.sources import bundles, digests, readers, sinks
+from tallyloom.sources import bundles, digests, passes, readers, sinks
 from tallyloom.sources.readers import table
 from tallyloom.sources.staging import fresh
 
@@ -183,6 +183,31 @@ def changed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("node", F.col("was.low.l_orderkey").alias("low_order"), F.col("was.low.l_linenumber").alias("low_line"), F.col("was.high.l_orderkey").alias("high_order"), F.col("n_was").alias("n"))
 
 
+@query(
+    """SELECT conv_id * 100 + turn AS id, CASE WHEN conv_id % 7 <> 3 THEN 'signs: ' || length(text) END AS reply, CASE WHEN conv_id % 7 = 3 THEN 'ValueError: no answer' END AS error,
+  CAST(CASE WHEN conv_id % 7 = 3 THEN 3 WHEN turn % 3 = 1 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM conversations WHERE role = 'user'"""
+)
+def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass over the users' turns with a caller that fails once for some and always for others."""
+
+    def make():
+        tried = set()
+
+        def call(row: dict) -> str:
+            first = row["id"] not in tried
+            tried.add(row["id"])
+            if row["conv_id"] % 7 == 3:
+                raise ValueError("no answer")
+            if first and row["turn"] % 3 == 1:
+                raise TimeoutError
+            return f"signs: {len(row['text'])}"
+
+        return call
+
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
+    return passes.model_pass(turns, fresh(spark), "id", make, every=200)
+
+
 @query("SELECT c_custkey, c_name FROM customer")
 def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.required(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"])

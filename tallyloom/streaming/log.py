@@ -1,20 +1,45 @@
 """The call log as a stream: windowed counts with a watermark, running gates by batch, and a sink of JSON lines.
 
 The log is append-only; these are the batch operators' streaming forms. Late rows beyond the watermark are dropped, and
-state is bounded by the watermark (windows) or by the number of groups (gates).
+state is bounded by the watermark (windows, closing gates) or by the number of groups (running gates).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallyloom.sources.staging import fresh
 
+#: What a stateful processor needs of the session: its state in RocksDB, many small stores, few files a batch.
+_STATE = "spark.sql.streaming.stateStore"
+STATEFUL = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.allowFAllocate": "false",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+}
+
+
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB; the session is as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in STATEFUL}
+    try:
+        for k, v in STATEFUL.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 def source(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
     """A folder's parquet files of one name as a stream; the schema is read from them if not given."""
@@ -62,6 +87,54 @@ def running_gate(rows: DataFrame, by: str, tool: str, ok: Column, required: list
     return some.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, missing string, passed boolean", "seen string", "update", GroupStateTimeout.NoTimeout)
 
 
+class _Gate(StatefulProcessor):
+    """One group: which required tools have succeeded, until nothing has come for `idle` milliseconds of event time."""
+
+    def __init__(self, required: Sequence[str], idle: int):
+        self.required, self.idle = list(required), idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "seen string, last long")
+
+    def close(self) -> None:
+        pass
+
+    def _verdict(self, key: Any, seen: set[str], last: int) -> Row:
+        left = [t for t in self.required if t not in seen]
+        return Row(group=key[0], last=last, missing=",".join(left), passed=not left)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        found = self.open.get()
+        seen, last = (set(found[0].split(",")) - {""}, found[1]) if found else (set(), None)
+        if last is not None:
+            self.handle.deleteTimer(last + self.idle)
+        for row in sorted(rows, key=lambda r: (r.ms, r.tool)):  # one group's rows of one batch
+            if last is not None and row.ms > last + self.idle:
+                yield self._verdict(key, seen, last)
+                seen, last = set(), None
+            if row.ok:
+                seen.add(row.tool)
+            last = row.ms if last is None else max(last, row.ms)
+        self.open.update((",".join(sorted(seen)), last))
+        self.handle.registerTimer(last + self.idle)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        seen, last = self.open.get()
+        self.open.clear()
+        yield self._verdict(key, set(seen.split(",")) - {""}, last)
+
+
+def closing_gate(rows: DataFrame, by: str, time: str, late: str, tool: str, ok: Column, required: Sequence[str], idle: int) -> DataFrame:
+    """(group, last, missing, passed) of each run of a group's calls, once it has been idle for `idle` milliseconds of event
+    time: the required tools that did not succeed in it. What has expired leaves the state, which so holds the groups of
+    the last `idle` milliseconds alone. Run it within `stateful`."""
+    some = rows.where(F.col(tool).isin(*required)).withWatermark(time, late)
+    some = some.select(F.col(by).alias("group"), F.col(time).alias("at"), F.unix_millis(time).alias("ms"), F.col(tool).alias("tool"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    kind = dict(some.dtypes)["group"]
+    return some.groupBy("group").transformWithState(_Gate(required, idle), f"group {kind}, last long, missing string, passed boolean", "append", "eventTime")
+
+
 def drained(stream: DataFrame, mode: str, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """Everything that is there now, run through a stream to its end, as a table.
 
