@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -97,32 +96,3 @@ def porter_words(words: Column) -> Column:
             yield batch.map(lambda ws: None if ws is None else [known.get(w) or known.setdefault(w, porter(w)) for w in ws])
 
     return stems(words)
-
-
-def _walk(value, path: str) -> Iterator[dict]:
-    stack = [(path, value)]
-    while stack:
-        at, v = stack.pop()
-        if isinstance(v, str):
-            yield {"path": at, "value": v}
-        elif isinstance(v, dict):
-            stack += [(f"{at}.{k}" if at else k, x) for k, x in reversed(v.items())]
-        elif isinstance(v, list):
-            stack += [(f"{at}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
-
-
-def json_strings(document: Column) -> Column:
-    """Every string of a nested JSON value with its path, whatever the depth; none if it does not parse."""
-
-    @F.pandas_udf("array<struct<path:string,value:string>>")
-    def strings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(s: str | None) -> list[dict]:
-            try:
-                return list(_walk(json.loads(s), "")) if s else []
-            except ValueError:
-                return []
-
-        for batch in batches:
-            yield batch.map(one)
-
-    return strings(document)

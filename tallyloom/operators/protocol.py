@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions import predicates, udfs
+from tallyloom.functions import predicates
 from tallyloom.functions import rules as R
 from tallyloom.functions import text as T
+from tallyloom.operators.documents import strings
 from tallyloom.operators import enumerate, records
 
 REF = "struct<kind:string,key:string,quoted_wording:string,derivation_id:string,component_keys:array<string>,unit:string,measure_id:string>"
@@ -245,7 +246,7 @@ def analytic_size(keys: Column) -> Column:
 
 def scale_hits(documents: DataFrame, by: str, document: str) -> DataFrame:
     """(by, path, pattern, text): where a whole JSON record seems to state a scale or coding; advisory, all hits."""
-    each = documents.select(by, F.explode(udfs.json_strings(F.col(document))).alias("s")).select(by, "s.path", F.col("s.value").alias("text"))
+    each = strings(documents, by, document).withColumnRenamed("value", "text")
     exempt = F.lit(False)
     for prefix in R.SCAN_EXEMPT:
         exempt = exempt | F.col("path").startswith(prefix)

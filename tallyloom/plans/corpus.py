@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from tallyloom.functions import text as T
-from tallyloom.operators import dictionary, enumerate, lookup, ordering, records, reach, scan
+from tallyloom.operators import dictionary, documents, enumerate, lookup, ordering, records, reach, scan
 from tallyloom.sources import sinks
 from tallyloom.sources.readers import table
 
@@ -461,8 +462,35 @@ def encoded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, 'k' AS path, 'x' || CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events")
 def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyloom.functions import udfs
-
     quoted = F.regexp_replace("props", r"([0-9]+)", '"x$1"')
-    rows = table(spark, sf_dir, "events")
-    return rows.select("event_id", F.explode(udfs.json_strings(quoted)).alias("s")).select("event_id", "s.path", "s.value")
+    return documents.strings(table(spark, sf_dir, "events").select("event_id", quoted.alias("props")), "event_id", "props")
+
+
+_ORDER = StructType([
+    documents.declared("o_totalprice", DoubleType(), required=True, least=2000.0),
+    documents.declared("o_orderpriority", StringType(), pattern="^[1-3]"),
+    documents.declared("lines", ArrayType(StructType([
+        documents.declared("quantity", DoubleType(), most=45.0),
+        documents.declared("flag", StringType(), one_of=["A", "N"]),
+        documents.declared("discount", DoubleType(), least=0.02),
+    ])), min_items=2),
+])
+
+
+@query(
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag, l_discount) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+  f AS (
+    SELECT l_orderkey AS o_orderkey, i, 'quantity' AS field, 'most' AS rule FROM l WHERE l_quantity > 45
+    UNION ALL SELECT l_orderkey, i, 'flag', 'one_of' FROM l WHERE l_returnflag NOT IN ('A', 'N')
+    UNION ALL SELECT l_orderkey, i, 'discount', 'least' FROM l WHERE l_discount < 0.02)
+SELECT o_orderkey, 'lines[' || i || '].' || field AS path, rule FROM f
+UNION ALL SELECT o_orderkey, 'o_totalprice', CASE WHEN o_totalprice IS NULL THEN 'required' ELSE 'least' END FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM l) AND (o_totalprice < 2000 OR o_totalprice IS NULL)
+UNION ALL SELECT o_orderkey, 'o_orderpriority', 'pattern' FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM l) AND NOT regexp_matches(o_orderpriority, '^[1-3]')
+UNION ALL SELECT DISTINCT l_orderkey, 'lines', 'min_items' FROM l WHERE n < 2"""
+)
+def declared_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as nested records, held to rules that their schema declares."""
+    line = F.struct("l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("discount"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("_l"))  # an order's few lines
+    rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey").withColumn("lines", F.transform("_l", lambda x: F.struct(x["quantity"].alias("quantity"), x["flag"].alias("flag"), x["discount"].alias("discount"))))
+    return documents.violations(rows, "o_orderkey", _ORDER).drop("value")

@@ -2,9 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from tallyloom.functions import predicates, udfs
-from tallyloom.operators import seams
+from tallyloom.operators import documents, seams
 
 
 @pytest.mark.parametrize(
@@ -16,9 +17,35 @@ def test_porter(word, stem):
 
 
 def test_json_strings(spark):
-    row = spark.createDataFrame([('{"a": ["x", {"b": "y"}], "c": 1}',), ("{",), (None,)], "j string").select(udfs.json_strings(F.col("j")).alias("s")).collect()
-    assert [(s.path, s.value) for s in row[0].s] == [("a[0]", "x"), ("a[1].b", "y")]
-    assert row[1].s == [] and row[2].s == []
+    texts = ['{"a": ["x", {"b": "y"}], "c": 1}', "{", None, '"bare"', "[]", '[["p", [["q"]]], null, true, ""]', "3", '{"a b.c": "d"}']
+    found = documents.strings(spark.createDataFrame(list(enumerate(texts)), "i int, j string"), "i", "j")
+    assert sorted(map(tuple, found.collect())) == [(0, "a[0]", "x"), (0, "a[1].b", "y"), (3, "", "bare"), (5, "[0][0]", "p"), (5, "[0][1][0][0]", "q"), (5, "[3]", ""), (7, "a b.c", "d")]
+    assert "Python" not in found._jdf.queryExecution().toString()
+
+
+def test_declared_rules(spark):
+    inner = StructType([documents.declared("n", IntegerType(), required=True, least=1, most=5), documents.declared("s", StringType(), pattern="^[a-z]+$", min_length=2, max_length=4)])
+    schema = StructType([
+        documents.declared("lines", ArrayType(ArrayType(inner)), required=True, min_items=1),
+        documents.declared("by", MapType(StringType(), inner)),
+        documents.declared("one", inner, required=True),
+        documents.declared("tags", ArrayType(StringType()), unique=True, max_items=2),
+    ])
+    rows = [
+        (1, [[(1, "ab"), (9, "A")], [(None, None)]], {"k": (0, "abcde")}, (5, "abcd"), ["x", "x", "y"]),
+        (2, None, None, None, None),
+        (3, [], {}, (3, "ok"), []),
+        (4, [None, []], {"k": None}, (3, "ok"), ["a", None]),
+    ]
+    df = spark.createDataFrame(rows, StructType([StructField("id", IntegerType()), *schema.fields]))
+    got = sorted(map(tuple, documents.violations(df, "id", schema).collect()), key=str)
+    assert got == sorted([
+        (1, "lines[0][1].n", "most", "9"), (1, "lines[0][1].s", "pattern", "A"), (1, "lines[0][1].s", "min_length", "A"), (1, "lines[1][0].n", "required", None),
+        (1, "by.k.n", "least", "0"), (1, "by.k.s", "max_length", "abcde"), (1, "tags", "unique", '["x","x","y"]'), (1, "tags", "max_items", '["x","x","y"]'),
+        (2, "lines", "required", None), (2, "one", "required", None), (3, "lines", "min_items", "[]"),
+    ], key=str)
+    with pytest.raises(ValueError, match="no such rules"):
+        documents.declared("x", StringType(), longest=3)
 
 
 def test_registry(spark):
