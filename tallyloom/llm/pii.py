@@ -4,13 +4,14 @@ Expressions only. Emails, IP addresses, payment cards and phone numbers are foun
 those that fail their check (parts, length, Luhn) are dropped. Positions follow from the lengths of matches and of the
 gaps between them, in code points.
 
-Every value found is a protected entity. For every term of the documents that hold it, wherever in them, the corpus
-tells how strongly the term reveals the entity: pointwise mutual information over documents, as a share of the entity's
-own information, log(n_te N / ((n_t + 1) n_e)) / log(N / n_e). The one added to a term's documents keeps few
-documents from being proof; no number of joint documents is asked for, so that an entity seen once has its terms too. A
-term that reaches `disclose` is generalised wherever it stands in the entity's documents, at `remove` it is removed.
-Counts n_te, n_t and N are over whole texts of all documents; terms and entities stay in tables, and only a counted,
-small table of terms is ever broadcast.
+Every value found is a protected entity. For every term of the documents that hold it the corpus tells how much is left
+unknown of the entity once the term is seen: -log2 P(entity | term), where P is the share of the term's occurrences in the
+whole corpus that lie in the entity's documents. An occurrence that stands within BESIDE code points of the entity counts
+as three, and instead of the share its lower confidence bound (Wilson, one deviation) is taken, so that neither one chance
+meeting nor the size of the corpus decides: a word that is seen once, far from the entity, leaves it unknown. A term whose
+bound reaches `disclose` (0.6: under 0.74 bits are left) is generalised wherever it stands in the entity's documents, at
+`remove` (0.9: 0.15 bits) it is removed. Counts are over whole texts of all documents; terms and entities stay in tables,
+and only a counted, small table of terms is ever broadcast.
 
 Patterns use possessive loops and start only where a run of signs begins, so that they neither recurse nor go back over
 long runs; what they match is the same. The leading zeros of an address part are not possessive: a part may be zero.
@@ -37,6 +38,8 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IN_RANGE = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 TERM = r"\p{L}{3,}+"
+#: How near to an entity a term tells more of it, in code points, and how many occurrences that one is worth besides.
+BESIDE, WORTH = 64, 2
 #: Terms (some 20 bytes each) that may be broadcast; above it the planner shuffles the corpus' terms.
 BROADCAST_TERMS = 200_000
 #: Ids and hashes (16 bytes each) that may be broadcast; above it all texts are shuffled to their spans.
@@ -95,8 +98,25 @@ def found(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    """Every term of a text once: runs of three letters or more, in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    """Every term of a text as often as it stands there: runs of three letters or more, in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def _beside(rows: DataFrame) -> DataFrame:
+    """(_p_row, v, t): terms that stand whole within BESIDE code points before or after an entity."""
+    each = rows.select("_p_row", "_p_text", F.inline("_p_spans"))
+    before = F.substring("_p_text", F.greatest(F.col("s") - BESIDE, F.lit(0)) + 1, F.least(F.col("s"), F.lit(BESIDE)))
+    before = F.when(F.col("s") > BESIDE, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)  # what is cut is no word
+    after = F.regexp_replace(F.substring("_p_text", F.col("e") + 1, F.lit(BESIDE + 1)), rf"(?s)^(.{{{BESIDE}}}).$", "$1\u0001")
+    after = F.when(after.endswith("\u0001"), F.regexp_replace(after, "\\p{L}*\u0001$", "")).otherwise(after)
+    return each.select("_p_row", "v", F.explode(F.concat(_terms(before), _terms(after))).alias("t")).distinct()
+
+
+def told_share(joint: Column, beside: Column, all_: Column) -> Column:
+    """The lower bound of the share of a term's weighed occurrences that lie with an entity."""
+    n = all_ + WORTH * beside
+    p = (joint + WORTH * beside) / n
+    return (p + 0.5 / n - F.sqrt(p * (1 - p) / n + 0.25 / (n * n))) / (1 + 1 / n)
 
 
 def _standing(rows: DataFrame) -> DataFrame:
@@ -122,7 +142,7 @@ def _standing(rows: DataFrame) -> DataFrame:
     return staged(rows.withColumn("_p_terms", named).select("doc_id", "_p_hash", "_p_spans", "_p_terms"))
 
 
-def spans(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
+def spans(docs: DataFrame, disclose: float = 0.6, remove: float = 0.9) -> DataFrame:
     """doc_id, _p_hash and _p_spans (k, s, e, v) of every row, terms included (their v is generalise or remove)."""
     rows = found(docs.select("doc_id", text_of().alias("text")), F.col("text")).withColumns({"_p_hash": F.xxhash64("text"), "_p_row": F.monotonically_increasing_id()})
     rows = staged(rows.select("_p_row", "doc_id", "_p_hash", "_p_spans", F.when(F.size("_p_spans") > 0, F.col("text")).alias("_p_text")))
@@ -130,20 +150,19 @@ def spans(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataF
     some = rows.where(F.size("_p_spans") > 0)
     held = some.select("_p_row", F.explode(F.array_distinct(F.transform("_p_spans", lambda x: x["v"]))).alias("v"))
     entities = held.groupBy("v").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < total)
-    held = staged(held.join(entities, "v"))
-    # n_te is at most n_e, so that a term of more documents than this reaches the threshold with no entity
-    most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - disclose)) * (1 + 1e-9) - 1
-    limit = held.agg(F.max(most)).first()[0]
-    if limit is None:
+    held = staged(held.join(entities, "v").select("_p_row", "v"))
+    if held.isEmpty():
         return rows.select("doc_id", "_p_hash", "_p_spans")
-    words = some.select("_p_row", F.explode(_terms(F.col("_p_text"))).alias("t"))
-    near = words.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("t")
-    counts = docs.select(F.explode(_terms(text_of())).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= limit)
-    rare = staged(counts.join(near, "t", "left_semi"))
-    words = staged(words.join(broadcast_if(rare, rare.count(), BROADCAST_TERMS), "t"))
-    both = staged(words.join(held, "_p_row").where(F.col("n_t") <= most))
-    share = F.log(F.col("n_te") * F.lit(float(total)) / ((F.col("n_t") + 1) * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    pairs = both.groupBy("v", "t", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te"))
+    words = staged(some.select("_p_row", F.explode(_terms(F.col("_p_text"))).alias("t")).groupBy("_p_row", "t").agg(F.count(F.lit(1)).alias("n")))
+    near = words.groupBy("t").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.explode(_terms(text_of())).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    # a term has a place beside an entity no more often than it has places: so it needs this share of its occurrences near
+    least = disclose - (1 - disclose) * WORTH
+    rare = staged(counts.join(near, "t").where(F.col("n") >= least * F.col("n_t")).select("t", "n_t"))
+    both = words.join(broadcast_if(rare, rare.count(), BROADCAST_TERMS), "t").join(held, "_p_row")
+    both = staged(both.join(_beside(some).withColumn("k", F.lit(1)), ["_p_row", "v", "t"], "left"))
+    pairs = both.groupBy("v", "t", "n_t").agg(F.sum("n").alias("n_te"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    share = told_share(F.col("n_te"), F.col("k"), F.col("n_t"))
     telling = staged(pairs.withColumn("share", share).where(F.col("share") >= disclose).select("v", "t", "share"))
     each = both.select("_p_row", "v", "t").join(broadcast_if(telling, telling.count(), BROADCAST_TERMS), ["v", "t"])
     how = F.when(F.max("share") >= remove, "remove").otherwise("generalise").alias("how")

@@ -77,19 +77,39 @@ def base(text):
 TERM = regex.compile(r"\p{L}{3,}+")
 
 
-def marks(texts, disclose=0.8, remove=0.95):
+def marks(texts, disclose=0.6, remove=0.9):
     """For each text its (kind, start, end, how): the base spans, then the terms that reveal an entity of that text."""
     found = [base_marks(t) for t in texts]
-    words = [{w.lower() for w in TERM.findall(t)} for t in texts]
+    words = [Counter(w.lower() for w in TERM.findall(t)) for t in texts]
     held = [{x[3] for x in f} for f in found]
-    n, n_t = len(texts), Counter(w for ws in words for w in ws)
-    n_e, n_te = Counter(v for vs in held for v in vs), Counter()
-    for ws, vs in zip(words, held, strict=True):
-        n_te.update((v, w) for v in vs for w in ws)
+    n_t = sum(words, Counter())
+    n_e, n_te, k = Counter(v for vs in held for v in vs), Counter(), Counter()
+    for text, f, ws, vs in zip(texts, found, words, held, strict=True):
+        for v in vs:
+            for w, n in ws.items():
+                n_te[v, w] += n
+            places = [(s, e) for _, s, e, x in f if x == v]
+            whole = [(m[0].lower(), m.start(), m.end()) for m in TERM.finditer(text)] if places else []
+            cut = [m.span() for m in regex.finditer(r"\p{L}+", text)] if places else []
+            run = lambda a: next((x for x in cut if x[0] <= a < x[1]), None)
+            near = set()
+            for s, e in places:
+                head, tail = max(s - 64, 0), min(e + 64, len(text))
+                first = run(head)  # letters at either edge are left out: they may be a part of a word
+                low = first[1] if first and s > 64 else head
+                last = run(tail - 1) if tail > e else None
+                high = max(last[0], e) if last and e + 64 < len(text) else tail
+                for part in (text[low:s], text[e:high]):
+                    near |= {x.lower() for x in TERM.findall(part)}
+            assert whole or not near
+            for w in near:
+                k[v, w] += 1
     told = {}
     for (v, w), both in n_te.items():
-        if n_e[v] < n:
-            share = math.log(both * n / ((n_t[w] + 1) * n_e[v])) / math.log(n / n_e[v])
+        if n_e[v] < len(texts):
+            n = n_t[w] + 2 * k[v, w]
+            p = (both + 2 * k[v, w]) / n
+            share = (p + 0.5 / n - math.sqrt(p * (1 - p) / n + 0.25 / n**2)) / (1 + 1 / n)
             if share >= disclose:
                 told[v, w] = share
     out = []

@@ -126,7 +126,10 @@ def test_terms_of_the_larger_table(spark):
     found = queries_pii.op2_disclosure_spans(spark, str(DATA / "sf0.1"))
     held = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") > 0
     row = found.agg(F.sum("n_term").alias("n"), F.max(F.when(~held, F.col("n_term"))).alias("none")).first()
+    docs = spark.read.parquet(str(DATA / "sf0.1" / "documents.parquet")).join(found.where(held).select("doc_id"), "doc_id")
+    words = docs.agg(F.sum(F.size(pii._terms(F.col("text"))))).first()[0]
     assert row.n > 0 and row.none == 0
+    assert row.n < 0.03 * words
 
 
 def test_revealing_terms_are_replaced(spark):
@@ -159,6 +162,17 @@ def test_terms_far_from_their_entity_are_replaced(spark):
     assert clean[0] == f"<TERM>\n{fill}<TERM> {fill}at <EMAIL>" and clean[10] == fill
 
 
+@pytest.mark.parametrize("size", [1000, 100_000])
+def test_rare_words_far_from_an_entity_stay(spark, size):
+    """Whatever the size of the corpus: words of one to three documents that have nothing to do with the entity stay, and a
+    name that stands beside an email in one document or two goes."""
+    far = "lorem ipsum dolor sit amet " * 6
+    rows = [(0, f"singular zimbly {far} Quillon ann@corp.example.org"), (1, f"zimbly {far}"), (2, f"zimbly {far}"), (3, f"zebrane bob@corp.example.org {far} unrelated"), (4, f"{far} bob@corp.example.org, zebrane")]
+    rows = spark.createDataFrame(rows, "doc_id long, text string").union(spark.range(10, size).select("id", F.lit(f"{far} and more")))
+    clean = {r.doc_id: r.text for r in pii.sanitised(rows).where("doc_id < 5").collect()}
+    assert clean == {0: f"singular zimbly {far} <TERM> <EMAIL>", 1: f"zimbly {far}", 2: f"zimbly {far}", 3: f"<TERM> <EMAIL> {far} unrelated", 4: f"{far} <EMAIL>, <TERM>"}
+
+
 def test_cleaned_merges_overlaps(spark):
     docs = spark.createDataFrame([(1, "tel +1.2.3.4.5678, 4111 1111 1111 1111, x@y.zz!")], "doc_id long, text string")
     assert pii.sanitised(docs).first().text == "tel <PHONE>, <CARD>, <EMAIL>!"
