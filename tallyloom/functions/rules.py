@@ -140,6 +140,9 @@ REFUSALS = {
 # Who the members of a roster block are.
 POPULATIONS = (("m1:Q6", "household member"), ("m2:Q8", "pregnancy"), ("m2:Q16", "sibling"), ("m2:Q18", "child"))
 
+# Fixed value: a variable's key, or a bare question number, inside prose.
+KEY_IN_PROSE = r"(?i)(?:m[123]|clinical|lab|linked|ehr)\s*:\s*[A-Za-z0-9._#~-]+|(?<![A-Za-z0-9])Q\s*\d+(?:\.\d+)+(?:[_#~-][A-Za-z0-9.]+)*"
+
 
 def domain_of(wording: Column) -> Column:
     """The first domain that a wording names, or unclassified."""

@@ -121,8 +121,8 @@ def sibling_counts(df: DataFrame, construct: str) -> DataFrame:
 def families(df: DataFrame, identity: Sequence[str], key: str, order: str) -> DataFrame:
     """df with the keys of its roster family, itself included, in order: entries that agree on all of an identity (nulls
     are a value), whose members differ in nothing but the roster row."""
-    same = df.groupBy(*(F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(f"_{c}") for c in identity)).agg(collected(key, order).alias("family"))
-    on = [F.coalesce(F.col(c).cast("string"), F.lit("None")) == F.col(f"_{c}") for c in identity]
+    same = df.groupBy(*(F.col(c).alias(f"_{c}") for c in identity)).agg(collected(key, order).alias("family"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in identity]
     return df.join(same, on).drop(*(f"_{c}" for c in identity))
 
 

@@ -101,7 +101,6 @@ def protocol_rules() -> dict[str, Column]:
     gaps = F.array_except(blocked, F.array(F.lit(R.PREVALENCE_BLOCKER)))
     told = F.array(F.col("question"), F.col("expected_direction.magnitude"), F.col("falsifier"), t["unit"], F.col("model_spec.form"), F.col("estimability.exposure_contrast"))
     constructs = F.transform(_list("sought_covariates", SOUGHT), lambda s: T.norm_construct(s["construct_sought"]))
-    key_in_prose = r"(?i)(?:m[123]|clinical|lab|linked|ehr)\s*:\s*[A-Za-z0-9._#~-]+|(?<![A-Za-z0-9])Q\s*\d+(?:\.\d+)+(?:[_#~-][A-Za-z0-9.]+)*"
     curved = t.isNotNull() & (F.size(F.coalesce(e["curve"], F.array().cast(CURVE))) > 0)
     admitted = e["at_n"].isNotNull() & ((F.col("estimability.n_source") != "unknown") | (F.size(gaps) > 0))
     known = F.col("estimability.analytic_n").isNotNull()
@@ -127,7 +126,7 @@ def protocol_rules() -> dict[str, Column]:
             & _long(s["exposes_the_estimate_to"], R.MIN_BIAS_STATEMENT)
             & (F.size(F.coalesce(s["search_phrases"], F.array().cast("array<string>"))) > 0)
             & F.forall(s["search_phrases"], lambda p: _long(p, R.MIN_SEARCH_PHRASE))
-            & ~s["construct_sought"].rlike(key_in_prose),
+            & ~s["construct_sought"].rlike(R.KEY_IN_PROSE),
         ),
         "magnitude_has_a_source": ~_said(F.col("expected_direction.magnitude")) | _said(F.col("expected_direction.magnitude_source")),
         "size_and_source_agree": known == (F.col("estimability.n_source") != "unknown"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,6 +15,10 @@ from pyspark.sql.types import ArrayType, DoubleType
 from tallyloom.operators.ordering import ordinal, running, top
 
 
+#: Cells of the grid of a search before its groups hold more than one block, and the most blocks of a group.
+CELLS, GROUP = 1024, 16
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -76,8 +81,9 @@ def pooled(vectors: Column, mask: Column, how: str, dim: int) -> Column:
 def similar(queries: DataFrame, docs: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """(query_id, rank, doc_id, score): the k largest cosines of every query, itself left out; ties by smaller id.
 
-    Both sides are packed into blocks by hash (one row a block), and the blocks of queries are sent to every block of
-    documents, so a task multiplies two matrices of bounded size whatever the tables hold.
+    Both sides are packed into blocks by hash (one row a block) and their blocks dealt into groups, a grid whose cells are
+    the keys of a join: a block goes to each group of the other side, so that no task has more than GROUP blocks of either,
+    and multiplies two matrices of bounded size at a time whatever the tables hold.
     """
     n = max(1, -(-docs.count() // block))
     m = max(1, -(-queries.count() // block))
@@ -91,8 +97,12 @@ def similar(queries: DataFrame, docs: DataFrame, k: int, key: str = "vec_id", ve
         some = rows.select(F.col(key).alias("id"), unit.alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
         return some.groupBy("part").applyInPandas(pack, "part long, ids binary, v binary")
 
-    sent = packed(queries, m).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
-    both = packed(docs, n).join(sent, F.col("part") == F.col("at")).drop("part", "at")
+    side = max(1, min(GROUP, math.isqrt(n * m // CELLS)))
+    down, across = -(-n // side), -(-m // side)
+    turn = lambda parts, name: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
+    left = packed(docs, n).select("ids", "v", F.pmod("part", F.lit(down)).alias("g"), turn(across, "h"))
+    right = packed(queries, m).select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.pmod("part", F.lit(across)).alias("h"), turn(down, "g"))
+    both = left.join(right, ["g", "h"]).drop("g", "h")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

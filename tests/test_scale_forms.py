@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import arms, metrics, patterns, postings, scan, search, vector
+from tallyloom.operators import arms, dictionary, metrics, patterns, postings, scan, search, vector
 from tallyloom.sources import bundles, digests
 from tests.conftest import DATA
 
@@ -198,3 +198,22 @@ def test_projection(spark):
             want = np.array(r.v) @ one.T @ two.T
             assert np.allclose(r.projected, want / np.linalg.norm(want))
     assert len(got) == 50
+
+
+def test_similar_over_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 5))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector, "CELLS", 8)
+    got = {}
+    for r in sorted(vector.similar(df.where("vec_id % 2 = 0"), df, 4, block=20).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = unit @ unit.T - 9 * np.eye(300)
+    assert got == {q: np.argsort(-cos[q])[:4].tolist() for q in range(0, 300, 2)}
+
+
+def test_families_tell_null_from_its_name(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, "None", "b"), (3, None, "c"), (4, "x", "d")], "o int, q string, k string")
+    got = {r.k: r.family for r in dictionary.families(rows, ["q"], "k", "o").collect()}
+    assert got == {"a": ["a", "c"], "c": ["a", "c"], "b": ["b"], "d": ["d"]}
