@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from tallyloom.sources.staging import fresh
+
 Encoder = Callable[[Sequence[str]], np.ndarray]
 #: queries (query_id, query) and a limit to hits (query_id, key, rank)
 SearchFunction = Callable[[DataFrame, int], DataFrame]
@@ -54,10 +56,14 @@ def replies(requests: DataFrame, stored: DataFrame, on: str) -> DataFrame:
 
 
 class Registry:
-    """Named tools with their parameters, by mode; calls are checked, timed and logged, and the log is a table."""
+    """Named tools with their parameters, by mode; calls are checked, timed and logged, and the log is a table.
+
+    `call` times what a Python call takes, which for a DataFrame is the making of its plan; `run` executes it, and logs what
+    the execution itself observed: its rows, any further metrics, its outcome and its time.
+    """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tools, self.calls = spark, {}, []
+        self.spark, self.tools, self.calls, self.kept = spark, {}, [], 0
 
     def add(self, tool: Callable, modes: Sequence[str] = ("live", "sealed")) -> None:
         self.tools[tool.__name__] = (tool, frozenset(modes))
@@ -84,11 +90,33 @@ class Registry:
             outcome = "ok"
             return found
         finally:
-            self.calls.append((name, {k: str(v) for k, v in arguments.items()}, outcome, (time.perf_counter() - began) * 1000))
+            self.calls.append((name, {k: str(v) for k, v in arguments.items()}, outcome, (time.perf_counter() - began) * 1000, None, {}))
+
+    def run(self, mode: str, name: str, metrics: dict[str, Column] | None = None, path: str | None = None, **arguments) -> DataFrame:
+        """The rows of a tool that gives a DataFrame, executed once and written (to path, or to the shared folder until the
+        driver ends). The log's row is of the execution: rows and metrics (aggregates by name) come from an Observation made
+        as the rows are written, so nothing is counted a second time. A run that fails is logged as one, and raises."""
+        before = len(self.calls)
+        found = self.call(mode, name, **arguments)
+        at, path, seen = self.calls[before][:2], path or fresh(self.spark), Observation()
+        began, outcome, rows, told = time.perf_counter(), "error", None, {}
+        try:
+            found.observe(seen, F.count(F.lit(1)).alias("_rows"), *(v.alias(k) for k, v in (metrics or {}).items())).write.parquet(path)
+            got = seen.get
+            outcome, rows = "ok", got.pop("_rows")
+            told = {k: None if v is None else str(v) for k, v in got.items()}
+        finally:
+            self.calls[before] = (*at, outcome, (time.perf_counter() - began) * 1000, rows, told)
+        return self.spark.read.schema(found.schema).parquet(path)
 
     def log(self) -> DataFrame:
         rows = [(i, *c) for i, c in enumerate(self.calls)]
-        return self.spark.createDataFrame(rows, "ord long, tool string, args map<string,string>, outcome string, ms double")
+        return self.spark.createDataFrame(rows, "ord long, tool string, args map<string,string>, outcome string, ms double, rows long, metrics map<string,string>")
+
+    def append_log(self, path: str) -> None:
+        """The calls since the last append as rows of a table that only grows."""
+        self.log().where(F.col("ord") >= self.kept).write.mode("append").parquet(path)
+        self.kept = len(self.calls)
 
     def required_missing(self, required: Sequence[str]) -> DataFrame:
         """Required tools that no call has answered."""

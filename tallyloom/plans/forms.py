@@ -167,6 +167,20 @@ def layer_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg((F.round(F.avg("x"), 6) + 0.0).alias("mean"), F.round(F.avg(F.col("x") * F.col("x")), 6).alias("square"), F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'lines_of' AS tool, flag, 'ok' AS outcome, count(l_returnflag) AS rows, CAST(CAST(sum(l_linenumber) AS BIGINT) AS VARCHAR) AS numbers FROM (VALUES ('A'), ('N'), ('R'), ('?')) t(flag) LEFT JOIN lineitem ON l_returnflag = flag GROUP BY flag")
+def audited_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of four runs of a tool: what each run itself observed as its rows were written."""
+    tools = seams.Registry(spark)
+
+    def lines_of(flag: str) -> DataFrame:
+        return table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select("l_orderkey", "l_linenumber")
+
+    tools.add(lines_of)
+    for flag in ("A", "N", "R", "?"):
+        tools.run("live", "lines_of", {"numbers": F.sum("l_linenumber")}, flag=flag)
+    return tools.log().select("tool", F.col("args.flag").alias("flag"), "outcome", "rows", F.col("metrics.numbers").alias("numbers"))
+
+
 @query("SELECT a.conv_id, a.turn, b.text AS reply FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'")
 def stored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the replies of an earlier pass; those without wait for the next."""

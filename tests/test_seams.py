@@ -48,6 +48,32 @@ def test_declared_rules(spark):
         documents.declared("x", StringType(), longest=3)
 
 
+def test_runs_are_observed(spark, tmp_path):
+    r = seams.Registry(spark)
+
+    def numbers(n: int):
+        return spark.range(n).select("id", F.when(F.col("id") < 900, F.col("id")).otherwise(F.raise_error(F.lit("too many"))).alias("v"))
+
+    r.add(numbers)
+    got = r.run("live", "numbers", {"largest": F.max("v"), "nothing": F.max(F.lit(None).cast("int"))}, n=500)
+    assert got.count() == 500
+    r.append_log(str(tmp_path / "log"))
+    with pytest.raises(Exception, match="too many"):
+        r.run("live", "numbers", n=1000)
+    with pytest.raises(TypeError):
+        r.run("live", "numbers", m=1)
+    assert r.run("live", "numbers", n=0, path=str(tmp_path / "empty")).columns == ["id", "v"]
+    r.append_log(str(tmp_path / "log"))
+    rows = spark.read.parquet(str(tmp_path / "log")).orderBy("ord").collect()
+    assert [(x.tool, x.args, x.outcome, x.rows, x.metrics) for x in rows] == [
+        ("numbers", {"n": "500"}, "ok", 500, {"largest": "499", "nothing": None}),
+        ("numbers", {"n": "1000"}, "error", None, {}),
+        ("numbers", {"m": "1"}, "error", None, {}),
+        ("numbers", {"n": "0"}, "ok", 0, {}),
+    ]
+    assert rows[0].ms > 1
+
+
 def test_registry(spark):
     r = seams.Registry(spark)
 
