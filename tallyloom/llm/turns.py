@@ -39,6 +39,7 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.maintenanceInterval": "30s",  # lets go of the stores of starts that are over
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # a second small file for each file of each store and start
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # timers of a batch expire with the next; the last start has none
 }
 
