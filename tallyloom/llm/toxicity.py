@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.list_(pa.int64()))), pa.array(bare, pa.int64())], names=["toxic", "found", "bare"])
 
     rows = sample.mapInArrow(work, "toxic int, found array<array<long>>, bare long").collect()  # at most `most` rows
-    bias, weights = fit([(r[0], r[1], r[2]) for r in rows], len(names))
+    # in order of what they hold, so that sums of floats do not depend on which task came first
+    bias, weights = fit(sorted((r[0], r[1], r[2]) for r in rows), len(names))
     return Scorer(bias, {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-4})
 
 
