@@ -217,3 +217,32 @@ def test_families_tell_null_from_its_name(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, "None", "b"), (3, None, "c"), (4, "x", "d")], "o int, q string, k string")
     got = {r.k: r.family for r in dictionary.families(rows, ["q"], "k", "o").collect()}
     assert got == {"a": ["a", "c"], "c": ["a", "c"], "b": ["b"], "d": ["d"]}
+
+
+def test_similar_broadcasts_nothing_and_keeps_ties(spark, monkeypatch):
+    """Blocks meet in cogroups, whatever the planner makes of their sizes; copies tie by id, over blocks and cells."""
+    rng = np.random.default_rng(9)
+    v = rng.integers(-2, 3, size=(40, 3)) + 0.5
+    df = spark.createDataFrame([(i, [float(x) for x in v[i % 40]]) for i in range(400)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector, "CELLS", 4)
+    found = vector.similar(df.where("vec_id % 3 = 0"), df, 7, block=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CoGroup" in plan
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 9)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.doc_id, round(r.score, 9))
+    for q in range(0, 400, 3):
+        want = sorted((-cos[q % 40, i % 40], i) for i in range(400) if i != q)[:7]
+        assert [got[q][r] for r in range(1, 8)] == [(i, -s) for s, i in want]
+
+
+def test_streams_are_searched_once(spark):
+    """What the fusion queries read many times is stored: no plan of theirs holds the search."""
+    from tallyloom.plans import protocol, retrieval
+
+    sf = str(DATA / "sf0.001")
+    for made in (*protocol._streams(spark, sf), retrieval.rank_percentiles(spark, sf), retrieval.mine_negatives(spark, sf), retrieval.rank_of_gold(spark, sf)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "InPandas" not in plan
