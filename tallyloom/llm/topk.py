@@ -1,8 +1,8 @@
 """Exact largest inner products by the three-phase uniform threshold.
 
 A vector's components are split into `lists` slices; each slice holds a list of partial scores, and a score is their
-sum. Phase one gathers, for every query, the best entries of each local list in one shard of every `sample`, and the k-th
-best total among them is a safe cutoff: the k-th best score cannot lie below it, whichever rows it was taken from. Phase
+sum. Phase one gathers, for every query, the best entries of each local list in every shard, and the k-th best total among
+them is a safe cutoff: the k-th best score cannot lie below it. Phase
 two sends the cutoff to every shard: an entry whose partial scores all lie below the uniform share, cutoff / lists, cannot
 reach the cutoff and is left out, and so is one whose upper bound (lists in which it was not seen at their share) stays
 below. Phase three resolves the rest exactly. Cutoffs are joined to the blocks of queries, not broadcast.
@@ -25,11 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import bound_batches, staged
-from tallyloom.llm.vectors import BLOCK_ROWS, SHARD_ROWS, blobs, crossed, finite, matrix, padded, parts_of
+from tallyloom.llm.vectors import BLOCK_ROWS, SHARD_ROWS, blobs, crossed, finite, matrix, padded
 
 LISTS = 2
-#: Phase one reads one shard of so many.
-SAMPLE = 8
 #: Queries whose scores a worker holds at once.
 HELD = 256
 LARGEST = float(np.finfo(float).max)
@@ -130,7 +128,7 @@ def _found(q_ids: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64()), pa.array(beyond, pa.string())], names=["query_id", "vec_id", "score", "beyond"])
 
 
-def top_products(rows: DataFrame, queries: DataFrame, k: int = 20, lists: int = LISTS, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE) -> DataFrame:
+def top_products(rows: DataFrame, queries: DataFrame, k: int = 20, lists: int = LISTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k other ids of rows with the largest inner product for every row of queries: query_id, rank, vec_id, score."""
     bound_batches(rows.sparkSession)
     shards, parts = blobs(quantised(rows), shard_rows)
@@ -146,8 +144,7 @@ def top_products(rows: DataFrame, queries: DataFrame, k: int = 20, lists: int =
                     got = gathered(q_ids[i : i + HELD], q[i : i + HELD], ids, v, k, lists)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["query_id", "total"])
 
-    some = shards.where(F.col("part") % sample == 0).withColumn("part", F.floor(F.col("part") / sample))
-    heads = crossed(some, parts_of(parts, sample), blocks, n_blocks).select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(gather, "query_id long, total double")
+    heads = crossed(shards, parts, blocks, n_blocks).select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(gather, "query_id long, total double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total")))
     kth = heads.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k)
     # the cutoffs of a block's queries become a column of the block

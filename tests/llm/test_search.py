@@ -1,5 +1,7 @@
 """Searches against brute force, with ties, copies and short vectors."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -166,3 +168,20 @@ def test_cutoff_leaves_rows_out():
     for lists in (2, 4):
         *_, resolved = topk.resolved(ids[:5], v[:5], cut, ids, v, 20, lists)
         assert resolved < 5 * 4000 / 2
+
+
+def test_cutoff_comes_from_every_shard(spark, monkeypatch, tmp_path):
+    """Phase one reads all rows: the best of them are seen there, in whichever shard they lie."""
+    rows = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    seen = str(tmp_path)
+    gathered = topk.gathered
+
+    def noting(q_ids, q, ids, v, k, lists):
+        for i in ids:
+            open(f"{seen}/{i}", "w").close()
+        return gathered(q_ids, q, ids, v, k, lists)
+
+    monkeypatch.setattr(topk, "gathered", noting)
+    got = topk.top_products(rows, rows.where("vec_id = 7"), 5, shard_rows=20).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [299, 298, 297, 296, 295]
+    assert len(os.listdir(seen)) == 300
