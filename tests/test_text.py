@@ -118,3 +118,22 @@ def test_replies(value):
     assert value(T.json_body(F.lit("none"))) is None
     assert value(T.answered_no(F.lit("**No**, nothing. Yes."))) is True
     assert value(T.claimed(F.lit("x REFUSAL: too_vague indeed"), "REFUSAL:", ["too_vague"])) == "too_vague"
+
+
+def test_stems_are_those_of_the_whole_table_in_order(spark):
+    ends = [s for s, _, _ in T.SUFFIXES] + ["x", "ss", "ngs", ""]
+    some = sorted({stem + a + b for stem in ("", "b", "ab", "stud", "organ", "re") for a in ends for b in ends if len(stem + a + b) > 0})
+
+    def plain(w):
+        fits = next(((s, put) for s, put, least in T.SUFFIXES if w.endswith(s) and len(w) >= least), ("", ""))
+        return w if len(w) <= 3 else w[: len(w) - len(fits[0])] + fits[1]
+
+    got = spark.createDataFrame([(w,) for w in some], "w string").select("w", T.light_stem(F.col("w")).alias("s")).collect()
+    assert {r.w: r.s for r in got} == {w: plain(w) for w in some}
+
+
+def test_template_query_is_not_one_task(spark):
+    """A file of one row group is dealt to every core before its rows are spelt."""
+    from tallyloom.plans import corpus
+
+    assert corpus.template_query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
