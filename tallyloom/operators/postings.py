@@ -5,24 +5,32 @@ the term on any of them, the smallest key, and the documents with their counts.
 length that follow each other by key, so that impacts within it are alike; the same blocks serve all terms. Rows are partitioned by a hash of the term and sorted by term
 within, so that a search reads the files and row groups of its terms alone, and of these first only the bounds.
 
-A search takes a table of requests. From the bounds it sums what each block could score for each request; the best few
-blocks of every request are read, their k-th score is a floor, and of the other blocks only those are read that could reach
-the floor, or equal it with a smaller key. Nothing is lost: a document scores at most what its block could. All requests go through one plan of joins by
-term and block; no request, no term and no block is handled alone, and nothing is collected.
+A search takes a table of requests. Runs of blocks are shards; a task holds the blocks of a shard and lets the requests
+stream past it. From the bounds it sums what each block could score for a request; the best few blocks are read, their k-th
+score is a floor, and of the other blocks only those are read that could reach the floor, or equal it with a smaller key.
+Nothing is lost: a document scores at most what its block could. A request's first shard gives it a floor for all others. A
+task passes on k documents of a request at most, so that what is stored grows with requests times shards, never with
+requests times blocks; nothing is collected.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyloom.functions import text as T
-from tallyloom.operators.ordering import ordinal, top
-from tallyloom.operators.search import idf, term_counts
+from tallyloom.operators.ordering import ordinal, spread, top
+from tallyloom.operators.search import idf
 from tallyloom.sources.staging import fresh, staged
 
 #: Sums of the same terms in another order differ by less than this.
@@ -54,6 +62,65 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _counted(texts: DataFrame, pattern: str) -> DataFrame:
+    """(key, length, terms: array of (term, tf)) of texts (key, t): how many words each has, and how often each one."""
+    kind = texts.schema["key"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        for batch in batches:
+            lengths, ends, terms, tfs = [], [0], [], []
+            for text in batch["t"].to_pylist():
+                words = find(text)
+                times = Counter(words)
+                lengths.append(len(words))
+                terms.extend(times)
+                tfs.extend(times.values())
+                ends.append(len(terms))
+            each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["key", "length", "terms"])
+
+    return texts.mapInArrow(work, f"key {kind}, length int, terms array<struct<term:string,tf:int>>")
+
+
+def _packed(rows: DataFrame, index: Postings) -> DataFrame:
+    """(term, block, n, cf, most, low, docs) of rows (block, key, length, terms): a block's documents meet in one task, so
+    that no posting is shuffled alone."""
+    kind = rows.schema["key"].dataType.simpleString()
+    k1, b, mean = index.k1, index.b, index.mean or 1.0
+
+    def pack(some: pa.Table) -> pa.RecordBatch:
+        one = lambda name: some[name].combine_chunks()
+        terms = one("terms")
+        of, row = terms.flatten(), np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy(zero_copy_only=False))
+        named = of.field("term").dictionary_encode()
+        code, block = named.indices.to_numpy(), one("block").to_numpy()[row]
+        order = np.lexsort((row, code, block))  # rows come by key
+        code, block, row = code[order], block[order], row[order]
+        tf, length = of.field("tf").to_numpy()[order], one("length").to_numpy()[row]
+        starts = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        sums = lambda v, how: how.reduceat(v, starts) if len(starts) else v
+        gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+        key, ends = one("key").take(pa.array(row)), np.append(starts, len(code))
+        docs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([key, pa.array(tf), pa.array(length)], ["key", "tf", "length"]))
+        columns = [named.dictionary.take(pa.array(code[starts])), pa.array(block[starts]), pa.array(np.diff(ends), pa.int32()), pa.array(sums(tf.astype(np.int64), np.add)), pa.array(sums(gain, np.maximum)), key.take(pa.array(starts)), docs]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "cf", "most", "low", "docs"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            some = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            whole = int(np.searchsorted(some["block"].to_numpy(), some["block"][-1].as_py())) if some.num_rows else 0
+            if whole:
+                yield pack(some.slice(0, whole))
+            left = some.slice(whole)  # its last block may go on
+        if left is not None and left.num_rows:
+            yield pack(left)
+
+    placed = rows.repartition("block").sortWithinPartitions("block", "key", "length")
+    return placed.mapInArrow(work, f"term string, block long, n int, cf long, most double, low {kind}, docs array<struct<key:{kind},tf:int,length:int>>")
+
+
 def build(docs: DataFrame, key: str, text: Column, path: str | None = None, pattern: str = "[a-z]{3,}", per_block: int = 32, buckets: int = 16, k1: float = 1.2, b: float = 0.75) -> Postings:
     """Writes the index of docs to `path` (without one, to the shared folder until the driver ends) and opens it.
 
@@ -62,16 +129,14 @@ def build(docs: DataFrame, key: str, text: Column, path: str | None = None, patt
     """
     spark = docs.sparkSession
     path = path or fresh(spark)
-    tokens = T.words(F.coalesce(text, F.lit("")), pattern)
-    counted = T.let(tokens, lambda t: F.struct(F.size(t).alias("length"), term_counts(t).alias("terms")))
-    rows = staged(docs.select(F.col(key).alias("key"), counted.alias("t")).select("key", "t.length", "t.terms"))  # counted once
-    placed = ordinal(rows.withColumn("kind", F.floor(2 * F.log2(F.col("length") + 1)).cast("int")), ["kind", "key", "length"], "at")
+    rows = staged(_counted(spread(docs.select(F.col(key).alias("key"), F.coalesce(F.lower(text), F.lit("")).alias("t"))), pattern).withColumn("row", F.monotonically_increasing_id()))  # counted once
+    kind = F.floor(2 * F.log2(F.col("length") + 1)).cast("int")
+    placed = ordinal(rows.select(kind.alias("kind"), "key", "length", "row"), ["kind", "key", "length", "row"], "at").select("row", "at")
+    placed = rows.join(placed, "row")  # terms are not ranged, only keys
     n, total = rows.agg(F.count(F.lit(1)), F.sum("length")).first()
     made = Postings(docs, docs, n, total / n if n else 0.0, buckets, k1, b)
-    each = placed.select("key", "length", F.floor((F.col("at") - 1) / per_block).alias("block"), F.inline("terms"))
-    blocks = each.groupBy(_bucket(F.col("term"), buckets).alias("bucket"), "term", "block").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.sum("tf").alias("cf"), F.max(made.impact(F.col("tf"), F.col("length"))).alias("most"), F.min("key").alias("low"), F.array_sort(F.collect_list(F.struct("key", "tf", "length"))).alias("docs")
-    )
+    blocks = _packed(placed.select(F.floor((F.col("at") - 1) / per_block).alias("block"), "key", "length", "terms"), made)
+    blocks = blocks.select(_bucket(F.col("term"), buckets).alias("bucket"), *blocks.columns)
     blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
     stored = spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
     stored.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
@@ -91,13 +156,151 @@ def asked(requests: DataFrame, request: str, phrase: Column) -> DataFrame:
     return requests.select(F.col(request).alias("request"), F.explode(T.query_terms(phrase)["terms"]).alias("term"))
 
 
-def _scores(index: Postings, picked: DataFrame, weights: DataFrame, flat: bool) -> DataFrame:
-    """(request, key, total, raw, matched) of the documents in the picked (request, block) rows."""
-    wanted = picked.select("request", "block").join(weights, "request")
-    found = wanted.join(index.blocks.select("bucket", "term", "block", "docs"), ["bucket", "term", "block"])
-    each = found.select("request", "w", "total", F.explode("docs").alias("d"))
-    gain = F.col("w") if flat else F.col("w") * index.impact(F.col("d.tf"), F.col("d.length"))
-    return each.groupBy("request", F.col("d.key").alias("key")).agg(F.first("total").alias("total"), F.sum(gain).alias("raw"), F.count(F.lit(1)).cast("int").alias("matched"))
+@dataclass
+class _Shard:
+    """The blocks of one shard as arrays: a run of block rows for each term, and a run of documents for each block row. Of
+    documents the task knows the rank of their key in the shard."""
+
+    names: pa.Array
+    starts: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    n: np.ndarray
+    first: np.ndarray
+    doc: np.ndarray
+    gain: np.ndarray | None
+    keys: pa.Array
+    low: np.ndarray
+
+    @classmethod
+    def of(cls, batches: list[pa.RecordBatch], impact) -> _Shard:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        one = lambda name: rows[name].combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(name).type)
+        term, docs = one("term").dictionary_encode(), one("docs")
+        code, of = term.indices.to_numpy(), docs.flatten()
+        named = of.field("key").dictionary_encode(null_encoding="encode")
+        order = pc.array_sort_indices(named.dictionary, null_placement="at_start").to_numpy().astype(np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        doc = rank[named.indices.to_numpy()]
+        n = docs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at, block = np.cumsum(n) - n, one("block").to_numpy().astype(np.int64)
+        base = block.min() if len(block) else 0
+        low = np.full((block.max() - base + 1) if len(block) else 0, len(order))
+        if len(at):
+            np.minimum.at(low, block - base, np.minimum.reduceat(doc, at))
+        gain = impact(of.field("tf").to_numpy().astype(float), of.field("length").to_numpy().astype(float)) if impact else None
+        starts = np.concatenate([np.flatnonzero(np.diff(code, prepend=-1)), [len(code)]])
+        return cls(term.dictionary, starts, block - base, one("most").to_numpy(), n, at, doc, gain, named.dictionary.take(pa.array(order)), low)
+
+    def reached(self, last) -> int:
+        """How many of the shard's keys are not behind `last`, nulls first."""
+        known = self.keys.drop_null()
+        none = len(self.keys) - len(known)
+        return none if last is None else none + int(np.searchsorted(known.to_numpy(zero_copy_only=False), last, side="right"))
+
+    def best(self, terms: list[tuple[int, float]], total: float, k: int, heads: int, flat: bool, floor: float | None, last) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int, float]:
+        """(documents, raw, matched) of up to k documents of terms (code, weight), how many (term, block) rows there were and
+        were read, and the largest bound. Blocks that reach neither the floor given nor the one found here are passed over."""
+        bound, count = np.zeros(len(self.low)), np.zeros(len(self.low), np.int64)
+        for t, w in terms:
+            rows = slice(self.starts[t], self.starts[t + 1])
+            bound[self.block[rows]] += w if flat else w * self.most[rows]
+            count[self.block[rows]] += 1
+
+        def reach(at: float, rank: int) -> np.ndarray:
+            return (bound > at + NOISE) | ((bound >= at - NOISE) & (self.low <= rank))
+
+        may = count > 0
+        if floor is not None:
+            may &= reach(floor, self.reached(last) - 1)
+        some = np.flatnonzero(may)
+        read = np.zeros(len(may), bool)
+        read[some if len(some) <= heads else some[np.lexsort((self.low[some], -np.round(bound[some], 5)))[:heads]]] = True
+        doc, raw, matched = self.sums(terms, read, flat)
+        shown = np.round(raw / total if flat else raw, 9)
+        if len(some) > heads:
+            if len(doc) >= k:
+                kth = np.lexsort((doc, -shown))[k - 1]
+                may &= reach(raw[kth], doc[kth])
+            rest = may & ~read
+            if rest.any():
+                more = self.sums(terms, rest, flat)
+                doc, raw, matched = (np.concatenate(x) for x in zip((doc, raw, matched), more, strict=True))
+                shown, read = np.round(raw / total if flat else raw, 9), read | rest
+        kept = np.lexsort((doc, -shown))[:k]
+        return doc[kept], raw[kept], matched[kept], int(count.sum()), int(count[read].sum()), float(bound.max(initial=0.0))
+
+    def sums(self, terms: list[tuple[int, float]], read: np.ndarray, flat: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        docs, gains = [], []
+        for t, w in terms:
+            rows = np.arange(self.starts[t], self.starts[t + 1])
+            rows = rows[read[self.block[rows]]]
+            n = self.n[rows]
+            at = np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            docs.append(self.doc[at])
+            gains.append(np.full(len(at), w) if flat else w * self.gain[at])
+        every = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        matched = np.bincount(every)
+        raw = np.bincount(every, np.concatenate(gains) if gains else None)
+        found = np.flatnonzero(matched)
+        return found, raw[found], matched[found]
+
+
+def _answers(index: Postings, asked: DataFrame, per_shard: int, shards: int, k: int, heads: int, flat: bool) -> DataFrame:
+    """(request, shard, total, found, terms, read, bound) of asked (shard, request, total, terms: array of (term, w), floor,
+    last). A shard's blocks and the requests to it meet in one task: first the blocks, then a stream of requests, so that a
+    task holds one shard and a batch of requests."""
+    wanted = asked.select(F.explode("terms.term").alias("term")).distinct().withColumn("bucket", _bucket(F.col("term"), index.buckets))
+    held = index.blocks.select("bucket", "term", "block", "most", "docs").join(wanted, ["bucket", "term"], "left_semi")
+    held = held.select(F.floor(F.col("block") / per_shard).cast("int").alias("shard"), F.lit(0).alias("kind"), "term", "block", "most", "docs")
+    both = held.unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "term", "block")
+    key, request = index.blocks.schema["low"].dataType.simpleString(), asked.schema["request"].dataType.simpleString()
+    shape = f"request {request}, shard int, total double, found array<struct<key:{key},raw:double,matched:int>>, terms long, read long, bound double"
+    k1, b, mean = index.k1, index.b, index.mean or 1.0
+    impact = None if flat else lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, shard = None, [], None
+        for whole in batches:
+            place = np.flatnonzero(np.diff(whole["shard"].to_numpy() * 2 + whole["kind"].to_numpy(), prepend=-1))
+            for i, j in zip(place, [*place[1:], whole.num_rows], strict=True):
+                some = whole.slice(i, j - i)
+                if some["shard"][0].as_py() != now:
+                    now, waiting, shard = some["shard"][0].as_py(), [], None
+                if some["kind"][0].as_py() == 0:
+                    waiting.append(some.select(["term", "block", "most", "docs"]))
+                elif waiting:  # a shard with blocks
+                    shard = shard or _Shard.of(waiting, impact)
+                    yield from answer(shard, now, some)
+
+    def answer(shard: _Shard, now: int, some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        terms, ends = some["terms"].flatten(), np.cumsum(some["terms"].value_lengths().to_numpy())
+        code = pc.fill_null(pc.index_in(terms.field("term"), value_set=shard.names), -1).to_numpy(zero_copy_only=False)
+        w, total = terms.field("w").to_numpy(), some["total"].to_numpy()
+        floor, last = some["floor"].to_pylist(), some["last"].to_pylist()
+        kept, stats, docs = [], [], []
+        for i, end in enumerate(ends):
+            own = [(c, x) for c, x in zip(code[ends[i - 1] if i else 0 : end], w[ends[i - 1] if i else 0 : end], strict=True) if c >= 0]
+            if own:
+                *found, terms_, read, bound = shard.best(own, total[i], k, heads, flat, floor[i], last[i])
+                kept.append(i)
+                stats.append((terms_, read, bound))
+                docs.append(found)
+        if kept:
+            doc, raw, matched = (np.concatenate(x) for x in zip(*docs, strict=True))
+            found = pa.StructArray.from_arrays([shard.keys.take(pa.array(doc)), pa.array(raw), pa.array(matched, pa.int32())], ["key", "raw", "matched"])
+            offsets = pa.array(np.cumsum([0, *(len(d[0]) for d in docs)]), pa.int32())
+            some = some.take(pa.array(kept))
+            columns = [some["request"], pa.array([now] * len(kept), pa.int32()), some["total"], pa.ListArray.from_arrays(offsets, found), *(pa.array(x) for x in zip(*stats, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["request", "shard", "total", "found", "terms", "read", "bound"])
+
+    return both.mapInArrow(work, shape)
+
+
+#: Blocks of a shard, at most: with blocks of 32 some 30,000 documents.
+SHARD = 1024
 
 
 def search(index: Postings, terms: DataFrame, k: int, rule: str = "share", heads: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -105,26 +308,29 @@ def search(index: Postings, terms: DataFrame, k: int, rule: str = "share", heads
 
     hits: request, key, score, matched, rank: the k best documents of each request, ties by key. rule `share`: the idf of
     the terms matched over that of all the request's terms, at nine decimals, absent terms included; `bm25`: BM25.
-    blocks: request, block, terms, bound, read: which blocks could have been read, and which were.
+    blocks: request, shard, terms, bound, read: how many rows of (term, block) of each shard could have been read, and how
+    many of them were, with the largest bound of a block.
     """
     flat, heads = rule == "share", heads or max(32, k)
     terms = terms.withColumn("bucket", _bucket(F.col("term"), index.buckets))
     known = terms.join(index.terms.select("bucket", "term", "df"), ["bucket", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     known = known.withColumn("w", idf(F.col("df"), F.lit(index.n)) if flat else okapi(F.col("df"), index.n))
-    totals = known.groupBy("request").agg(F.sum("w").alias("total"))
-    weights = staged(known.where("df > 0").join(totals, "request").select("request", "bucket", "term", "w", "total"))
-    gain = F.col("w") if flat else F.col("w") * F.col("most")
-    bounds = index.blocks.select("bucket", "term", "block", "most", "low").join(weights, ["bucket", "term"])
-    bounds = staged(bounds.groupBy("request", "block").agg(F.sum(gain).alias("bound"), F.count(F.lit(1)).alias("terms"), F.min("low").alias("low")))
-    first = top(bounds, ["request"], [F.desc(F.round("bound", 5)), F.col("low"), F.col("block")], heads, "_at").select("request", "block")
-    begun = staged(_scores(index, first, weights, flat))
-    best = top(begun, ["request"], [F.desc(F.round("raw", 9)), F.col("key")], k, "_at").groupBy("request")
-    nth = best.agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct(F.col("raw").alias("floor"), F.col("key").alias("last")), "_at").alias("_k")).where(F.col("_n") == k).select("request", "_k.*")
-    open_ = bounds.join(first.withColumn("head", F.lit(True)), ["request", "block"], "left").join(nth, "request", "left").withColumn("head", F.coalesce("head", F.lit(False)))
-    above, level = F.col("bound") > F.col("floor") + NOISE, F.col("bound") >= F.col("floor") - NOISE
-    read = F.col("head") | F.col("floor").isNull() | above | (level & (F.col("low").isNull() | (F.col("low") <= F.col("last"))))
-    blocks = staged(open_.select("request", "block", "terms", "bound", "head", F.coalesce(read, F.lit(True)).alias("read")))
-    rest = _scores(index, blocks.where("read and not head"), weights, flat)
+    some = F.collect_list(F.when(F.col("df") > 0, F.struct("term", "w")))
+    asked = staged(known.groupBy("request").agg(F.sum("w").alias("total"), F.sort_array(some).alias("terms")).where(F.size("terms") > 0))
+    last = index.blocks.agg(F.max("block")).first()[0] or 0
+    per_shard = min(SHARD, max(64, -(-(last + 1) // (2 * asked.sparkSession.sparkContext.defaultParallelism))))
+    shards = last // per_shard + 1
+    home = F.pmod(F.xxhash64("request"), F.lit(shards)).cast("int")  # each request's first shard gives it a floor for the others
+    key = index.blocks.schema["low"].dataType
+    begun = staged(_answers(index, asked.select(home.alias("shard"), "request", "total", "terms", F.lit(None).cast("double").alias("floor"), F.lit(None).cast(key).alias("last")), per_shard, shards, k, heads, flat))
+    nth = begun.where(F.size("found") == k).select("request", F.element_at("found", -1).alias("x")).select("request", F.col("x.raw").alias("floor"), F.col("x.key").alias("last"))
+    others = asked.join(nth, "request", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
+    every = begun
+    if shards > 1:
+        every = begun.unionByName(staged(_answers(index, others.select("shard", "request", "total", "terms", "floor", "last"), per_shard, shards, k, heads, flat)))
+    found = every.select("request", "total", F.inline("found")).groupBy("request", "key").agg(F.first("total").alias("total"), F.sum("raw").alias("raw"), F.sum("matched").cast("int").alias("matched"))
     score = F.round(F.col("raw") / F.col("total"), 9) if flat else F.round("raw", 9)
-    scored = begun.unionByName(rest).select("request", "key", score.alias("score"), "matched")
-    return top(scored, ["request"], [F.desc("score"), F.col("key")], k), blocks.drop("head")
+    scored = found.select("request", "key", score.alias("score"), "matched")
+    kinds = F.array(F.struct(F.col("read").alias("terms"), F.lit(True).alias("read")), F.struct((F.col("terms") - F.col("read")).alias("terms"), F.lit(False).alias("read")))
+    blocks = every.select("request", "shard", "bound", F.inline(kinds)).where("terms > 0")
+    return top(scored, ["request"], [F.desc("score"), F.col("key")], k), blocks
