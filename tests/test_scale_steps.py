@@ -46,3 +46,12 @@ def test_an_index_is_made_by_all_tasks_and_shuffles_no_posting_alone(spark, monk
     assert {(r.term, r.df, r.cf) for r in index.terms.collect()} == {("one", 1, 1), ("two", 2, 3), ("three", 1, 1)}
     docs = {(r.term, d.key, d.tf, d.length) for r in index.blocks.collect() for d in r.docs}
     assert docs == {("one", 1, 1, 3), ("two", 1, 2, 3), ("two", 2, 1, 2), ("three", 2, 1, 2)}
+
+
+def test_ordinals_need_no_second_shuffle(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), F.col("id").alias("i")).repartition(7)
+    got = ordering.ordinal(rows, [F.desc("v"), "i"], "at")
+    assert "hashpartitioning(_part" not in plan(got) and "Window [sum(_v_at" not in plan(got)
+    want = sorted(((r.v, r.i) for r in rows.collect()), key=lambda r: (-r[0], r[1]))
+    assert [(r.v, r.i) for r in got.orderBy("at").collect()] == want
+    assert [r["at"] for r in got.select("at").orderBy("at").collect()] == list(range(1, 5001))
