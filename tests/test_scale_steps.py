@@ -71,3 +71,12 @@ def test_leaves_are_digested_where_they_lie(spark, monkeypatch, batch):
     want = [(i // 10, i, min(i + 9, 102), len(each[i : i + 10]), hashlib.sha256("".join(each[i : i + 10]).encode()).hexdigest()) for i in range(0, 103, 10)]
     assert got == want
     assert "MapInArrow" in made[0]  # before the exchange by node
+
+
+def test_draws_are_dealt_to_every_core_and_made_once(spark, monkeypatch):
+    dealt, stored = [], []
+    monkeypatch.setattr(metrics, "spread", lambda df, *keys: dealt.append(1) or ordering.spread(df, *keys))
+    monkeypatch.setattr(metrics, "staged", lambda df: stored.append(df.columns) or df)
+    rows = spark.range(900).select((F.col("id") % 300).alias("c"), (F.col("id") % 3 == 0).alias("a"), (F.col("id") % 7 > 2).alias("b"))
+    got = metrics.bootstrap(rows, "c", F.col("a"), F.col("b"), draws=200, most=16).first()
+    assert dealt == [1] and stored == [["_by", "draw", "delta"]] and got.low < got.high
