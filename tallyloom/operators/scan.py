@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.operators import patterns
+from tallyloom.operators.ordering import spread
 
 
 #: Rows of a list that are tried one by one on every text; longer lists meet texts by their seeds.
@@ -46,10 +47,12 @@ def shared_runs(docs: DataFrame, held_out: DataFrame, key: str, held_key: str, t
 
 
 def answer_phrases(papers: DataFrame, key: str, design: str, instrument: DataFrame, word: str, longest: int, function_words: Sequence[str]) -> DataFrame:
-    """Phrases of a design line that an instrument's runs of words do not hold: an anti join by phrase."""
+    """Phrases of a design line that an instrument's runs of words do not hold: an anti join by phrase. Of the instrument's
+    runs only those that a design line has are told apart."""
     words = T.words(F.col(design))
     phrases = papers.select(F.col(key), F.explode(T.phrases(words, longest, function_words)).alias("phrase"))
-    known = instrument.select(F.explode(T.phrases(T.words(F.col(word)), longest, function_words)).alias("phrase")).distinct()
+    texts = spread(instrument.select(F.col(word).alias("t")))
+    known = texts.select(F.explode(T.runs(T.words(F.col("t")), longest)).alias("phrase")).join(phrases.select("phrase").distinct(), "phrase", "left_semi").distinct()
     return phrases.join(known, "phrase", "left_anti")
 
 

@@ -80,3 +80,11 @@ def test_draws_are_dealt_to_every_core_and_made_once(spark, monkeypatch):
     rows = spark.range(900).select((F.col("id") % 300).alias("c"), (F.col("id") % 3 == 0).alias("a"), (F.col("id") % 7 > 2).alias("b"))
     got = metrics.bootstrap(rows, "c", F.col("a"), F.col("b"), draws=200, most=16).first()
     assert dealt == [1] and stored == [["_by", "draw", "delta"]] and got.low < got.high
+
+
+def test_phrases_of_an_instrument_are_met_before_they_are_told_apart(spark):
+    papers = spark.createDataFrame([(1, "the of rare thing"), (2, "of the")], "p long, t string")
+    instrument = spark.createDataFrame([("The rare bird",), ("of the of",), (None,)], "w string").coalesce(1)
+    left = scan.answer_phrases(papers, "p", "t", instrument, "w", 2, ["the", "of"])
+    assert {(r.p, r.phrase) for r in left.collect()} == {(1, "of rare"), (1, "rare thing"), (1, "thing")}
+    assert "LeftSemi" in plan(left)
