@@ -11,7 +11,7 @@ from tallyloom.functions import rules as R
 from tallyloom.functions import stats as S
 from tallyloom.functions import text as T
 from tallyloom.operators import fusion, metrics, seams, vector
-from tallyloom.operators.ordering import ordinal
+from tallyloom.operators.ordering import ordinal, spread
 from tallyloom.sources.staging import staged
 
 RULES = ("single", "max_cos", "min_rank", "mean_cos", "rrf")
@@ -143,8 +143,11 @@ def resolver_run(queries: DataFrame, samples: DataFrame, verdicts: DataFrame, le
 
     queries (id, kind, pool_size, gold, accepted), samples (id, pass, first: the first pick, null if malformed), verdicts
     (id, pass, verdict, keys, asked). A request without a pool, or with fewer shortlists than can agree, is blocked and
-    never scored. What the first verdict asks for is granted once within the bound, and then the second one counts.
+    never scored. What the first verdict asks for is granted once within the bound, and then the second one counts. All
+    three are dealt by id into a set number of parts, which joins and counts keep: rows that compress well are not put
+    together into few large tasks.
     """
+    queries, samples, verdicts = (spread(df, "id") for df in (queries, samples, verdicts))
     first = samples.where("pass = 1").groupBy("id").agg(F.count(F.lit(1)).alias("drawn"), F.count("first").alias("returned"))
     asked = verdicts.where("pass = 1").select("id", F.greatest(F.coalesce("asked", F.lit(0)), F.lit(0)).alias("asked"))
     out = queries.join(first, "id", "left").join(asked, "id", "left").fillna(0, ["drawn", "returned", "asked"])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import metrics, ordering, postings, scan
+from tallyloom.operators import arms, metrics, ordering, postings, scan
 from tallyloom.sources import digests
 from tests.test_scale_forms import best
 
@@ -88,3 +88,13 @@ def test_phrases_of_an_instrument_are_met_before_they_are_told_apart(spark):
     left = scan.answer_phrases(papers, "p", "t", instrument, "w", 2, ["the", "of"])
     assert {(r.p, r.phrase) for r in left.collect()} == {(1, "of rare"), (1, "rare thing"), (1, "thing")}
     assert "LeftSemi" in plan(left)
+
+
+def test_a_run_is_dealt_by_id(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(arms, "spread", lambda df, *keys: dealt.append(keys) or ordering.spread(df, *keys))
+    queries = spark.createDataFrame([(1, "exact", 2, ["a"], ["-"])], "id long, kind string, pool_size long, gold array<string>, accepted array<string>")
+    samples = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 1, "b")], "id long, pass int, first string")
+    verdicts = spark.createDataFrame([(1, 1, "resolved", ["a"], 0)], "id long, pass int, verdict string, keys array<string>, asked int")
+    row = arms.resolver_run(queries, samples, verdicts).first()
+    assert dealt == [("id",)] * 3 and (row.drawn, row.returned, row.agreed, row.outcome) == (3, 3, 2, "correct")
