@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,40 @@ def test_a_search_over_many_shards_stores_nothing_by_block(spark, monkeypatch, r
     assert shards > 20 and most <= 2 * shards  # a row for what was read of a shard, and one for the rest
 
 
+@pytest.mark.parametrize("flat", [True, False])
+def test_a_shard_scores_thousands_of_requests_at_once(monkeypatch, flat):
+    """Looked up term by term for all requests together, without a floor and with one; documents tie."""
+    rng = np.random.default_rng(6)
+    n, words, odds = 900, 120, 1 / np.arange(1, 121)
+    texts = [np.unique(rng.choice(words, int(rng.integers(1, 25)), p=odds / odds.sum())) for _ in range(n)]
+    texts[10:30] = [texts[10]] * 20
+    rows = sorted((int(w), 3 * d, int(rng.integers(1, 4)), len(ws)) for d, ws in enumerate(texts) for w in ws)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["term", "key", "tf", "length"])
+    impact = None if flat else lambda tf, length: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 8))
+    shard = postings._Shard.of([batch], impact)
+    asked = [rng.choice(words + 5, int(rng.integers(1, 6)), replace=False) for _ in range(4000)]
+    df = np.bincount([r[0] for r in rows], minlength=words + 5)
+    weight = np.log((n + 1) / (df + 1))
+    lengths, terms = np.array([len(a) for a in asked]), np.concatenate(asked)
+    total = np.array([weight[a].sum() for a in asked])
+    score = np.zeros((words + 5, n))
+    for w, key, tf, length in rows:
+        score[w, key // 3] = weight[w] * (1 if flat else impact(tf, length))
+    calls, found = [], postings._Shard.found
+    monkeypatch.setattr(postings._Shard, "found", lambda self, *a: calls.append(1) or found(self, *a))
+    floor, last = np.full(len(asked), -np.inf), np.full(len(asked), -1)
+    for _ in range(2):
+        doc, raw, matched, there, read, _ = shard.best(lengths, terms, weight[terms], total, floor, last, 7, 16, flat)
+        for i, a in enumerate(asked):
+            sums, hit = score[a].sum(axis=0), (score[a] > 0).sum(axis=0)
+            want = sorted((-round(sums[d] / (total[i] if flat else 1), 9), d) for d in np.flatnonzero(hit))[:7]
+            got = [d for d in doc[i] if d >= 0]
+            assert got == [d for _, d in want] and list(matched[i][: len(got)]) == [hit[d] for d in got], a
+        assert len(calls) < 200 and read.sum() < there.sum() / 2
+        floor, last = np.where(doc[:, -1] >= 0, raw[:, -1], -np.inf), doc[:, -1]  # these again with their own k-th as floor
+        calls.clear()
+
+
 def test_an_index_is_made_by_all_tasks_and_shuffles_no_posting_alone(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(postings, "spread", lambda df, *keys: seen.append(df.rdd.getNumPartitions()) or ordering.spread(df, *keys))
