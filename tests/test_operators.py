@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import stats as S
+from tallyloom.functions import text as T
 from tallyloom.operators import arms, dictionary, fusion, lookup, metrics, ordering, protocol, records, rubric, scan, seams, search, vector
 from tallyloom.plans import evaluation
 from tallyloom.sources import readers, sinks, staging
@@ -243,3 +244,20 @@ def test_resume_makes_only_what_is_left(spark, tmp_path):
     assert sinks.report(todo.orderBy("k"), "t", most=4).endswith("| 3 |\n6 more rows")
     a, b = sinks.version_hash(todo).first(), sinks.version_hash(todo.repartition(3)).first()
     assert a == b and a.n == 10 and len(a.version) == 12
+
+
+def test_a_catalogue_numbers_its_options_factors_stems_and_refuses_a_key_folded_twice(spark):
+    rows = [(1, "b", "k1", "1 - How - you"), (2, "a", "k2", "What"), (3, "b", "k3", "2 - How -  you"), (4, "b", "k4", "How - they - now"), (5, "a", "k5", "Who"), (6, "c", "k6", "How - you")]
+    df = spark.createDataFrame(rows, "ord long, c string, key string, t string")
+    out = dictionary.catalogue(df, "c", T.display(F.col("t")), "key", "ord", ["t"])
+    got = [(r["index"], r.c, r.display, r["keys"], r.representative, r.t, r.stem, r.remainder, r.shared) for r in out.orderBy("index").collect()]
+    assert got == [
+        (1, "b", "How - you", ["k1", "k3"], "k1", "1 - How - you", "How", " - you", True),
+        (2, "b", "How - they - now", ["k4"], "k4", "How - they - now", "How", " - they - now", False),
+        (3, "a", "What", ["k2"], "k2", "What", "", "What", False),
+        (4, "a", "Who", ["k5"], "k5", "Who", "", "Who", False),
+        (5, "c", "How - you", ["k6"], "k6", "How - you", "", "How - you", True),
+    ]
+    again = df.union(spark.createDataFrame([(7, "c", "k2", "Else")], df.schema))
+    with pytest.raises(Exception, match="k2 is folded twice"):
+        dictionary.catalogue(again, "c", T.display(F.col("t")), "key", "ord").collect()
